@@ -1,4 +1,7 @@
 """Whole flows, declared and run."""
 
+from .connectors import register_builtin
 from .flow import Flow, load_config, run_flow, run_flow_stream  # noqa: F401
 from .orders import order_messages, order_workflow  # noqa: F401
+
+register_builtin()

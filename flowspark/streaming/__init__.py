@@ -3,4 +3,6 @@
 from .processors import (  # noqa: F401
     batch_transactions, dedupe_message_stream, schedule_retries, track_files, track_messages,
 )
-from .runs import apply_change_stream, for_each_batch_once, run_to_table, stream_session  # noqa: F401
+from .runs import (  # noqa: F401
+    apply_change_stream, for_each_batch_once, run_complete, run_to_table, run_until, stream_session,
+)

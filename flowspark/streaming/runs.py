@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,37 @@ def run_to_table(
     return stream.sparkSession.read.schema(stream.schema).format(format).load(path)
 
 
+def run_until(
+    stream: DataFrame, path: str, checkpoint: str, rows: int, *, timeout: float = 120.0, poll: float = 0.5
+) -> DataFrame:
+    """Runs a stream with timers until ``path`` holds ``rows`` rows, or fails after ``timeout`` seconds."""
+    query = (stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+             .trigger(processingTime="100 milliseconds").start(path))
+    written = stream.sparkSession.read.schema(stream.schema)
+    try:
+        deadline = time.monotonic() + timeout
+        while not query.awaitTermination(poll):
+            found = written.parquet(path).count() if query.lastProgress else 0
+            if found >= rows:
+                break
+            if time.monotonic() > deadline:
+                raise TimeoutError(f"{found} of {rows} rows after {timeout} s")
+    finally:
+        query.stop()
+    return written.parquet(path)
+
+
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregating stream over all input there is now and keeps its last complete result."""
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = (stream.writeStream.outputMode("complete").foreachBatch(keep)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def for_each_batch_once(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, **trigger
 ) -> StreamingQuery:
@@ -72,9 +104,6 @@ def apply_change_stream(
 
     def replay(batch: DataFrame, batch_id: int) -> None:
         previous = base if batch_id == 0 else spark.read.schema(base.schema).parquet(f"{root}/version={batch_id - 1}")
-        current = previous.sparkSession
-        if batch.sparkSession is not current and batch_id > 0:
-            previous = batch.sparkSession.read.schema(base.schema).parquet(f"{root}/version={batch_id - 1}")
         apply_changes(previous, batch, keys).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     return for_each_batch_once(changes, replay, checkpoint, **trigger)
