@@ -1,23 +1,31 @@
 """Running values along an order, safe for keys of any size.
 
 A plain ``Window.partitionBy(key).orderBy(...)`` puts all rows of a key into one task, so a key that
-holds a third of the table holds a third of the work. Here the order axis is cut into slices and a
-window runs per (key, slice). What earlier slices contribute comes in as one carry row per (key, slice),
-computed from partial aggregates, and takes part in the same window as its first row. The data are
-shuffled once, as with the plain window, and no task sees more of a key than one slice.
+holds a third of the table holds a third of the work. Here keys found to be that large have the order axis
+cut into slices, and the window runs per (key, slice). What earlier slices contribute comes in as one carry
+row per (key, slice), computed from partial aggregates, and takes part in the same window as its first row.
+The data are shuffled once, as with the plain window; without large keys the plan is the plain window.
+
+Which keys are cut, and where, decides how even the work is and never what the result is: both come from
+a sample and enter the plan as literals, so a task that is run again sees the same cuts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import estimated_bytes
 
-SLICE_BYTES = 128 * 1024 * 1024
-SAMPLE_BYTES = 1024 * 1024 * 1024
+SLICE_ROWS = 1_000_000          # rows of one key that one task may well sort
 MAX_SLICES = 1 << 14
+MAX_LARGE_KEYS = 10_000
+SAMPLE_BYTES = 1 << 30
+SAMPLE_ROWS_PER_SLICE = 50
 
-_SLICE, _CARRY, _ONE = "__slice", "__carry", "__one"
+_SLICE, _CARRY, _AXIS = "__slice", "__carry", "__axis"
 
 
 def _axis(df: DataFrame, column: str) -> Column:
@@ -36,35 +44,57 @@ def _axis(df: DataFrame, column: str) -> Column:
     raise TypeError(f"the first order column must be a number or a time, {column} is {kind.simpleString()}")
 
 
-def slice_count(df: DataFrame) -> int:
-    parallelism = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_SLICES, max(parallelism, -(-estimated_bytes(df) // SLICE_BYTES))))
-
+def _quantiles(values: DataFrame, slices: int) -> tuple[int, list]:
+    """Rows of ``values`` and the distinct cut points between ``slices`` slices of equal size."""
+    steps = [position / slices for position in range(1, slices)]
+    row = values.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.percentile_approx(_AXIS, steps, max(10_000, 10 * slices)).alias("cuts")).first()
+    return row["rows"], sorted({cut for cut in row["cuts"] or [] if cut is not None})
 
-def slice_column(df: DataFrame, order: str, slices: int) -> Column:
-    """Number of the slice a row falls into, rising with ``order``.
 
-    Cut points are quantiles of a sample. They decide how even the slices are, never what results are;
-    being literals they stay the same if a lost task has to be run again.
-    """
-    axis = _axis(df, order)
-    fraction = min(1.0, SAMPLE_BYTES / max(1, estimated_bytes(df)))
-    values = df.select(axis.alias("x"))
-    if fraction < 1.0:
-        values = values.sample(fraction, seed=7)
-    steps = [position / slices for position in range(1, slices)]
-    found = values.agg(F.percentile_approx("x", steps, max(10_000, 10 * slices)).alias("cuts")).first()["cuts"]
-    cuts = sorted({cut for cut in found or [] if cut is not None})
-    if not cuts:
-        return F.lit(0)
+def _position(axis: Column, cuts: list) -> Column:
+    """How many cuts are not above the value, by binary search; 0 for NULL, which sorts first."""
     suffix = "D" if isinstance(cuts[0], float) else "L"
     literals = F.expr("array(" + ",".join(f"{cut!r}{suffix}" for cut in cuts) + ")")
-    # Binary search: each step moves right by a power of two while the cut there is not above the value.
     powers = [1 << bit for bit in reversed(range(len(cuts).bit_length()))]
-    position = F.aggregate(
+    found = F.aggregate(
         F.array(*[F.lit(power) for power in powers]), F.lit(0),
         lambda at, step: F.when(F.get(literals, at + step - 1) <= axis, at + step).otherwise(at))
-    return F.when(axis.isNull(), F.lit(0)).otherwise(position)
+    return F.when(axis.isNull(), F.lit(0)).otherwise(found)
+
+
+def _slicing(df: DataFrame, keys: list[str], order: str, slices: int | None) -> tuple[Column, Column] | None:
+    """``(is the key large, slice)``, or None where no key is large.
+
+    A key is large when it has more rows than one task should sort, or more than its share of all tasks.
+    """
+    axis = _axis(df, order)
+    if slices is not None:
+        cuts = _quantiles(df.select(axis.alias(_AXIS)), slices)[1] if slices > 1 else []
+        return (F.lit(True), _position(axis, cuts)) if cuts else None
+
+    narrow = df.select(*keys, axis.alias(_AXIS))
+    parallelism = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Catalyst may overestimate a derived frame, so a sample that turns out too thin is not used.
+    for fraction in (min(1.0, SAMPLE_BYTES / max(1, estimated_bytes(narrow))), 1.0):
+        sample = narrow.sample(fraction, seed=7) if fraction < 1.0 else narrow
+        sampled, cuts = _quantiles(sample, parallelism)
+        if sampled >= SAMPLE_ROWS_PER_SLICE * parallelism:
+            break
+    rows = sampled / fraction
+    threshold = max(rows / MAX_LARGE_KEYS, min(SLICE_ROWS, rows / parallelism), SAMPLE_ROWS_PER_SLICE)
+    if not cuts or rows <= threshold:
+        return None
+    # A hash that collides only makes one more key large.
+    large = (sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > threshold * fraction)
+             .select(F.xxhash64(*keys, F.lit(0)).alias("h")).collect())
+    if not large:
+        return None
+    wanted = min(MAX_SLICES, int(rows // SLICE_ROWS))
+    if wanted > parallelism:
+        cuts = _quantiles(sample, wanted)[1]
+    return F.xxhash64(*keys, F.lit(0)).isin([row["h"] for row in large]), _position(axis, cuts)
 
 
 def ordered_scan(
@@ -86,45 +116,63 @@ def ordered_scan(
     within a key for a definite result.
     """
     sums, maxima, previous, totals = sums or {}, maxima or {}, previous or {}, totals or {}
-    slices = slices or slice_count(df.select(*keys, *order))
-    columns = df.columns
-    prepared = df.withColumns({
-        _SLICE: slice_column(df, order[0], slices) if slices > 1 else F.lit(0),
-        _ONE: F.lit(1).cast("bigint"),
-        **{f"__in_{name}": value for name, value in {**sums, **maxima, **totals}.items()},
-        **{f"__in_{name}": F.struct(value.alias("v")) for name, value in previous.items()},
-    })
-
-    through_slice = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    whole_key = Window.partitionBy(*keys)
-    carry = (
-        prepared.groupBy(*keys, _SLICE)
-        .agg(F.count(F.lit(1)).alias(_ONE),
-             *[F.sum(f"__in_{name}").alias(f"__in_{name}") for name in [*sums, *totals]],
-             *[F.max(f"__in_{name}").alias(f"__in_{name}") for name in maxima],
-             *[F.max_by(f"__in_{name}", F.struct(*order)).alias(f"__in_{name}") for name in previous])
-        .select(*keys, _SLICE,
-                F.sum(_ONE).over(through_slice).alias(_ONE),
-                *[F.sum(f"__in_{name}").over(through_slice).alias(f"__in_{name}") for name in sums],
-                *[F.max(f"__in_{name}").over(through_slice).alias(f"__in_{name}") for name in maxima],
-                *[F.last(f"__in_{name}").over(through_slice).alias(f"__in_{name}") for name in previous],
-                *[F.sum(f"__in_{name}").over(whole_key).alias(f"__in_{name}") for name in totals])
-        .filter(F.lit(bool(totals)) | F.col(_ONE).isNotNull())
-        .withColumn(_CARRY, F.lit(0))
-    )
-    # Carry rows have no value of the order columns, which are only sorted on behind the marker.
-    rows = prepared.drop(*[f"__in_{name}" for name in totals]).withColumn(_CARRY, F.lit(1))
-    rows = rows.unionByName(carry, allowMissingColumns=True)
-
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(_CARRY, *order)
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = {
-        **({rank: F.sum(_ONE).over(running)} if rank else {}),
-        **{name: F.sum(f"__in_{name}").over(running) for name in sums},
-        **{name: F.max(f"__in_{name}").over(running) for name in [*maxima, *totals]},
-        **{name: F.lag(f"__in_{name}").over(inside)["v"] for name in previous},
+        **({rank: _Running(F.sum, F.lit(1).cast("bigint"))} if rank else {}),
+        **{name: _Running(F.sum, value) for name, value in (sums or {}).items()},
+        **{name: _Running(F.max, value) for name, value in (maxima or {}).items()},
     }
-    return rows.withColumns(added).filter(F.col(_CARRY) == 1).select(*columns, *added)
+    befores = {name: F.struct(value.alias("v")) for name, value in (previous or {}).items()}
+    totals = totals or {}
+    inputs = {**{name: running.value for name, running in added.items()}, **befores, **totals}
+
+    slicing = _slicing(df, keys, order[0], slices)
+    rows = df.withColumns({f"__in_{name}": value for name, value in inputs.items()})
+    partition, sorting = list(keys), list(order)
+    if slicing is not None:
+        large, position = slicing
+        rows = rows.withColumn(_SLICE, F.when(large, position))
+        carry = _carry_rows(rows, keys, order, added, befores, totals)
+        # A large key's total comes with its carry rows only.
+        rows = rows.withColumns({
+            _CARRY: F.lit(1),
+            **{f"__in_{name}": F.when(F.col(_SLICE).isNull(), F.col(f"__in_{name}")) for name in totals}})
+        rows = rows.unionByName(carry, allowMissingColumns=True)
+        partition, sorting = [*keys, _SLICE], [_CARRY, *order]
+
+    inside = Window.partitionBy(*partition).orderBy(*sorting)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({
+        **{name: running.fold(f"__in_{name}").over(upto) for name, running in added.items()},
+        **{name: F.lag(f"__in_{name}").over(inside)["v"] for name in befores},
+        **{name: F.sum(f"__in_{name}").over(Window.partitionBy(*partition)) for name in totals},
+    })
+    if slicing is not None:
+        rows = rows.filter(F.col(_CARRY) == 1)
+    return rows.select(*df.columns, *inputs)
+
+
+class _Running(NamedTuple):
+    """An aggregate that runs over a value and may be split: its fold of folds is its fold."""
+
+    fold: Callable[[str], Column]
+    value: Column
+
+
+def _carry_rows(
+    rows: DataFrame, keys: list[str], order: list[str], added: dict[str, _Running], befores: dict[str, Column],
+    totals: dict[str, Column],
+) -> DataFrame:
+    """One row per large key and slice with what the slices before it amount to."""
+    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = rows.filter(F.col(_SLICE).isNotNull()).groupBy(*keys, _SLICE).agg(
+        *[running.fold(f"__in_{name}").alias(f"__in_{name}") for name, running in added.items()],
+        *[F.max_by(f"__in_{name}", F.struct(*order)).alias(f"__in_{name}") for name in befores],
+        *[F.sum(f"__in_{name}").alias(f"__in_{name}") for name in totals])
+    return per_slice.select(
+        *keys, _SLICE, F.lit(0).alias(_CARRY),
+        *[running.fold(f"__in_{name}").over(earlier).alias(f"__in_{name}") for name, running in added.items()],
+        *[F.last(f"__in_{name}").over(earlier).alias(f"__in_{name}") for name in befores],
+        *[F.sum(f"__in_{name}").over(Window.partitionBy(*keys)).alias(f"__in_{name}") for name in totals])
 
 
 def exact_quantiles(
