@@ -63,6 +63,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if shared_base(spark) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark, "checkpoint"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_base(spark) or shared_dir(spark, "checkpoint"))
     return df.checkpoint()

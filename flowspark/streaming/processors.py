@@ -8,16 +8,19 @@ Order between batches is the order of arrival.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.retry import MAX_BACKOFF_MS, MAX_SHIFT
+from ..operators.ordered import ordered_scan
 from ..operators.state import MAX_RETRIES
 
 STATE_TTL_MS = 15 * 60 * 1000
 RETRY_QUEUE_TTL_MS = 60 * 60 * 1000
+EMITTED_ROWS = 10_000
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -215,12 +218,11 @@ class _Transactions(StatefulProcessor):
         self.held = handle.getListState("held", "lsn bigint, row string")
 
     def _emit(self, key, complete: bool) -> Iterator[pd.DataFrame]:
-        rows = sorted((tuple(entry) for entry in self.held.get()), key=lambda entry: entry[0])
+        for entries in batched(self.held.get(), EMITTED_ROWS):
+            lsns, rows = zip(*entries)
+            yield pd.DataFrame({"txid": [key[0]] * len(lsns), "lsn": lsns, "row": rows,
+                                "complete": [complete] * len(lsns)})
         self.held.clear()
-        if rows:
-            yield pd.DataFrame({
-                "txid": [key[0]] * len(rows), "position": range(1, len(rows) + 1), "lsn": [lsn for lsn, _ in rows],
-                "row": [row for _, row in rows], "complete": [complete] * len(rows)})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first, committed = not self.held.exists(), False
@@ -244,9 +246,15 @@ class _Transactions(StatefulProcessor):
 def batch_transactions(changes: DataFrame, *, timeout_ms: int = 5000) -> DataFrame:
     """Holds changes (txid, lsn, row, is_last) until their transaction is complete or times out.
 
-    Emits (txid, position, lsn, row, complete), ordered by position within the transaction.
+    Emits (txid, lsn, row, complete), all changes of a transaction in one micro-batch. They are passed on
+    piece by piece, so a huge transaction is never held in memory; ``ordered_transactions`` numbers them.
     """
     rows = changes.select("txid", "lsn", "row", "is_last")
     return rows.groupBy("txid").transformWithStateInPandas(
-        _Transactions(timeout_ms), "txid bigint, position bigint, lsn bigint, row string, complete boolean",
-        "Append", "ProcessingTime")
+        _Transactions(timeout_ms), "txid bigint, lsn bigint, row string, complete boolean", "Append",
+        "ProcessingTime")
+
+
+def ordered_transactions(emitted: DataFrame, slices: int | None = None) -> DataFrame:
+    """Adds the ``position`` of each change in its transaction, for a batch of emitted transactions."""
+    return ordered_scan(emitted, ["txid"], ["lsn"], rank="position", slices=slices)

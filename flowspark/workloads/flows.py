@@ -66,7 +66,8 @@ WHERE {FLOW_ROUTE} IN ('express', 'archive', 'dead_letter') GROUP BY 1""")
 def run_flow_stream(spark, folder):
     session = streaming.stream_session(spark, timers=False)
     schema = m.table(session, folder, "orders").schema
-    orders = session.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/orders.parque[t]")
+    orders = session.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 33).parquet(
+        f"{folder.rstrip('/')}/orders.parque[t]")
     home = shared_dir(spark, "flow-stream")
     register_sink("appended", lambda env, options: env.write.mode("append").parquet(options["path"]))
     run = plans.run_flow_stream(plans.order_messages(orders), {

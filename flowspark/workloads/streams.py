@@ -10,12 +10,17 @@ from .registry import query
 from .state import LOCKS_SQL, RETRY_SQL
 
 
+MICRO_BATCH = 1 << 30
+
+
 def event_stream(spark, folder, *, timers=False):
     """The events table as a stream, in a session of its own."""
     session = streaming.stream_session(spark, timers=timers)
     schema = m.table(session, folder, "events").schema
-    # A glob, because a stream reads folders and globs but no single file.
-    return session.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/events.parque[t]")
+    # A glob, because a stream reads folders and globs but no single file. The size of a micro-batch is
+    # bounded, and with it what the hottest key brings to its task at once.
+    return (session.readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH)
+            .parquet(f"{folder.rstrip('/')}/events.parque[t]"))
 
 
 def places(spark, purpose):
@@ -112,7 +117,8 @@ def batch_transactions(spark, folder):
         F.when(event_type == "signup", "I").when(event_type == "error", "D").otherwise("U").alias("row"),
         (F.col("event_id") % 7 == 6).alias("is_last"))
     path, checkpoint = places(spark, "transactions")
-    return back(spark, streaming.run_to_table(streaming.batch_transactions(held), path, checkpoint), path)
+    emitted = back(spark, streaming.run_to_table(streaming.batch_transactions(held), path, checkpoint), path)
+    return streaming.ordered_transactions(emitted)
 
 
 @query("apply_change_stream", changes_module.APPLIED_SQL)
