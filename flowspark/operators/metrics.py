@@ -78,7 +78,7 @@ def rate_limit_flags(
 
 def sustained_alert(
     samples: DataFrame, keys: list[str], condition: Column, *, hold: str, time: str = "ts",
-    slices: int | None = None,
+    slices: int | None = None, sample_from: DataFrame | None = None,
 ) -> DataFrame:
     """Episodes in which ``condition`` held on every sample for at least ``hold``.
 
@@ -86,7 +86,7 @@ def sustained_alert(
     """
     holds = F.coalesce(condition, F.lit(False))
     numbered = ordered_scan(
-        samples, keys, [time], sums={"episode": (~holds).cast("bigint")}, slices=slices)
+        samples, keys, [time], sums={"episode": (~holds).cast("bigint")}, slices=slices, sample_from=sample_from)
     span = F.expr(f"INTERVAL {hold}")
     episodes = numbered.filter(holds).groupBy(*keys, "episode").agg(
         F.min(time).alias("started_at"), F.max(time).alias("last_seen_at"), F.count(F.lit(1)).alias("samples"))

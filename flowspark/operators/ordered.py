@@ -64,15 +64,23 @@ def _position(axis: Column, cuts: list) -> Column:
     return F.when(axis.isNull(), F.lit(0)).otherwise(found)
 
 
-def _slicing(df: DataFrame, keys: list[str], order: str, slices: int | None) -> tuple[Column, Column] | None:
-    """``(is the key large, slice)``, or None where no key is large.
+class Slicing(NamedTuple):
+    """Which keys are cut into slices and where, as columns over any frame with these keys and order."""
+
+    large: Column
+    position: Column
+
+
+def find_slicing(df: DataFrame, keys: list[str], order: str, slices: int | None = None) -> Slicing | None:
+    """The slicing for the rows of ``df``, or None where no key is large.
 
     A key is large when it has more rows than one task should sort, or more than its share of all tasks.
+    ``slices`` cuts every key into so many slices instead.
     """
     axis = _axis(df, order)
     if slices is not None:
         cuts = _quantiles(df.select(axis.alias(_AXIS)), slices)[1] if slices > 1 else []
-        return (F.lit(True), _position(axis, cuts)) if cuts else None
+        return Slicing(F.lit(True), _position(axis, cuts)) if cuts else None
 
     narrow = df.select(*keys, axis.alias(_AXIS))
     parallelism = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -94,7 +102,7 @@ def _slicing(df: DataFrame, keys: list[str], order: str, slices: int | None) ->
     wanted = min(MAX_SLICES, int(rows // SLICE_ROWS))
     if wanted > parallelism:
         cuts = _quantiles(sample, wanted)[1]
-    return F.xxhash64(*keys, F.lit(0)).isin([row["h"] for row in large]), _position(axis, cuts)
+    return Slicing(F.xxhash64(*keys, F.lit(0)).isin([row["h"] for row in large]), _position(axis, cuts))
 
 
 def ordered_scan(
@@ -108,12 +116,16 @@ def ordered_scan(
     previous: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
     slices: int | None = None,
+    sample_from: DataFrame | None = None,
 ) -> DataFrame:
     """Adds running columns to ``df``, per ``keys`` and along ascending ``order``.
 
     ``rank`` numbers rows from 1, ``sums`` and ``maxima`` run up to and including the row, ``previous``
     holds the value of the row before, ``totals`` are sums over the whole key. ``order`` must be unique
     within a key for a definite result.
+
+    Sampling runs jobs on ``df``. Where it is expensive to compute, give in ``sample_from`` a cheaper frame
+    with the keys and the first order column spread alike, such as the table it is derived from.
     """
     sums, maxima, previous, totals = sums or {}, maxima or {}, previous or {}, totals or {}
     added = {
@@ -125,12 +137,11 @@ def ordered_scan(
     totals = totals or {}
     inputs = {**{name: running.value for name, running in added.items()}, **befores, **totals}
 
-    slicing = _slicing(df, keys, order[0], slices)
+    slicing = find_slicing(df if sample_from is None else sample_from, keys, order[0], slices)
     rows = df.withColumns({f"__in_{name}": value for name, value in inputs.items()})
     partition, sorting = list(keys), list(order)
     if slicing is not None:
-        large, position = slicing
-        rows = rows.withColumn(_SLICE, F.when(large, position))
+        rows = rows.withColumn(_SLICE, F.when(slicing.large, slicing.position))
         carry = _carry_rows(rows, keys, order, added, befores, totals)
         # A large key's total comes with its carry rows only.
         rows = rows.withColumns({
@@ -183,9 +194,11 @@ def exact_quantiles(
     Equal values are counted first; their cumulative counts then locate each quantile, so no group is
     held as a whole anywhere.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    present = df.filter(F.col(value).isNotNull())
+    counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = ordered_scan(
-        counted, keys, [value], sums={"__through": F.col("__n")}, totals={"__total": F.col("__n")}, slices=slices)
+        counted, keys, [value], sums={"__through": F.col("__n")}, totals={"__total": F.col("__n")}, slices=slices,
+        sample_from=present)
     hit = F.filter(
         F.array(*[F.lit(float(p)) for p in probabilities]),
         lambda p: F.greatest(F.ceil(p * F.col("__total")), F.lit(1)).between(

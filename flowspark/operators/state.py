@@ -72,11 +72,13 @@ def dedupe_messages(
     ttl = ttl_seconds * 1_000_000
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                               F.col(time).cast("timestamp_ntz"))
-    moments = arrivals.select(key, micros.alias("t")).distinct()
-    gaps = ordered_scan(moments, [key], ["t"], previous={"__before": F.col("t")}, slices=slices)
+    moments = arrivals.select(key, micros.alias("t"))
+    gaps = ordered_scan(moments.distinct(), [key], ["t"], previous={"__before": F.col("t")}, slices=slices,
+                        sample_from=moments)
     opens = F.col("__before").isNull() | (F.col("t") - F.col("__before") >= ttl)
     sessions = ordered_scan(gaps.withColumn("__opens", opens), [key], ["t"],
-                            sums={"session": F.col("__opens").cast("bigint")}, slices=slices)
+                            sums={"session": F.col("__opens").cast("bigint")}, slices=slices,
+                            sample_from=moments)
     sessions = checkpointed(sessions.select(key, "session", "t", "__opens"))
     sizes = sessions.groupBy(key, "session").agg(
         F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"))

@@ -83,10 +83,10 @@ SELECT instance, {m.sql_stamp('started_at')} AS started_at, {m.sql_stamp('last_s
   {m.sql_stamp('started_at + INTERVAL 3 HOUR')} AS fired_at
 FROM episodes WHERE last_seen_at >= started_at + INTERVAL 3 HOUR""")
 def sustained_alert(spark, folder):
-    hourly = m.table(spark, folder, "events").groupBy(
-        (F.col("user_id") % 4).alias("instance"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")
-    ).agg(F.max("value").alias("peak"))
-    alerts = op.sustained_alert(hourly, ["instance"], F.col("peak") > 40, hold="3 hours")
+    samples = m.table(spark, folder, "events").select(
+        (F.col("user_id") % 4).alias("instance"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "value")
+    hourly = samples.groupBy("instance", "ts").agg(F.max("value").alias("peak"))
+    alerts = op.sustained_alert(hourly, ["instance"], F.col("peak") > 40, hold="3 hours", sample_from=samples)
     return alerts.select("instance", m.stamp("started_at").alias("started_at"),
                          m.stamp("last_seen_at").alias("last_seen_at"), "samples", m.stamp("fired_at").alias("fired_at"))
 

@@ -55,7 +55,7 @@ def test_only_large_keys_are_cut(rows, spark):
 
 def test_no_task_gets_a_whole_large_key(rows, spark):
     df, _ = rows
-    large, position = ordered._slicing(df, ["key"], "at", None)
+    large, position = ordered.find_slicing(df, ["key"], "at")
     pieces = df.filter(large).groupBy("key", position.alias("slice")).count().toPandas()
     assert pieces["count"].max() <= 2 * 2000 / 8
     assert len(pieces) == 16
@@ -64,7 +64,7 @@ def test_no_task_gets_a_whole_large_key(rows, spark):
 def test_thin_sample_is_not_used(rows, monkeypatch):
     df, frame = rows
     monkeypatch.setattr(ordered, "SAMPLE_BYTES", 10)
-    assert ordered._slicing(df, ["key"], "at", None) is not None
+    assert ordered.find_slicing(df, ["key"], "at") is not None
     monkeypatch.setattr(ordered, "SLICE_ROWS", 100)
     out = ordered_scan(df, ["key"], ["at"], rank="n").toPandas().set_index("at")["n"].astype(float).sort_index()
     pd.testing.assert_series_equal(out, _expected(frame)["n"].sort_index(), check_index_type=False)
