@@ -17,9 +17,12 @@ def _directly_in(files: DataFrame, folder: str) -> DataFrame:
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Whole files directly in ``folder`` as (path, modificationTime, length, content).
 
-    Content is read only where it is selected, and the listing is filtered before.
+    Content is read only where it is selected, and the listing is filtered before. Spark passes over empty
+    files. Keep archives outside the folder: they would be listed, though not read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    # A recursive listing, because otherwise sub-folders are taken for partitions of a table.
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+             .option("recursiveFileLookup", "true").load(folder))
     return _directly_in(files, folder)
 
 
