@@ -2,7 +2,7 @@
 
 from .envelopes import (  # noqa: F401
     append_step, client_ip, envelope_from_json, envelope_to_json, file_fingerprint, payload_checksum,
-    rfc3339,
+    rfc3339, unpacked,
 )
 from .paths import (  # noqa: F401
     content_type_of, extension_of, glob_regex, match_glob, match_subject, object_key, organize_path,

@@ -37,6 +37,15 @@ def envelope_from_json(text: Column) -> Column:
     return F.from_json(text.cast("string"), ENVELOPE, {"mode": "PERMISSIVE"})
 
 
+def unpacked(struct: Column, names: list[str]) -> Column:
+    """The fields of a struct as columns, for use in ``select``.
+
+    As a generator it computes the struct once, where plain field access would parse a JSON text again for
+    every field.
+    """
+    return F.inline(F.array(struct)).alias(*names)
+
+
 def payload_checksum(payload: Column | None = None) -> Column:
     return F.sha2(payload if payload is not None else F.col("payload"), 256)
 

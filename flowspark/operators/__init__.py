@@ -14,7 +14,8 @@ from .converters import (  # noqa: F401
 from .filters import (  # noqa: F401
     allow_list, assert_isolated, drop_expired, drop_settling, field_condition, filter_changes, filter_field,
     filter_pass_drop, for_tenant, json_field, match_glob, match_subject, payload_errors, reject_reason, route,
-    route_many, split, validate_envelopes, validate_payload,
+    route_fields, route_many, split, validate_envelopes, validate_payload,
+    with_json_fields, without_json_fields,
 )
 from .messages import (  # noqa: F401
     append_step, bus_to_envelopes, files_to_envelopes, merge_sources, new_envelope, requests_to_envelopes,

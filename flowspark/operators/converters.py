@@ -65,22 +65,22 @@ def csv_to_json(env: DataFrame, schema: str, *, sep: str = ",", header: bool = F
 
 
 def convert_types(env: DataFrame, schema: str | T.StructType) -> DataFrame:
-    """JSON fields as typed columns; ``conversion_errors`` names fields whose value did not convert."""
+    """Top-level JSON fields as typed columns; ``conversion_errors`` names those that did not convert."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    raw = T.StructType([T.StructField(field.name, T.StringType()) for field in schema])
-    parsed = env.withColumn("__raw", F.from_json(_text(), raw))
+    raw = {field.name: f"__raw_{field.name}" for field in schema}
+    parsed = env.select("*", F.json_tuple(_text(), *raw).alias(*raw.values()))
 
     def typed(field: T.StructField) -> Column:
-        value = F.col("__raw")[field.name]
+        value = F.col(raw[field.name])
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             return F.try_to_timestamp(value).cast(field.dataType)
         return value.try_cast(field.dataType)
 
     converted = {field.name: typed(field) for field in schema}
     errors = F.array_compact(F.array(*[
-        F.when(F.col("__raw")[name].isNotNull() & value.isNull(), F.lit(name)) for name, value in converted.items()]))
-    return parsed.withColumns({**converted, "conversion_errors": errors}).drop("__raw")
+        F.when(F.col(raw[name]).isNotNull() & value.isNull(), F.lit(name)) for name, value in converted.items()]))
+    return parsed.withColumns({**converted, "conversion_errors": errors}).drop(*raw.values())
 
 
 def enrich(env: DataFrame, lookup: DataFrame, on: str | list[str], *, required: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,9 +33,31 @@ def json_field(path: str, payload: Column | None = None) -> Column:
     return F.get_json_object((payload if payload is not None else F.col("payload")).cast("string"), path)
 
 
-def field_condition(path: str, op: str, value=None, payload: Column | None = None) -> Column:
-    """Condition on a JSON field; never NULL, a missing field or one of another type does not match."""
-    field = json_field(path, payload)
+def with_json_fields(env: DataFrame, paths: Iterable[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """``env`` with helper columns for the given paths, and which path is which column.
+
+    All top-level fields come from one pass over the payload. Drop columns starting with ``__field`` later.
+    """
+    columns = {path: f"__field{number}" for number, path in enumerate(dict.fromkeys(paths))}
+    plain = {path: name for path, name in columns.items() if re.fullmatch(r"\$\.\w+", path)}
+    if plain:
+        env = env.select("*", F.json_tuple(F.col("payload").cast("string"), *[path[2:] for path in plain]).alias(
+            *plain.values()))
+    env = env.withColumns({name: json_field(path) for path, name in columns.items() if path not in plain})
+    return env, {path: F.col(name) for path, name in columns.items()}
+
+
+def without_json_fields(env: DataFrame) -> DataFrame:
+    return env.drop(*[name for name in env.columns if name.startswith("__field")])
+
+
+def field_condition(path: str, op: str, value=None, field: Column | None = None) -> Column:
+    """Condition on a JSON field; never NULL, a missing field or one of another type does not match.
+
+    ``field`` is the value of the path where it has been extracted already.
+    """
+    if field is None:
+        field = json_field(path)
     if op == "exists":
         return field.isNotNull()
     if op == "contains":
@@ -76,6 +99,21 @@ def route_many(env: DataFrame, rules: Iterable[tuple[str, Column]], default: str
     return env.withColumn("route", F.explode(F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(default)))))
 
 
+def _field_rules(env: DataFrame, rules: list[dict]) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    extracted, fields = with_json_fields(env, [rule["path"] for rule in rules])
+    return extracted, [(rule["to"], field_condition(rule["path"], rule["op"], rule.get("value"), fields[rule["path"]]))
+                       for rule in rules]
+
+
+def route_fields(env: DataFrame, rules: list[dict], default: str = "unrouted", *, many: bool = False) -> DataFrame:
+    """``route`` or ``route_many`` by rules ``{"to", "path", "op", "value"}`` on JSON fields.
+
+    The payload is read once, however many rules there are.
+    """
+    extracted, conditions = _field_rules(env, rules)
+    return without_json_fields((route_many if many else route)(extracted, conditions, default))
+
+
 def match_subject(df: DataFrame, pattern: str, subject: str = "subject") -> DataFrame:
     return df.filter(subject_matches(F.col(subject), pattern))
 
@@ -121,28 +159,26 @@ _VARIANT_TYPES = {
 }
 
 
-def payload_errors(schema: dict, payload: Column | None = None) -> Column:
-    """What a payload violates of a JSON Schema (type, properties, required), as an array of texts."""
-    parsed = F.try_parse_json((payload if payload is not None else F.col("payload")).cast("string"))
-    checks = []
+def payload_errors(schema: dict, document: Column) -> Column:
+    """What a parsed payload violates of a JSON Schema (type, properties, required), as an array of texts."""
+    checks = [F.when(document.isNull(), F.lit("$: not JSON"))]
 
     def visit(node: dict, path: str, label: str) -> None:
-        value = F.try_variant_get(parsed, path, "variant")
-        kind = F.schema_of_variant(value)
+        value = F.try_variant_get(document, path, "variant")
         if "type" in node:
             if node["type"] not in _VARIANT_TYPES:
                 raise ValueError(f"unknown type in schema: {node['type']}")
-            wrong = value.isNotNull() & ~kind.rlike(_VARIANT_TYPES[node["type"]])
+            wrong = ~F.schema_of_variant(value).rlike(_VARIANT_TYPES[node["type"]])
             checks.append(F.when(wrong, F.lit(f"{label}: not {node['type']}")))
         for name in node.get("required", []):
-            missing = kind.rlike("^OBJECT") & F.try_variant_get(parsed, _child(path, name), "variant").isNull()
+            absent = F.try_variant_get(document, _child(path, name), "variant").isNull()
+            missing = absent & F.schema_of_variant(value).rlike("^OBJECT")
             checks.append(F.when(missing, F.lit(f"{_label(label, name)}: required")))
         for name, child in node.get("properties", {}).items():
             visit(child, _child(path, name), _label(label, name))
 
     visit(schema, "$", "$")
-    unreadable = F.when(parsed.isNull(), F.lit("$: not JSON"))
-    return F.array_compact(F.array(unreadable, *checks))
+    return F.array_compact(F.array(*checks))
 
 
 def _child(path: str, name: str) -> str:
@@ -155,7 +191,8 @@ def _label(label: str, name: str) -> str:
 
 def validate_payload(env: DataFrame, schema: dict) -> DataFrame:
     """Adds ``payload_errors``, empty where the payload follows the schema."""
-    return env.withColumn("payload_errors", payload_errors(schema))
+    parsed = env.withColumn("__document", F.try_parse_json(F.col("payload").cast("string")))
+    return parsed.withColumn("payload_errors", payload_errors(schema, F.col("__document"))).drop("__document")
 
 
 def allow_list(df: DataFrame, column: str, patterns: Iterable[str] | DataFrame) -> DataFrame:

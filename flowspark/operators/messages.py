@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import append_step as step_appended, client_ip, content_type_of, envelope_from_json
+from ..functions import append_step as step_appended, client_ip, content_type_of, envelope_from_json, unpacked
 from ..functions.envelopes import header
 from ..schema import DEFAULT_TTL, ENVELOPE_COLUMNS
 
@@ -80,8 +80,10 @@ def bus_to_envelopes(records: DataFrame, *, id: Column | None = None, ttl: str =
     the payload of a new message.
     """
     step = F.concat(F.lit("nats-input:"), F.col("subject"))
-    opened = records.withColumn("__e", envelope_from_json(F.col("value")))
-    inner, payload = F.col("__e"), F.col("value").cast("binary")
+    opened = records.select("*", unpacked(
+        envelope_from_json(F.col("value")), [f"__{name}" for name in ENVELOPE_COLUMNS]))
+    inner = {name: F.col(f"__{name}") for name in ENVELOPE_COLUMNS}
+    payload = F.col("value").cast("binary")
     nested = F.coalesce(inner["id"], F.lit("")) != ""
     fresh = {
         "id": id if id is not None else F.uuid(),
@@ -99,7 +101,7 @@ def bus_to_envelopes(records: DataFrame, *, id: Column | None = None, ttl: str =
         "retry_count": F.lit(0),
         "last_error": F.lit(None).cast("string"),
     }
-    kept = {name: inner[name] for name in ENVELOPE_COLUMNS}
+    kept = dict(inner)
     kept["payload_size"] = F.coalesce(F.octet_length(inner["payload"]).cast("bigint"), inner["payload_size"])
     kept["step_history"] = step_appended(inner["step_history"], step)
     return opened.select(

@@ -61,8 +61,9 @@ class Flow:
             reason = filters.reject_reason(**step.get("options", {}))
             return self._divert(df, reason.isNotNull(), REJECTED, reason)
         if kind == "validate_payload":
-            errors = filters.payload_errors(step["schema"])
-            return self._divert(df, F.size(errors) > 0, REJECTED, F.array_join(errors, "; "))
+            checked = filters.validate_payload(df, step["schema"])
+            return self._divert(checked, F.size("payload_errors") > 0, REJECTED,
+                                F.array_join("payload_errors", "; ")).drop("payload_errors")
         if kind == "map_json":
             return converters.map_json(df, step["mapping"])
         if kind == "convert":
@@ -74,9 +75,8 @@ class Flow:
         if kind == "step":
             return messages.append_step(df, step["name"])
         if kind == "route":
-            rules = [(rule["to"], filters.field_condition(rule["path"], rule["op"], rule.get("value")))
-                     for rule in step["rules"]]
-            chosen = filters.route(df.withColumn("__held", F.col("route")), rules, step.get("default", self.default))
+            chosen = filters.route_fields(
+                df.withColumn("__held", F.col("route")), step["rules"], step.get("default", self.default))
             return chosen.withColumn("route", F.coalesce("__held", "route")).drop("__held")
         raise ValueError(f"unknown step: {kind}")
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import map_json, new_envelope, validate_envelopes
-from ..operators.filters import route
+from ..operators import map_json, new_envelope, route, validate_envelopes, with_json_fields
 
 MAPPING = {
     "id": "$.order_id",
@@ -36,11 +35,9 @@ def order_workflow(orders: DataFrame, *, minimum: float = 10_000_000) -> DataFra
     """Valid orders above ``minimum`` cents, routed by priority and status: count and cents per route."""
     valid, _ = validate_envelopes(order_messages(orders))
     converted = map_json(valid, MAPPING)
-    document = converted.withColumn(
-        "__doc", F.from_json(F.col("payload").cast("string"),
-                             "id bigint, total decimal(20,2), status string, priority string"))
-    total, status, priority = (F.col("__doc")[name] for name in ("total", "status", "priority"))
-    large = document.filter(total > minimum)
+    fields, at = with_json_fields(converted, ["$.total", "$.status", "$.priority"])
+    total, status, priority = at["$.total"].cast("decimal(20,2)"), at["$.status"], at["$.priority"]
+    large = fields.filter(total > minimum)
     routed = route(large, [
         ("express", priority == "1-URGENT"),
         ("priority", (priority == "2-HIGH") & (status != "F")),

@@ -54,7 +54,9 @@ def deliver(
     def send_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                report = list(pool.map(attempt, batch[["id", "body", "mime"]].itertuples(index=False, name=None)))
+                messages = list(batch[["id", "body", "mime"]].itertuples(index=False, name=None))
+                shares = [messages[start::concurrency] for start in range(concurrency)]
+                report = [line for lines in pool.map(lambda share: list(map(attempt, share)), shares) for line in lines]
                 yield pd.DataFrame(report, columns=["id", "attempts", "status", "delivered", "error"]).astype(
                     {"status": "Int32"})
 

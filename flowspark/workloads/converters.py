@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from .. import operators as op
+from ..functions import unpacked
 from . import model as m
 from .registry import query
 
@@ -21,13 +22,12 @@ def map_json(spark, folder):
         "currency": {"const": "USD"},
         "customer": {"context": "tenant_id"},
         "status": "$.status"})
-    document = F.from_json(
-        F.col("payload").cast("string"),
-        "order_id bigint, total decimal(20,2), currency string, customer string, status string")
     kind = F.when(F.col("payload").cast("string").rlike(r'"order_id":\d+,'), "number").otherwise("text")
-    return env.select("id", document.alias("d"), kind.alias("order_id_type")).select(
-        "id", "d.order_id", F.col("d.total").cast("bigint").alias("total_cents"), "d.currency", "d.customer",
-        "d.status", "order_id_type")
+    names = ["order_id", "total", "currency", "customer", "status"]
+    return env.select("id", kind.alias("order_id_type"), F.json_tuple(F.col("payload").cast("string"), *names).alias(
+        *names)).select("id", F.col("order_id").cast("bigint").alias("order_id"),
+                        F.col("total").cast("decimal(20,2)").cast("bigint").alias("total_cents"), "currency",
+                        "customer", "status", "order_id_type")
 
 
 @query("xml_to_json", f"""
@@ -41,8 +41,8 @@ def xml_to_json(spark, folder):
 
 def _order_columns(env):
     document = F.from_json(F.col("payload").cast("string"), ORDER_SCHEMA)
-    return env.select("id", "content_type", document.alias("d")).select(
-        "id", "d.order_id", F.round(F.col("d.amount") * 100).cast("bigint").alias("cents"), "d.status", "d.priority",
+    return env.select("id", "content_type", unpacked(document, ["order_id", "amount", "status", "priority"])).select(
+        "id", "order_id", F.round(F.col("amount") * 100).cast("bigint").alias("cents"), "status", "priority",
         "content_type")
 
 
@@ -112,14 +112,13 @@ WITH {m.CHANGES} SELECT 'lsn-' || lsn AS id, CASE op WHEN 'I' THEN 'INSERT' WHEN
     AS operation, txid, table_name, CASE WHEN op <> 'I' THEN value::VARCHAR END AS before_value,
   CASE WHEN op <> 'D' THEN value::VARCHAR END AS after_value, {m.sql_stamp('ts')} AS created_at FROM changes""")
 def changes_to_envelopes(spark, folder):
-    env = op.changes_to_envelopes(m.changes(spark, folder))
+    env = op.changes_to_envelopes(m.changes(spark, folder)).drop("operation")
     document = F.from_json(
         F.col("payload").cast("string"),
         "operation string, txid bigint, table string, before map<string,string>, after map<string,string>")
-    return env.select("id", "created_at", document.alias("d")).select(
-        "id", "d.operation", "d.txid", F.col("d.table").alias("table_name"),
-        F.col("d.before")["value"].alias("before_value"), F.col("d.after")["value"].alias("after_value"),
-        m.stamp("created_at").alias("created_at"))
+    return env.select("id", "created_at", unpacked(document, ["operation", "txid", "table_name", "before", "after"])).select(
+        "id", "operation", "txid", "table_name", F.col("before")["value"].alias("before_value"),
+        F.col("after")["value"].alias("after_value"), m.stamp("created_at").alias("created_at"))
 
 
 def _to_minor_units(message, context):

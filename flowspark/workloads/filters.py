@@ -46,10 +46,10 @@ WITH {m.ORDER_PAYLOADS} SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'expr
   WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN o_orderstatus = 'F' THEN 'archive' ELSE 'standard' END
   AS route, count(*) AS messages FROM payloads GROUP BY 1""")
 def route(spark, folder):
-    routed = op.route(m.order_payloads(spark, folder), [
-        ("express", op.field_condition("$.priority", "=", "1-URGENT")),
-        ("fast", op.field_condition("$.priority", "in", ["1-URGENT", "2-HIGH"])),
-        ("archive", op.field_condition("$.status", "=", "F")),
+    routed = op.route_fields(m.order_payloads(spark, folder), [
+        {"to": "express", "path": "$.priority", "op": "=", "value": "1-URGENT"},
+        {"to": "fast", "path": "$.priority", "op": "in", "value": ["1-URGENT", "2-HIGH"]},
+        {"to": "archive", "path": "$.status", "op": "=", "value": "F"},
     ], default="standard")
     return routed.groupBy("route").agg(F.count(F.lit(1)).alias("messages"))
 
@@ -62,11 +62,11 @@ WITH {m.ORDER_PAYLOADS}, hits AS (
 SELECT id, route FROM hits
 UNION ALL SELECT id, 'standard' FROM payloads WHERE id NOT IN (SELECT id FROM hits)""")
 def route_many(spark, folder):
-    return op.route_many(m.order_payloads(spark, folder), [
-        ("express", op.field_condition("$.priority", "=", "1-URGENT")),
-        ("audit", op.field_condition("$.amount", ">=", 400000)),
-        ("archive", op.field_condition("$.status", "=", "F")),
-    ], default="standard").select("id", "route")
+    return op.route_fields(m.order_payloads(spark, folder), [
+        {"to": "express", "path": "$.priority", "op": "=", "value": "1-URGENT"},
+        {"to": "audit", "path": "$.amount", "op": ">=", "value": 400000},
+        {"to": "archive", "path": "$.status", "op": "=", "value": "F"},
+    ], default="standard", many=True).select("id", "route")
 
 
 @query("match_subject", f"""

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from .. import operators as op
-from ..functions import envelope_from_json, envelope_to_json
+from ..functions import envelope_from_json, envelope_to_json, unpacked
+from ..schema import ENVELOPE_COLUMNS
 from ..sinks import to_bus_records
 from . import model as m
 from .registry import query
@@ -36,7 +37,7 @@ def to_json(spark, folder):
 WITH {m.MESSAGES} SELECT id, tenant_id, integration_id, payload, payload_size, source,
   {m.sql_stamp('created_at')} AS created_at, {m.sql_stamp('expires_at')} AS expires_at FROM messages""")
 def from_json(spark, folder):
-    decoded = m.messages(spark, folder).select(envelope_from_json(envelope_to_json()).alias("e")).select("e.*")
+    decoded = m.messages(spark, folder).select(unpacked(envelope_from_json(envelope_to_json()), ENVELOPE_COLUMNS))
     return decoded.select(
         "id", "tenant_id", "integration_id", F.col("payload").cast("string").alias("payload"), "payload_size",
         "source", m.stamp("created_at").alias("created_at"), m.stamp("expires_at").alias("expires_at"))
