@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import organize_path, payload_checksum, render_filename
 from ..operators.filters import reject_reason
 from ..schema import INLINE_PAYLOAD_LIMIT, MAX_PAYLOAD_BYTES
-from ..sources.files import read_objects
-from .storage import exists, open_store, put
+from .storage import exists, get, open_store, put
+
+FETCHED_BYTES = 64 * 1024 * 1024
 
 
 def plan_file_output(
@@ -136,19 +137,39 @@ def offload_payloads(
     })
 
 
-def resolve_payload_refs(env: DataFrame, store: str) -> DataFrame:
-    """Puts referenced payloads back inline. Messages without a reference take no part in the join."""
-    inline = env.filter(F.col("payload_ref").isNull())
-    prefix = store.rstrip("/") + "/"
-    referring = (env.filter(F.col("payload_ref").isNotNull())
-                 .withColumn("__key", F.replace(F.col("payload_ref"), F.lit(prefix), F.lit(""))))
-    objects = read_objects(env.sparkSession, store).select(
-        F.col("key").alias("__key"), F.col("content").alias("__content"))
-    fetched = (referring.join(objects, "__key", "left")
-               .withColumns({
-                   "payload": F.coalesce("__content", "payload"),
-                   "payload_ref": F.when(F.col("__content").isNull(), F.col("payload_ref")),
-               }).select(*env.columns))
-    return inline.unionByName(fetched)
+def resolve_payload_refs(env: DataFrame, store: str, *, batch_bytes: int = FETCHED_BYTES) -> DataFrame:
+    """Puts payloads referenced below ``store`` back inline, each fetched by the task that holds its message.
 
+    Nothing is listed or shuffled. A reference to a missing object, or to a place outside the store, stays.
+    """
+    prefix = store.rstrip("/") + "/"
+    key = F.substring("payload_ref", F.lit(len(prefix) + 1), F.length("payload_ref"))
+    within = F.coalesce(F.startswith(F.col("payload_ref"), F.lit(prefix))
+                        & ~F.array_contains(F.split(key, "/"), ".."), F.lit(False))
+    ref, size = env.columns.index("payload_ref"), env.columns.index("payload_size")
+    inline = env.columns.index("payload")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = open_store(store)
+
+        def filled(batch: pa.RecordBatch, payloads: list[bytes | None]) -> pa.RecordBatch:
+            columns = list(batch.columns)
+            refs = columns[ref].to_pylist()
+            columns[inline] = pa.array(payloads, pa.binary())
+            columns[ref] = pa.array([None if payload is not None else r for r, payload in zip(refs, payloads)],
+                                    pa.string())
+            columns[size] = pa.array([len(payload) if payload is not None else s for s, payload in zip(
+                columns[size].to_pylist(), payloads)], pa.int64())
+            return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+        for batch in batches:
+            begun, payloads, held = 0, [], 0
+            for position, reference in enumerate(batch.column(ref).to_pylist()):
+                path = f"{root.rstrip('/')}/{reference[len(prefix):]}"
+                payloads.append(get(files, path) if exists(files, path) else None)
+                held += len(payloads[-1] or b"")
+                if held >= batch_bytes or position + 1 == batch.num_rows:
+                    yield filled(batch.slice(begun, len(payloads)), payloads)
+                    begun, payloads, held = position + 1, [], 0
+
+    return env.filter(~within).unionByName(env.filter(within).mapInArrow(fetch, env.schema))

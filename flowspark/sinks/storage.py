@@ -27,5 +27,16 @@ def put(store: arrow_fs.FileSystem, path: str, content: bytes) -> None:
     store.move(temporary, path)
 
 
+def get(store: arrow_fs.FileSystem, path: str) -> bytes:
+    with store.open_input_stream(path) as content:
+        return content.read()
+
+
 def exists(store: arrow_fs.FileSystem, path: str) -> bool:
     return store.get_file_info(path).type != arrow_fs.FileType.NotFound
+
+
+def children(store: arrow_fs.FileSystem, folder: str) -> list[str]:
+    """Names directly below a folder; none where it does not exist."""
+    found = store.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True))
+    return [entry.base_name for entry in found]

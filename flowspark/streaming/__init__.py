@@ -4,5 +4,5 @@ from .processors import (  # noqa: F401
     batch_transactions, dedupe_message_stream, ordered_transactions, schedule_retries, track_files, track_messages,
 )
 from .runs import (  # noqa: F401
-    apply_change_stream, for_each_batch_once, run_complete, run_to_table, run_until, stream_session,
+    apply_change_stream, for_each_batch_once, read_replica, run_complete, run_to_table, run_until, stream_session,
 )

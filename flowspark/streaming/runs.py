@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import apply_changes
 from ..session import STATE_STORE
-from ..sinks.storage import exists, open_store, put
+from ..sinks.storage import children, exists, open_store, put
 
 
 def stream_session(
@@ -93,17 +93,42 @@ def for_each_batch_once(
 
 
 def apply_change_stream(
-    changes: DataFrame, base: DataFrame, root: str, keys: list[str], checkpoint: str, **trigger
+    changes: DataFrame, base: DataFrame, root: str, keys: list[str], checkpoint: str, *, merge_every: int = 20,
+    **trigger
 ) -> StreamingQuery:
-    """Replays a change stream into versions of a table: ``root/version=<batch id>``.
+    """Replays a change stream (columns of ``base``, ``op``, ``lsn``) into a replica below ``root``.
 
-    A batch reads the version before it and writes its own, whole or not at all to a reader that follows
-    the highest handled batch. Repeating a batch overwrites its own version only.
+    A micro-batch only adds its changes to ``root/log``. Every ``merge_every`` batches the log since the last
+    merge is merged into a new ``root/version=<batch id>``, so rewriting the table is paid for by many
+    batches. Repeating a batch overwrites its own folders only. Read the replica by ``read_replica``.
     """
-    spark = base.sparkSession
-
     def replay(batch: DataFrame, batch_id: int) -> None:
-        previous = base if batch_id == 0 else spark.read.schema(base.schema).parquet(f"{root}/version={batch_id - 1}")
-        apply_changes(previous, batch, keys).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
+        if (batch_id + 1) % merge_every == 0:
+            session = batch.sparkSession
+            merged = read_replica(session, base, changes, root, keys, batch_id)
+            merged.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     return for_each_batch_once(changes, replay, checkpoint, **trigger)
+
+
+def read_replica(
+    spark: SparkSession, base: DataFrame, changes: DataFrame, root: str, keys: list[str], upto: int | None = None
+) -> DataFrame:
+    """The replica after batch ``upto`` (the last one by default): newest merged version, then its log."""
+    store, folder = open_store(root)
+
+    def complete(names: list[str], kind: str, below: str) -> list[int]:
+        return sorted(int(name.split("=")[1]) for name in names if name.startswith(f"{kind}=")
+                      and exists(store, f"{folder}/{below}{name}/_SUCCESS"))
+
+    batches = complete(children(store, f"{folder}/log"), "batch", "log/")
+    if upto is None:
+        upto = batches[-1] if batches else -1
+    versions = [number for number in complete(children(store, folder), "version", "") if number < upto + 1]
+    version = versions[-1] if versions else -1
+    table = spark.read.schema(base.schema).parquet(f"{root}/version={version}") if versions else base
+    pending = [f"{root}/log/batch={number}" for number in batches if version < number <= upto]
+    if not pending:
+        return table
+    return apply_changes(table, spark.read.schema(changes.schema).parquet(*pending), keys)

@@ -132,5 +132,6 @@ def apply_change_stream(spark, folder):
     root, checkpoint = places(spark, "replica")
     run = streaming.apply_change_stream(feed, accounts, root, ["user_id"], checkpoint, availableNow=True)
     run.awaitTermination()
-    last = run.lastProgress["batchId"]
-    return spark.read.schema(accounts.schema).parquet(f"{root}/version={last}")
+    base = m.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    return streaming.read_replica(spark, base, feed, root, ["user_id"])

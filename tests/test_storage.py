@@ -113,6 +113,17 @@ def test_large_payloads_travel_by_reference(spark, tmp_path):
     assert bytes(full["large"]["payload"]) == b"y" * 11 and full["large"]["payload_ref"] is None
     lost = light.withColumn("payload_ref", F.when(F.col("id") == "large", F.lit(f"{store}/t1/messages/gone.bin")))
     assert {row["id"]: row["payload_ref"] for row in sinks.resolve_payload_refs(lost, store).collect()}["large"]
+    (tmp_path / "secret.bin").write_bytes(b"s")
+    for reference in (f"{store}/../secret.bin", f"{tmp_path}/secret.bin"):
+        stolen = light.withColumn("payload_ref", F.lit(reference)).filter(F.col("id") == "large")
+        assert sinks.resolve_payload_refs(stolen, store).first()["payload"] is None
+
+
+def test_fetched_payloads_come_in_bounded_batches(spark, tmp_path):
+    env = envelopes(spark, [(str(n), bytes([n]) * 100, "", "s", "t") for n in range(20)]).coalesce(1)
+    light = sinks.offload_payloads(env, str(tmp_path), threshold=10)
+    full = sinks.resolve_payload_refs(light, str(tmp_path), batch_bytes=250)
+    assert {row["id"]: bytes(row["payload"]) for row in full.collect()} == {str(n): bytes([n]) * 100 for n in range(20)}
 
 
 def test_objects_have_keys_below_the_root(spark, tmp_path):

@@ -173,12 +173,17 @@ def test_change_stream_keeps_versions(spark, session, tmp_path):
         [(1, 1, "U", "uno"), (2, 3, "I", "three"), (3, 2, "D", None), (4, 3, "U", "tres"), (5, 2, "I", "dos"), (6, 1, "D", None)],
         "lsn bigint, k bigint, op string, v string")
     schema = land(spark, feed, tmp_path / "in", "lsn")
-    run = streaming.apply_change_stream(
-        read_stream(session, tmp_path / "in", schema), base, f"{tmp_path}/t", ["k"], f"{tmp_path}/c", availableNow=True)
-    run.awaitTermination()
-    versions = [rows(spark.read.parquet(f"{tmp_path}/t/version={n}")) for n in range(3)]
-    assert versions == [[(1, "uno"), (2, "two"), (3, "three")], [(1, "uno"), (3, "tres")], [(2, "dos"), (3, "tres")]]
-    assert versions[2] == rows(op.apply_changes(spark.createDataFrame(base.collect(), base.schema), feed, ["k"]))
+    stream, root = read_stream(session, tmp_path / "in", schema), f"{tmp_path}/t"
+    streaming.apply_change_stream(
+        stream, base, root, ["k"], f"{tmp_path}/c", merge_every=2, availableNow=True).awaitTermination()
+    base = spark.createDataFrame(base.collect(), base.schema)
+    versions = [rows(streaming.read_replica(spark, base, stream, root, ["k"], n)) for n in (-1, 0, 1, 2, None)]
+    assert versions == [
+        [(1, "one"), (2, "two")], [(1, "uno"), (2, "two"), (3, "three")], [(1, "uno"), (3, "tres")],
+        [(2, "dos"), (3, "tres")], [(2, "dos"), (3, "tres")]]
+    assert rows(spark.read.parquet(f"{root}/version=1")) == versions[2]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["log", "version=1"]
+    assert versions[-1] == rows(op.apply_changes(base, feed, ["k"]))
 
 
 def test_flow_stream_sends_every_batch(spark, session, tmp_path):
