@@ -12,6 +12,7 @@ a sample and enter the plan as literals, so a task that is run again sees the sa
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -41,7 +42,21 @@ def _axis(df: DataFrame, column: str) -> Column:
         return F.col(column).cast("bigint")
     if isinstance(kind, T.NumericType):
         return F.col(column).cast("double")
-    raise TypeError(f"the first order column must be a number or a time, {column} is {kind.simpleString()}")
+    if isinstance(kind, T.StringType):
+        return _text_axis(df, column)
+    raise TypeError(f"the first order column must be a number, time or text, {column} is {kind.simpleString()}")
+
+
+def _text_axis(df: DataFrame, column: str) -> Column:
+    """The seven bytes behind the prefix all texts share, as a number; texts without it go to the ends."""
+    text = F.col(column)
+    least, greatest = df.agg(F.min(F.encode(text, "UTF-8")), F.max(F.encode(text, "UTF-8"))).first()
+    prefix = os.path.commonprefix([bytes(least or b""), bytes(greatest or b"")])
+    shared = F.lit(bytearray(prefix))
+    raw = F.encode(text, "UTF-8")
+    behind = F.rpad(F.hex(F.substring(raw, len(prefix) + 1, 7)), 14, "0")
+    return (F.when(F.substring(raw, 1, len(prefix)) == shared, F.conv(behind, 16, 10).cast("bigint"))
+            .when(raw < shared, F.lit(-1).cast("bigint")).when(raw > shared, F.lit(1 << 60).cast("bigint")))
 
 
 def _quantiles(values: DataFrame, slices: int) -> tuple[int, list]:
@@ -122,7 +137,7 @@ def ordered_scan(
 
     ``rank`` numbers rows from 1, ``sums`` and ``maxima`` run up to and including the row, ``previous``
     holds the value of the row before, ``totals`` are sums over the whole key. ``order`` must be unique
-    within a key for a definite result.
+    within a key for a definite result, and ``df`` must give the same rows each time it is read.
 
     Sampling runs jobs on ``df``. Where it is expensive to compute, give in ``sample_from`` a cheaper frame
     with the keys and the first order column spread alike, such as the table it is derived from.

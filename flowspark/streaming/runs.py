@@ -13,6 +13,10 @@ from ..session import STATE_STORE
 from ..sinks.storage import children, exists, open_store, put
 
 
+# Settings a new session of the application would not take over from the caller's.
+INHERITED = ["spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"]
+
+
 def stream_session(
     spark: SparkSession, state_partitions: int | None = None, *, timers: bool = True
 ) -> SparkSession:
@@ -23,6 +27,8 @@ def stream_session(
     timers; with ``timers=False`` they do not, and so end under ``availableNow``.
     """
     session = spark.newSession()
+    for key in INHERITED:
+        session.conf.set(key, spark.conf.get(key))
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(timers).lower())
     for key, value in STATE_STORE.items():
         session.conf.set(key, value)

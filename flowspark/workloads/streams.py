@@ -15,7 +15,7 @@ MICRO_BATCH = 1 << 30
 
 def event_stream(spark, folder, *, timers=False):
     """The events table as a stream, in a session of its own."""
-    session = streaming.stream_session(spark, timers=timers)
+    session = streaming.stream_session(spark, spark.sparkContext.defaultParallelism, timers=timers)
     schema = m.table(session, folder, "events").schema
     # A glob, because a stream reads folders and globs but no single file. The size of a micro-batch is
     # bounded, and with it what the hottest key brings to its task at once.

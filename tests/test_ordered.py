@@ -84,9 +84,26 @@ def test_order_by_times_and_numbers(spark, kind):
     assert (out["n"] == out["s"] // 86400 + 1).all()
 
 
-def test_order_by_text_is_refused(spark):
+@pytest.mark.parametrize("prefix", ["", "order-", "é/"])
+def test_order_by_text(spark, prefix):
+    texts = sorted({prefix + str((n * 7919) % 5000) + "xyz"[: n % 4] for n in range(900)} | {prefix})
+    df = spark.createDataFrame([(text,) for text in texts], "name string")
+    out = ordered_scan(df, [], ["name"], rank="n", slices=9)
+    assert [row["name"] for row in out.orderBy("n").collect()] == texts
+    slicing = ordered.find_slicing(df, [], "name", 9)
+    assert df.select(slicing.position.alias("s")).distinct().count() > 5
+
+
+def test_text_outside_the_sampled_prefix(spark):
+    sampled = spark.range(100).select(F.concat(F.lit("m-"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("name"))
+    more = sampled.union(spark.createDataFrame([("a",), ("m",), ("z",), ("",), (None,)], "name string"))
+    out = ordered_scan(more, [], ["name"], rank="n", slices=6, sample_from=sampled).orderBy("n").collect()
+    assert [row["name"] for row in out] == [None] + sorted(["a", "m", "z", ""] + [f"m-{n:03d}" for n in range(100)])
+
+
+def test_order_by_a_struct_is_refused(spark):
     with pytest.raises(TypeError):
-        ordered_scan(spark.createDataFrame([("a",)], "name string"), [], ["name"], rank="n")
+        ordered_scan(spark.range(3).select(F.struct("id").alias("s")), [], ["s"], rank="n")
 
 
 def test_empty_input(spark):
