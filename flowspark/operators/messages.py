@@ -50,8 +50,9 @@ def append_step(env: DataFrame, step: str | Column) -> DataFrame:
 def files_to_envelopes(
     files: DataFrame, *, id: Column | None = None, created_at: Column | None = None, ttl: str = DEFAULT_TTL
 ) -> DataFrame:
-    """Rows of a file listing (path, modificationTime, length, content) as messages."""
+    """Rows of a file listing (path, modificationTime, length, content) as messages; an ``id`` is kept."""
     landed = files.select(
+        *[name for name in files.columns if name == "id"],
         F.col("content").alias("payload"),
         F.col("length").alias("payload_size"),
         content_type_of(F.col("path")).alias("content_type"),

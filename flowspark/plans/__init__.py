@@ -2,6 +2,7 @@
 
 from .connectors import register_builtin
 from .flow import Flow, load_config, run_flow, run_flow_stream  # noqa: F401
+from .folders import file_sink_options, file_source_options, poll_folder  # noqa: F401
 from .orders import order_messages, order_workflow  # noqa: F401
 
 register_builtin()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import sinks, sources
 from ..operators import bus_to_envelopes, files_to_envelopes, match_subject, new_envelope, requests_to_envelopes
+from ..schema import MAX_PAYLOAD_BYTES
 from ..sources.registry import register_sink, register_source
 
 
@@ -51,7 +52,8 @@ def _csv_source(spark: SparkSession, options: dict) -> DataFrame:
 def _file_sink(env: DataFrame, options: dict) -> None:
     [folder] = _required(options, "path")
     plan = sinks.plan_file_output(env, options.get("filename", "{{.ID}}.{{.Extension}}"),
-                                  organize_by=options.get("organize_by", "none"))
+                                  organize_by=options.get("organize_by", "none"),
+                                  max_size=options.get("max_size", MAX_PAYLOAD_BYTES))
     sinks.write_files(plan, folder)
 
 

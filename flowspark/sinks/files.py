@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import organize_path, payload_checksum, render_filename
 from ..operators.filters import reject_reason
@@ -117,6 +117,36 @@ def settle_files(
     return _reported(rows.mapInArrow(settle, "path string, action string, moved_to string"), report_dir)
 
 
+def fetch_files(listing: DataFrame, *, batch_bytes: int = FETCHED_BYTES) -> DataFrame:
+    """Adds ``content`` of the file at ``path``, or the ``error`` that kept it from being read.
+
+    Each file is read by the task that holds its row; an unreadable file fails its row only.
+    """
+    schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType()),
+                           T.StructField("error", T.StringType())])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begun, contents, errors, held = 0, [], [], 0
+            for position, path in enumerate(batch.column("path").to_pylist()):
+                content, error = None, None
+                try:
+                    content = get(*open_store(path))
+                except OSError as failure:
+                    error = f"{type(failure).__name__}: {failure}"
+                contents.append(content)
+                errors.append(error)
+                held += len(content or b"")
+                if held >= batch_bytes or position + 1 == batch.num_rows:
+                    part = batch.slice(begun, len(contents))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())],
+                        names=schema.names)
+                    begun, contents, errors, held = position + 1, [], [], 0
+
+    return listing.mapInArrow(fetch, schema)
+
+
 def offload_payloads(
     env: DataFrame, store: str, *, threshold: int = INLINE_PAYLOAD_LIMIT, report_dir: str | None = None
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from .. import plans, streaming
 from ..session import shared_dir
 from ..sources.registry import register_sink, register_source
 from . import model as m
+from .files import _landed
 from .registry import query
 
 ROUTED = """CASE WHEN o_orderpriority = '1-URGENT' THEN 'express'
@@ -91,3 +92,22 @@ def registered_connectors(spark, folder):
     back = open_source(spark, "nats", {"path": path, "topic": "orders.*"})
     document = F.from_json(F.col("payload").cast("string"), "order_id bigint, priority string")
     return back.select(document.alias("d")).select("d.order_id", "d.priority")
+
+
+@query("poll_folder", f"""
+WITH {m.FILES} SELECT doc_id, CASE extension WHEN 'json' THEN 'skip' ELSE 'process' END AS action,
+  CASE extension WHEN 'json' THEN '' ELSE sha256(content) END AS checksum FROM files""")
+def poll_folder(spark, folder):
+    """A second poll over a folder of which a first one has taken some files."""
+    landing, home = _landed(spark, folder), shared_dir(spark, "polls")
+    as_of = F.lit("2100-01-01 00:00:00").cast("timestamp")
+    for number, pattern in enumerate(["*.json", "*"]):
+        report = plans.poll_folder(
+            spark, landing, lambda env: env.write.parquet(f"{home}/sent{number}"), f"{home}/state",
+            as_of=as_of + F.expr(f"INTERVAL {number} HOURS"), pattern=pattern, stage_dir=f"{home}/stage{number}")
+    sent = spark.read.parquet(f"{home}/sent1").select("id", F.sha2("payload", 256).alias("checksum"))
+    staged = spark.read.parquet(f"{home}/stage1").select("id", "name")
+    named = sent.join(staged, "id").select("name", "checksum")
+    return report.join(named, "name", "left").select(
+        F.regexp_extract("name", r"^([0-9]+)", 1).cast("bigint").alias("doc_id"), "action",
+        F.coalesce("checksum", F.lit("")).alias("checksum"))
