@@ -23,7 +23,7 @@ from ..session import estimated_bytes
 SLICE_ROWS = 1_000_000          # rows of one key that one task may well sort
 MAX_SLICES = 1 << 14
 MAX_LARGE_KEYS = 10_000
-SAMPLE_BYTES = 1 << 30
+SAMPLE_BYTES = 4 << 20          # of keys and order column, by Catalyst's estimate
 SAMPLE_ROWS_PER_SLICE = 50
 
 _SLICE, _CARRY, _AXIS = "__slice", "__carry", "__axis"
@@ -99,24 +99,30 @@ def find_slicing(df: DataFrame, keys: list[str], order: str, slices: int | None
 
     narrow = df.select(*keys, axis.alias(_AXIS))
     parallelism = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Catalyst may overestimate a derived frame, so a sample that turns out too thin is not used.
-    for fraction in (min(1.0, SAMPLE_BYTES / max(1, estimated_bytes(narrow))), 1.0):
-        sample = narrow.sample(fraction, seed=7) if fraction < 1.0 else narrow
-        sampled, cuts = _quantiles(sample, parallelism)
-        if sampled >= SAMPLE_ROWS_PER_SLICE * parallelism:
+    large, fraction = [], min(1.0, SAMPLE_BYTES / max(1, estimated_bytes(narrow)))
+    while True:
+        sample = (narrow.sample(fraction, seed=7) if fraction < 1.0 else narrow).persist()
+        try:
+            sampled, cuts = _quantiles(sample, parallelism)
+            # Catalyst may overestimate a derived frame; a sample that turns out too thin is widened.
+            if sampled < SAMPLE_ROWS_PER_SLICE * parallelism and fraction < 1.0:
+                fraction = min(1.0, fraction * 16)
+                continue
+            rows = sampled / fraction
+            threshold = max(rows / MAX_LARGE_KEYS, min(SLICE_ROWS, rows / parallelism), SAMPLE_ROWS_PER_SLICE)
+            if cuts and rows > threshold:
+                # A hash that collides only makes one more key large.
+                large = (sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+                         .filter(F.col("n") > threshold * fraction)
+                         .select(F.xxhash64(*keys, F.lit(0)).alias("h")).collect())
+            wanted = min(MAX_SLICES, int(rows // SLICE_ROWS))
+            if large and wanted > parallelism:
+                cuts = _quantiles(sample, wanted)[1]
             break
-    rows = sampled / fraction
-    threshold = max(rows / MAX_LARGE_KEYS, min(SLICE_ROWS, rows / parallelism), SAMPLE_ROWS_PER_SLICE)
-    if not cuts or rows <= threshold:
-        return None
-    # A hash that collides only makes one more key large.
-    large = (sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > threshold * fraction)
-             .select(F.xxhash64(*keys, F.lit(0)).alias("h")).collect())
+        finally:
+            sample.unpersist()
     if not large:
         return None
-    wanted = min(MAX_SLICES, int(rows // SLICE_ROWS))
-    if wanted > parallelism:
-        cuts = _quantiles(sample, wanted)[1]
     return Slicing(F.xxhash64(*keys, F.lit(0)).isin([row["h"] for row in large]), _position(axis, cuts))
 
 
