@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.changes import merge_rows
+from ..operators.changes import BATCH_SIZE, MAX_BATCH_SIZE, merge_rows
+from .storage import children, open_store
 
 
 def write_archive(df: DataFrame, path: str, *, processed_at: Column) -> None:
@@ -27,6 +30,31 @@ def write_dead_letter(env: DataFrame, path: str, *, dead_at: Column, reason: Col
     marked.write.mode("append").partitionBy("dead_date").parquet(path)
 
 
+def drop_expired_days(path: str, *, as_of: date, days: int, day: str = "archive_date") -> list[str]:
+    """Removes the day folders of a log that are older than ``days``; returns their days.
+
+    Only folder names are looked at, of which there is one per day.
+    """
+    store, root = open_store(path)
+    limit = (as_of - timedelta(days=days)).isoformat()
+    found = sorted(name.split("=", 1)[1] for name in children(store, root) if name.startswith(f"{day}="))
+    expired = [value for value in found if value < limit]
+    for value in expired:
+        store.delete_dir(f"{root}/{day}={value}")
+    return expired
+
+
+def jdbc_write_options(url: str, table: str, *, batch_size: int = BATCH_SIZE, **properties) -> dict[str, str]:
+    if not 1 <= batch_size <= MAX_BATCH_SIZE:
+        raise ValueError(f"batch size must be between 1 and {MAX_BATCH_SIZE}")
+    return {"url": url, "dbtable": table, "batchsize": str(batch_size), **properties}
+
+
+def write_table_jdbc(df: DataFrame, url: str, table: str, *, mode: str = "append", **options) -> None:
+    """Inserts rows into a database table, each partition in batches over a connection of its own."""
+    df.write.format("jdbc").options(**jdbc_write_options(url, table, **options)).mode(mode).save()
+
+
 class WriteConflict(Exception):
     """Rows the chosen strategy does not allow."""
 

@@ -206,6 +206,20 @@ def test_jdbc_reads_are_split():
         jdbc_options("jdbc:x", "orders", column="id")
 
 
+def test_database_writes_are_batched():
+    assert sinks.tables.jdbc_write_options("jdbc:x", "t")["batchsize"] == "100"
+    for size in (0, 1001):
+        with pytest.raises(ValueError):
+            sinks.tables.jdbc_write_options("jdbc:x", "t", batch_size=size)
+
+
+def test_old_days_are_dropped(spark, tmp_path):
+    days = spark.createDataFrame([("2024-01-29",), ("2024-01-31",), ("2024-02-29",)], "d string")
+    sinks.write_archive(days, str(tmp_path), processed_at=F.col("d").cast("timestamp"))
+    assert sinks.drop_expired_days(str(tmp_path), as_of=datetime(2024, 3, 1).date(), days=30) == ["2024-01-29"]
+    assert spark.read.parquet(str(tmp_path)).count() == 2
+
+
 def test_unknown_types_are_refused(spark):
     with pytest.raises(ValueError, match="unknown source type: ftp"):
         open_source(spark, "ftp", {})
