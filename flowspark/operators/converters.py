@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -119,12 +120,11 @@ def apply_converter(env: DataFrame, fn: Callable[[dict, dict], dict], *, config:
     ``last_error``.
     """
     schema = T.StructType([*env.schema.fields, T.StructField("failed", T.BooleanType())])
-    names = env.columns
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for message in batch.to_dict("records"):
+            for message in batch.to_pylist():
                 context = {"config": config or {}, "metadata": {
                     key: message.get(key) for key in ("id", "tenant_id", "integration_id", "source")}}
                 try:
@@ -136,9 +136,9 @@ def apply_converter(env: DataFrame, fn: Callable[[dict, dict], dict], *, config:
                 except Exception as error:  # the function is the user's; any error is the message's
                     result = {**message, "last_error": f"{type(error).__name__}: {error}", "failed": True}
                 out.append(result)
-            yield pd.DataFrame(out, columns=[*names, "failed"])
+            yield pa.RecordBatch.from_pylist(out, batch.schema.append(pa.field("failed", pa.bool_())))
 
-    return env.mapInPandas(convert, schema)
+    return env.mapInArrow(convert, schema)
 
 
 def convert_with(

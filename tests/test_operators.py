@@ -161,6 +161,21 @@ def test_failing_function_fails_its_message_only(spark):
     assert values(kept, "id") == [("a",)]
 
 
+def test_functions_see_and_keep_plain_values(spark):
+    def look(message, context):
+        seen = [message["n"], message["at"], message["tags"], message["note"], context["metadata"]["id"]]
+        return {"payload": repr(seen), "note": "seen"}
+
+    rows = [("a", b"", 0, None, None, ["x", "y"], None, T0), ("b", b"", 0, None, 7, None, "n", T0)]
+    df = spark.createDataFrame(rows, "id string, payload binary, payload_size bigint, last_error string, n int, "
+                                     "tags array<string>, note string, at timestamp_ntz")
+    good, bad = op.convert_with(df, look)
+    out = {row["id"]: row for row in good.collect()}
+    assert bad.count() == 0 and out["a"]["n"] is None and out["b"]["n"] == 7 and out["a"]["at"] == T0
+    assert out["a"]["tags"] == ["x", "y"] and out["b"]["note"] == "seen"
+    assert bytes(out["a"]["payload"]).decode() == repr([None, T0, ["x", "y"], None, "a"])
+
+
 def test_changes_replay_in_order(spark):
     target = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "k int, v string")
     rows = [(1, 1, "U", "uno"), (2, 2, "D", None), (3, 4, "I", "four"), (4, 4, "U", "cuatro"), (5, 5, "I", "five"),
