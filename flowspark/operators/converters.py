@@ -123,20 +123,26 @@ def apply_converter(env: DataFrame, fn: Callable[[dict, dict], dict], *, config:
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for message in batch.to_pylist():
+            messages, results = batch.to_pylist(), []
+            for message in messages:
                 context = {"config": config or {}, "metadata": {
                     key: message.get(key) for key in ("id", "tenant_id", "integration_id", "source")}}
                 try:
-                    result = {**message, **fn(dict(message), context)}
-                    if isinstance(result["payload"], str):
+                    result = dict(fn(dict(message), context))
+                    if isinstance(result.get("payload"), str):
                         result["payload"] = result["payload"].encode()
-                    result["payload_size"] = len(result["payload"] or b"")
+                    result["payload_size"] = len(result.get("payload", message["payload"]) or b"")
                     result["failed"] = False
                 except Exception as error:  # the function is the user's; any error is the message's
-                    result = {**message, "last_error": f"{type(error).__name__}: {error}", "failed": True}
-                out.append(result)
-            yield pa.RecordBatch.from_pylist(out, batch.schema.append(pa.field("failed", pa.bool_())))
+                    result = {"last_error": f"{type(error).__name__}: {error}", "failed": True}
+                results.append(result)
+            # Columns no function touched pass through as they are.
+            touched = {name for result in results for name in result}
+            target = batch.schema.append(pa.field("failed", pa.bool_()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([result.get(field.name, message.get(field.name)) for result, message in zip(results, messages)],
+                         field.type) if field.name in touched else batch.column(field.name)
+                for field in target], schema=target)
 
     return env.mapInArrow(convert, schema)
 
