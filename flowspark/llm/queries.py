@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from . import mixing, secrets
+from .mixing import op9_mixing
 from .quality import op10_quality_rules
+from .secrets import op3_secret_scans
 
-QUERIES = {run.__name__: run for run in (op10_quality_rules,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {run.__name__: run for run in (op3_secret_scans, op9_mixing, op10_quality_rules)}
+ORACLES = {"op3_secret_scans": secrets.SQL, "op9_mixing": mixing.SQL}
