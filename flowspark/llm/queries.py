@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from . import mixing, secrets
+from .language import op4_language_id
 from .mixing import op9_mixing
 from .pieces import op7_sentencepiece
 from .quality import op10_quality_rules
 from .secrets import op3_secret_scans
 
-QUERIES = {run.__name__: run for run in (op3_secret_scans, op7_sentencepiece, op9_mixing, op10_quality_rules)}
+QUERIES = {run.__name__: run for run in (op3_secret_scans, op4_language_id, op7_sentencepiece, op9_mixing, op10_quality_rules)}
 ORACLES = {"op3_secret_scans": secrets.SQL, "op9_mixing": mixing.SQL}

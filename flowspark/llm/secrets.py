@@ -172,17 +172,17 @@ def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     columns = [F.col(f"`{name}`") for name in df.columns if name != "secret_spans"]
     # A copy group of any size is spread by the other columns of its rows.
     spread = [F.col(f"`{name}`") for name, kind in df.dtypes if name != text and not kind.startswith(("map", "array<map"))]
-    keyed = df.select(F.struct(*columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("__text"),
-                      F.xxhash64(F.col(text), *spread).alias("__key"))
-    found = candidates(keyed, "__key", "__text", rules)
-    joined = keyed.join(found, "__key", "left")
+    keyed = df.select(F.struct(*columns).alias("row"), F.xxhash64(F.col(text), *spread).alias("__key"))
+    searched = df.select(F.xxhash64(F.col(text), *spread).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    found = candidates(searched, "__key", "__text", rules)
+    joined, value = keyed.join(found, "__key", "left"), F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     parts = []
     for order, rule in enumerate(rules):
-        spans = _spans(F.col("__text"), rule, order)
+        spans = _spans(value, rule, order)
         if trigram_query(rule.pattern):
             spans = F.when(F.array_contains("may_match", rule.kind), spans)
         else:
-            spans = F.when(F.col("__text").rlike(rule.pattern), spans)
+            spans = F.when(value.rlike(rule.pattern), spans)
         parts.append(F.coalesce(spans, F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")))
     return joined.select("row.*", F.sort_array(F.concat(*parts)).alias("secret_spans"))
 
