@@ -8,7 +8,8 @@ from .language import op4_language_id
 from .mixing import op9_mixing
 from .pieces import op7_sentencepiece
 from .quality import op10_quality_rules
+from .repeats import op5_repeated_substrings
 from .secrets import op3_secret_scans
 
-QUERIES = {run.__name__: run for run in (op1_ngram_jaccard, op3_secret_scans, op4_language_id, op7_sentencepiece, op9_mixing, op10_quality_rules)}
+QUERIES = {run.__name__: run for run in (op1_ngram_jaccard, op3_secret_scans, op4_language_id, op5_repeated_substrings, op7_sentencepiece, op9_mixing, op10_quality_rules)}
 ORACLES = {"op1_ngram_jaccard": jaccard.SQL, "op3_secret_scans": secrets.SQL, "op9_mixing": mixing.SQL}
