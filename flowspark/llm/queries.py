@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, secrets
+from . import chat, jaccard, mixing, secrets
+from .chat import op8_chat_formatting
 from .jaccard import op1_ngram_jaccard
 from .language import op4_language_id
 from .mixing import op9_mixing
+from .neighbours import op6_nearest_neighbours
 from .pieces import op7_sentencepiece
 from .quality import op10_quality_rules
 from .repeats import op5_repeated_substrings
 from .secrets import op3_secret_scans
 
-QUERIES = {run.__name__: run for run in (op1_ngram_jaccard, op3_secret_scans, op4_language_id, op5_repeated_substrings, op7_sentencepiece, op9_mixing, op10_quality_rules)}
-ORACLES = {"op1_ngram_jaccard": jaccard.SQL, "op3_secret_scans": secrets.SQL, "op9_mixing": mixing.SQL}
+QUERIES = {run.__name__: run for run in (
+    op1_ngram_jaccard, op3_secret_scans, op4_language_id, op5_repeated_substrings, op6_nearest_neighbours,
+    op7_sentencepiece, op8_chat_formatting, op9_mixing, op10_quality_rules)}
+ORACLES = {"op1_ngram_jaccard": jaccard.SQL, "op3_secret_scans": secrets.SQL, "op8_chat_formatting": chat.SQL,
+           "op9_mixing": mixing.SQL}
