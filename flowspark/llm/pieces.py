@@ -12,13 +12,18 @@ and columns with the names of the results are replaced.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from .common import table
 
@@ -26,8 +31,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts handed to the library at a time.
-AT_ONCE = 256
+#: Texts, and their characters, handed to the library at a time; a longer text goes alone.
+AT_ONCE, CHARACTERS = 64, 1 << 17
+#: Threads of the library in one task; an executor runs several tasks.
+THREADS = 2
+#: Units remembered by a task.
+UNITS = 300_000
+UNIT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -102,8 +112,6 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 def tokenizer(model: Model):
     """The model as a tokenizer of the tokenizers library."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
-
     if not model.mark_spaces or model.mark_behind:
         raise ValueError("models that don't mark spaces, or mark them behind words, are not supported")
     vocab = {text: k for k, (text, _, _) in enumerate(model.pieces)}
@@ -147,24 +155,85 @@ def _mapped(df: DataFrame, add: dict[str, T.DataType], task) -> DataFrame:
     return df.mapInArrow(task(kept), schema)
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the pieces' numbers as an array."""
+def _portions(whole: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold few values and few characters (or ids)."""
+    values = whole.column(column)
+    lengths = (pa.compute.binary_length if pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
+               else pa.compute.list_value_length)(values).fill_null(0).to_pylist()
+    first = size = 0
+    for k, length in enumerate(lengths):
+        if k > first and (k - first >= AT_ONCE or size + length > CHARACTERS):
+            yield whole.slice(first, k - first)
+            first, size = k, 0
+        size += length
+    if whole.num_rows > first:
+        yield whole.slice(first)
+
+
+class Coder:
+    """A task's tokenizer, with the ids of units it has met.
+
+    Where the model permits it, texts are cut into units between which no piece can lie (spaces with the word behind them,
+    line feeds) and only new units go to the library; otherwise whole texts do.
+    """
+
+    def __init__(self, data: bytes):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # before the library starts its threads
+        self.model = model = Model.parse(data)
+        self.library = tokenizer(model)
+        normal = [text for text, _, kind in model.pieces if kind in (NORMAL, USER)]
+        self.cuts = (model.byte_fallback and model.dummy_prefix and not model.charsmap and not model.squeeze_spaces
+                     and not any(kind == USER for _, _, kind in model.pieces)
+                     and not any(MARK in text.lstrip(MARK) or "\n" in text for text in normal))
+        if self.cuts:
+            self.library.normalizer = normalizers.Replace(" ", MARK)
+            self.units: dict[str, bytes] = {}
+        # What each id stands for; the marker is a space.
+        self.bytes = [bytes([int(text[3:-1], 16)]) if kind == BYTE else text.replace(MARK, " ").encode()
+                      for text, _, kind in model.pieces]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cuts:
+            return [np.array(found.ids, np.int32) for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [UNIT.findall(" " + text) if text else [] for text in texts]
+        new = list({unit for units in cut for unit in units if unit not in self.units})
+        for unit, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            self.units[unit] = np.array(found.ids, np.int32).tobytes()
+        ids = [np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int32) for units in cut]
+        if len(self.units) > UNITS:
+            self.units.clear()
+        return ids
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The pieces' bytes; broken byte sequences become replacement characters, the dummy prefix goes."""
+        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+
+def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """``df`` with the pieces' numbers as an array; ``round_trip`` names a column that says if they decode to the text."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # one file's bytes, fixed in size
+    add = {ids: T.ArrayType(T.IntegerType())} | ({round_trip: T.BooleanType()} if round_trip else {})
 
     def task(kept: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made = tokenizer(Model.parse(sent.value))
+            coder = Coder(sent.value)
             for whole in batches:
-                for at in range(0, whole.num_rows, AT_ONCE):
-                    batch = whole.slice(at, AT_ONCE)
+                for batch in _portions(whole, text):
                     texts = batch.column(text).to_pylist()
-                    done = iter(made.encode_batch_fast([t for t in texts if t], add_special_tokens=False))
-                    rows = [next(done).ids if t else None if t is None else [] for t in texts]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(name) for name in kept), pa.array(rows, pa.list_(pa.int32()))], [*kept, ids])
+                    rows = coder.encode([value or "" for value in texts])
+                    offsets = np.concatenate(([0], np.cumsum([len(row) for row in rows]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(
+                        pa.array(offsets), pa.array(np.concatenate(rows)),
+                        mask=pa.array([value is None for value in texts]))
+                    columns = [*(batch.column(name) for name in kept), lists]
+                    if round_trip:
+                        columns.append(pa.array([value is None or coder.decode(row) == value
+                                                 for row, value in zip(rows, texts)]))
+                    yield pa.RecordBatch.from_arrays(columns, [*kept, *add])
         return run
 
-    return _mapped(df, {ids: T.ArrayType(T.IntegerType())}, task)
+    return _mapped(df, add, task)
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -173,13 +242,11 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
 
     def task(kept: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made = tokenizer(Model.parse(sent.value))
+            coder = Coder(sent.value)
             for whole in batches:
-                for at in range(0, whole.num_rows, AT_ONCE):
-                    batch = whole.slice(at, AT_ONCE)
-                    rows = batch.column(ids).to_pylist()
-                    done = iter(made.decode_batch([r for r in rows if r], skip_special_tokens=False))
-                    texts = [next(done) if r else None if r is None else "" for r in rows]
+                for batch in _portions(whole, ids):
+                    texts = [None if row is None else coder.decode(np.array(row, np.int64))
+                             for row in batch.column(ids).to_pylist()]
                     yield pa.RecordBatch.from_arrays(
                         [*(batch.column(name) for name in kept), pa.array(texts, pa.string())], [*kept, text])
         return run
@@ -190,7 +257,5 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives the text back."""
     model = read_model(spark)
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    both = decode(encoded, model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, round_trip="round_trip")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
