@@ -37,7 +37,7 @@ AT_ONCE, CHARACTERS = 64, 1 << 17
 THREADS = 2
 #: Units remembered by a task.
 UNITS = 300_000
-UNIT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
+UNIT = re.compile(r"[ ▁]+[^ ▁\n]*|\n|[^ ▁\n]+")  # a marker in a text is a space to the model
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
