@@ -33,7 +33,7 @@ from .shingles import mixed, sets
 
 PERCENT = 75
 #: Documents, and distinct shingles, that a task compares among themselves before it asks the segments.
-PORTION, PORTION_SHINGLES = 4096, 1 << 21
+PORTION, PORTION_SHINGLES = 1024, 1 << 19
 FREQUENT = 1 << 20
 FREQUENT_FROM = 16
 PARTS = "key int, ids array<long>, sizes array<int>, counts array<int>, low array<int>, marks array<int>, tokens array<long>"
@@ -76,7 +76,7 @@ def _portions(batches: Iterator[pa.RecordBatch], drop: np.uint64):
         lengths = np.array([len(tokens) for tokens in found], np.int64)
         return (np.array(ids, np.int64), lengths, np.concatenate(found) >> drop, np.repeat(np.arange(len(ids)), lengths))
 
-    for batch in batches:
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         own = batch.column(0).to_pylist()
         for number, tokens in sets(batch.column(1).to_pylist()):
             ids.append(own[number])

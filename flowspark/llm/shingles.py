@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text hashed at a time; a longer text is hashed alone.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
