@@ -80,6 +80,13 @@ def _portions(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
         yield portion
 
 
+def _behind(codes: np.ndarray, steps: int) -> np.ndarray:
+    """Each place's symbol ``steps`` before, 0 where there is none."""
+    moved = np.zeros_like(codes)
+    moved[steps:] = codes[:max(0, len(codes) - steps)]
+    return moved
+
+
 def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams of length ``ORDER`` of all pieces, oldest symbol highest, and where each piece's begin."""
     points = np.frombuffer("\n".join(["", *pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -89,15 +96,11 @@ def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kept[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     starts = np.cumsum(kept)[np.concatenate(([0], np.cumsum(lengths)[:-1]))]  # the first symbol is a boundary and not predicted
     codes = codes[kept]
-    key, context, alive = codes.copy(), codes, None
+    key, inside = codes.copy(), np.ones(len(codes), bool)
     for back in range(1, ORDER):
-        context = np.concatenate((np.zeros(1, np.uint64), context[:-1]))
-        if alive is not None:
-            alive = alive & (np.concatenate((np.zeros(back - 1, np.uint64), codes[:-(back - 1)])) != 0)
-            shown = np.where(alive, context, np.uint64(0))
-        else:
-            alive, shown = np.ones(len(codes), bool), context
-        key |= shown << np.uint64(16 * back)
+        before = _behind(codes, back)
+        key |= np.where(inside, before, np.uint64(0)) << np.uint64(16 * back)
+        inside &= before != 0  # what lies beyond a boundary is not seen
     return key[1:], np.minimum(starts - 1, max(0, len(key) - 2))
 
 

@@ -77,7 +77,7 @@ def _sampled(length: int, gram: int) -> Callable:
 
 
 def _halves(length: int) -> Callable:
-    """Ranks of both halves of the windows that are asked for; input (doc, text, asked)."""
+    """Ranks of both halves of the windows that are asked for; input (doc, text, asked, ...)."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +113,13 @@ def _gathered(run: Callable) -> Callable:
 
 
 def repeated_windows(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """``documents`` (doc, text) -> runs (doc, first, last) of windows that are repeated somewhere."""
-    anchors = documents.mapInArrow(_sampled(length, gram), "name long, stretch long, doc long, first int, last int")
+    """``documents`` (doc, text, id) -> runs (doc, first, last) of windows that are repeated somewhere."""
+    anchors = documents.select("doc", "text").mapInArrow(_sampled(length, gram), "name long, stretch long, doc long, first int, last int")
     shared = anchors.groupBy("name").agg(
         F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).filter("n > 1")
-    found = stashed(anchors.join(shared.select("name", (F.col("low") == F.col("high")).alias("alike")), "name"), "anchors")
+    # Written first: a join next to its grouping could not split a large name.
+    shared = stashed(shared.select("name", (F.col("low") == F.col("high")).alias("alike")), "names")
+    found = stashed(anchors.join(shared, "name"), "anchors")
     classes = found.filter("NOT alike").groupBy("name", "stretch").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "first", "last")).alias("one"))
     classes = stashed(classes, "stretches")
@@ -126,7 +128,8 @@ def repeated_windows(documents: DataFrame, length: int = LENGTH, gram: int = GRA
         .select("doc", "first", "last"))
     asked = classes.select("one.doc", F.struct("one.first", "one.last", (F.col("n") == 1).alias("alone")).alias("part"))
     asked = asked.groupBy("doc").agg(F.collect_list("part").alias("asked"))  # bounded by the document's length
-    windows = documents.join(asked, "doc").select("doc", "text", "asked").mapInArrow(
+    # The same columns as in the last join, so that both read one shuffle of the texts.
+    windows = documents.join(asked, "doc").select("doc", "text", "asked", "id").mapInArrow(
         _gathered(_halves(length)), "rank long, rank_on long, doc long, at int, alone boolean")
     pairs = windows.select(F.xxhash64("rank", "rank_on").alias("rank"), "doc", "at", "alone")
     twice = pairs.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank")
@@ -167,8 +170,8 @@ def without_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text"
                     gram: int = GRAM) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes left) of every row."""
     rows = documents.select(F.xxhash64(id, text).alias("doc"), F.col(id).alias("id"), F.col(text).alias("text"))
-    sure, late = repeated_windows(rows.select("doc", "text"), length, gram)
-    runs = sure.unionByName(late).distinct().groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    sure, late = repeated_windows(rows, length, gram)
+    runs = sure.unionByName(late).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kind = documents.schema[id].dataType.simpleString()
     joined = rows.join(runs, "doc", "left").select("id", "text", "runs")
     return joined.mapInArrow(_cut(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
