@@ -109,8 +109,14 @@ def _known(value: Column) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit("unknown"))
 
 
+def key_part(value: Column) -> Column:
+    """One part of an object's key: different values give different parts, and none leaves its folder."""
+    encoded = F.url_encode(value)
+    return F.when(encoded.rlike(r"^\.+$"), F.replace(encoded, F.lit("."), F.lit("%2E"))).otherwise(encoded)
+
+
 def object_key(tenant_id: Column, id: Column, prefix: str = "temp") -> Column:
-    return F.concat_ws("/", F.lit(prefix), tenant_id, F.lit("messages"), F.concat(id, F.lit(".bin")))
+    return F.concat_ws("/", F.lit(prefix), key_part(tenant_id), F.lit("messages"), F.concat(key_part(id), F.lit(".bin")))
 
 
 def subject_regex(pattern: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Fixed values.
 MAX_SHIFT = 20
 MAX_BACKOFF_MS = 5 * 60 * 1000
 
@@ -11,11 +12,9 @@ MAX_BACKOFF_MS = 5 * 60 * 1000
 def backoff_ms(base: Column, attempts: Column, cap: int = MAX_BACKOFF_MS) -> Column:
     """Wait after ``attempts`` failures: doubles from ``base``, never above ``cap``."""
     doublings = F.least(F.greatest(attempts.cast("int") - 1, F.lit(0)), F.lit(MAX_SHIFT))
-    factor = F.call_function("shiftleft", F.lit(1).cast("bigint"), doublings)
-    base, limit = base.cast("bigint"), F.lit(cap).cast("bigint")
-    return (F.when(base <= 0, F.lit(0).cast("bigint"))
-            .when(base > F.floor(limit / factor), limit)
-            .otherwise(base * factor))
+    # Wide enough for the largest base doubled MAX_SHIFT times.
+    wait = F.greatest(base, F.lit(0)).cast("decimal(19,0)") * F.pow(F.lit(2), doublings).cast("decimal(10,0)")
+    return F.least(wait, F.lit(cap)).cast("bigint")
 
 
 def backoff_policy_ms(

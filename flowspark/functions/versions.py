@@ -8,9 +8,17 @@ from pyspark.sql import Column, functions as F
 
 
 def version_key(version: Column) -> Column:
-    """``MAJOR.MINOR.PATCH`` as an INT array, which Spark orders element by element."""
-    digits = F.regexp_extract_all(F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1), F.lit(r"(\d+)"), 1)
-    return F.transform(digits, lambda part: part.try_cast("int"))
+    """A version as a value that Spark orders as semantic versions are: three numbers (missing ones are 0), releases
+    after their pre-releases, and identifiers of a pre-release one by one, numbers before words. Build metadata does
+    not count; what is no version is NULL."""
+    core = F.regexp_extract(version, r"^v?(\d+(?:\.\d+)*)", 1)
+    digits = F.transform(F.regexp_extract_all(core, F.lit(r"(\d+)"), 1), lambda part: part.try_cast("bigint"))
+    padded = F.when(F.size(digits) < 3, F.slice(
+        F.concat(digits, F.array_repeat(F.lit(0).cast("bigint"), 3)), 1, 3)).otherwise(digits)
+    before = F.regexp_extract(version, r"^v?[\d.]+-([0-9A-Za-z.-]+)", 1)
+    parts = F.transform(F.array_remove(F.split(before, r"\."), ""), lambda part: F.struct(
+        part.rlike(r"^\d+$").eqNullSafe(False).alias("word"), part.try_cast("bigint").alias("number"), part.alias("text")))
+    return F.when(core != "", F.struct(padded.alias("core"), (before == "").alias("release"), parts.alias("before")))
 
 
 def in_range(version: Column, allowed: str) -> Column:
@@ -23,9 +31,8 @@ def in_range(version: Column, allowed: str) -> Column:
     }
     condition = F.lit(True)
     for clause in allowed.split(","):
-        found = re.fullmatch(r"\s*(>=|<=|==|=|>|<)?\s*v?([\d.]+)\s*", clause)
+        found = re.fullmatch(r"\s*(>=|<=|==|=|>|<)?\s*(v?\d[\d.]*(?:-[0-9A-Za-z.-]+)?)\s*", clause)
         if found is None:
             raise ValueError(f"bad version range: {allowed}")
-        bound = F.array(*[F.lit(int(part)) for part in found[2].split(".")])
-        condition = condition & tests[found[1] or "="](bound)
+        condition = condition & tests[found[1] or "="](version_key(F.lit(found[2])))
     return condition

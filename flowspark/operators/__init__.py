@@ -8,7 +8,8 @@ from .changes import (  # noqa: F401
     apply_changes, batch_number, change_images, group_by_operation, group_transactions, last_change, merge_rows,
 )
 from .converters import (  # noqa: F401
-    apply_converter, changes_to_envelopes, convert_types, convert_with, csv_to_json, enrich, filter_with,
+    apply_converter, changes_to_envelopes, convert_types, convert_with, converted_and_failed, csv_to_json, decide_with,
+    enrich, filter_with,
     json_to_xml, map_json, with_payload, xml_to_json,
 )
 from .filters import (  # noqa: F401

@@ -74,13 +74,16 @@ def place_integrations(integrations: DataFrame, capacity: int = INSTANCE_CAPACIT
 
 
 def quota_usage(messages: DataFrame, integrations: DataFrame, tenants: DataFrame) -> DataFrame:
-    """Messages per tenant and month, and integrations per tenant, against the tenant's limits."""
+    """Messages per tenant and month, and integrations per tenant, against the tenant's limits.
+
+    Every tenant is listed; one without messages has a NULL month.
+    """
     monthly = messages.groupBy("tenant_id", F.date_trunc("month", "created_at").alias("month")).agg(
         F.count(F.lit(1)).alias("messages"))
     owned = integrations.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("integrations"))
     limits = tenants.select(F.col("id").alias("tenant_id"), "max_messages_per_month", "max_integrations")
-    return (monthly.join(limits, "tenant_id").join(owned, "tenant_id", "left")
-            .withColumn("integrations", F.coalesce("integrations", F.lit(0).cast("bigint")))
+    return (limits.join(monthly, "tenant_id", "left").join(owned, "tenant_id", "left")
+            .withColumns({name: F.coalesce(name, F.lit(0).cast("bigint")) for name in ("messages", "integrations")})
             .withColumns({
                 "over_messages": F.col("messages") > F.col("max_messages_per_month"),
                 "over_integrations": F.col("integrations") > F.col("max_integrations"),

@@ -32,21 +32,27 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], *, op:
 def merge_rows(
     target: DataFrame, incoming: DataFrame, keys: list[str], strategy: str = "upsert"
 ) -> tuple[DataFrame, DataFrame]:
-    """``(merged, conflicts)`` of writing ``incoming``, which is unique by ``keys``.
+    """``(merged, conflicts)`` of writing ``incoming``.
 
-    ``insert`` conflicts with rows that exist, ``update`` with rows that do not; ``upsert`` never does.
+    ``insert`` conflicts with rows that exist, ``update`` with rows that do not. Rows of ``incoming`` that share
+    their keys, or have a NULL among them, conflict under every strategy: none of them is written.
     """
-    rows = incoming.select(*target.columns)
-    none = rows.limit(0)
+    counted = incoming.select(*target.columns, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__same"))
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
+    rows = counted.filter((F.col("__same") == 1) & whole).drop("__same")
+    unclear = counted.filter((F.col("__same") > 1) | ~whole).drop("__same")
     present = rows.join(target.select(*keys), keys, "left_semi").select(*target.columns)
     absent = rows.join(target.select(*keys), keys, "left_anti").select(*target.columns)
     if strategy == "insert":
-        return target.unionByName(absent), present
+        return target.unionByName(absent), present.unionByName(unclear)
     kept = target.join(rows.select(*keys), keys, "left_anti").select(*target.columns)
     if strategy == "upsert":
-        return kept.unionByName(rows), none
+        return kept.unionByName(rows), unclear
     if strategy == "update":
-        return kept.unionByName(present), absent
+        updated = target.join(present.select(*keys), keys, "left_anti").select(*target.columns)
+        return updated.unionByName(present), absent.unionByName(unclear)
     raise ValueError(f"unknown strategy: {strategy}")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -13,15 +12,26 @@ def _text(payload: str = "payload") -> Column:
     return F.col(payload).cast("string")
 
 
-def with_payload(env: DataFrame, body: Column, content_type: str) -> DataFrame:
-    """Replaces the payload; its size and MIME type follow."""
-    replaced = env.withColumn("payload", body.cast("binary"))
+def with_payload(env: DataFrame, body: Column, content_type: str, malformed: Column, kind: str) -> DataFrame:
+    """Replaces the payload; its size and MIME type follow. Where the payload is malformed the message stays as it
+    is, and ``conversion_error`` says why."""
+    marked = env.withColumn("conversion_error", F.when(F.coalesce(malformed, F.lit(True)), F.lit(f"malformed {kind}")))
+    fine = F.col("conversion_error").isNull()
+    replaced = marked.withColumn("payload", F.when(fine, body.cast("binary")).otherwise(F.col("payload")))
     return replaced.withColumns({
         "payload_size": F.octet_length("payload").cast("bigint"),
-        "content_type": F.lit(content_type),
+        "content_type": F.when(fine, F.lit(content_type)).otherwise(
+            F.col("content_type") if "content_type" in env.columns else F.lit(None).cast("string")),
     })
 
 
+def converted_and_failed(env: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(converted, failed)`` of a conversion; failed messages have their reason in ``last_error``."""
+    bad = F.col("conversion_error").isNotNull()
+    return (env.filter(~bad).drop("conversion_error"),
+            env.filter(bad).withColumn("last_error", F.col("conversion_error")).drop("conversion_error"))
+
+
 def map_json(env: DataFrame, mapping: dict[str, str | dict]) -> DataFrame:
     """Builds a new JSON payload, field by field.
 
@@ -42,17 +52,29 @@ def map_json(env: DataFrame, mapping: dict[str, str | dict]) -> DataFrame:
         return value * F.lit(rule["multiply"]) if "multiply" in rule else value
 
     body = F.to_json(F.struct(*[field(rule).alias(name) for name, rule in mapping.items()]))
-    return with_payload(parsed, body, "application/json").drop("__doc")
+    return with_payload(parsed, body, "application/json", F.col("__doc").isNull(), "JSON").drop("__doc")
+
+
+REST = "__rest"
+
+
+def _with_rest(schema: str | T.StructType) -> T.StructType:
+    """The schema with a column for what does not follow it."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    return T.StructType([*schema.fields, T.StructField(REST, T.StringType())])
 
 
 def json_to_xml(env: DataFrame, schema: str | T.StructType, row_tag: str = "ROW") -> DataFrame:
     body = F.to_xml(F.from_json(_text(), schema), {"rowTag": row_tag})
-    return with_payload(env, body, "application/xml")
+    return with_payload(env, body, "application/xml", F.try_parse_json(_text()).isNull(), "JSON")
 
 
 def xml_to_json(env: DataFrame, schema: str | T.StructType, row_tag: str = "ROW") -> DataFrame:
-    body = F.to_json(F.from_xml(_text(), schema, {"rowTag": row_tag}))
-    return with_payload(env, body, "application/json")
+    whole = _with_rest(schema)
+    parsed = env.withColumn("__row", F.from_xml(_text(), whole, {"rowTag": row_tag, "columnNameOfCorruptRecord": REST}))
+    body = F.to_json(F.struct(*[F.col(f"__row.`{name}`") for name in whole.names if name != REST]))
+    return with_payload(parsed, body, "application/json", F.col(f"__row.{REST}").isNotNull(), "XML").drop("__row")
 
 
 def csv_to_json(env: DataFrame, schema: str, *, sep: str = ",", header: bool = False) -> DataFrame:
@@ -61,8 +83,16 @@ def csv_to_json(env: DataFrame, schema: str, *, sep: str = ",", header: bool = F
     if header:
         lines = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
     exploded = env.select("*", F.posexplode(lines).alias("line_number", "__line"))
-    body = F.to_json(F.from_csv("__line", F.lit(schema), {"sep": sep}))
-    return with_payload(exploded, body, "application/json").drop("__line")
+    whole = _with_rest(schema)
+    parsed = exploded.withColumn("__row", F.from_csv("__line", F.lit(whole.simpleString()[len("struct<"):-1].replace(
+        ":", " ")), {"sep": sep, "columnNameOfCorruptRecord": REST}))
+    body = F.to_json(F.struct(*[F.col(f"__row.`{name}`") for name in whole.names if name != REST]))
+    done = with_payload(parsed, body, "application/json", F.col(f"__row.{REST}").isNotNull(), "CSV line")
+    # A bad line is what its message keeps, not the whole payload again.
+    return done.withColumns({
+        "payload": F.when(F.col("conversion_error").isNull(), F.col("payload")).otherwise(F.col("__line").cast("binary")),
+        "payload_size": F.when(F.col("conversion_error").isNull(), F.col("payload_size")).otherwise(
+            F.octet_length("__line").cast("bigint"))}).drop("__line", "__row")
 
 
 def convert_types(env: DataFrame, schema: str | T.StructType) -> DataFrame:
@@ -113,11 +143,13 @@ def changes_to_envelopes(changes: DataFrame, *, id: Column | None = None, source
     return made.drop("ts")
 
 
-def apply_converter(env: DataFrame, fn: Callable[[dict, dict], dict], *, config: dict | None = None) -> DataFrame:
+def apply_converter(
+    env: DataFrame, fn: Callable[[dict, dict], dict], *, config: dict | None = None, skip: str | None = None
+) -> DataFrame:
     """A user function ``(message, context) -> message`` over all messages, in one pass.
 
     An exception fails its message only, which keeps its input, has ``failed`` set and the reason in
-    ``last_error``.
+    ``last_error``. Messages with a true value in the column ``skip`` are not handed to the function.
     """
     schema = T.StructType([*env.schema.fields, T.StructField("failed", T.BooleanType())])
 
@@ -125,6 +157,9 @@ def apply_converter(env: DataFrame, fn: Callable[[dict, dict], dict], *, config:
         for batch in batches:
             messages, results = batch.to_pylist(), []
             for message in messages:
+                if skip and message[skip]:
+                    results.append({"failed": False})
+                    continue
                 context = {"config": config or {}, "metadata": {
                     key: message.get(key) for key in ("id", "tenant_id", "integration_id", "source")}}
                 try:
@@ -156,18 +191,32 @@ def convert_with(
     return done.filter(~F.col("failed")).drop("failed"), done.filter("failed").drop("failed")
 
 
-def filter_with(env: DataFrame, fn: Callable[[dict, dict], bool], *, config: dict | None = None) -> DataFrame:
-    """Keeps messages a user function ``(message, context) -> pass?`` passes; an error drops."""
+def decide_with(env: DataFrame, fn: Callable[[dict, dict], bool], *, config: dict | None = None) -> DataFrame:
+    """Adds ``passes``, what a user function ``(message, context) -> pass?`` says, and ``filter_error``.
+
+    Messages reach the function with all columns and their own types, NULL as None. An error is no pass; its text
+    is in ``filter_error``.
+    """
     settings = config or {}
+    schema = T.StructType([*env.schema.fields, T.StructField("passes", T.BooleanType()),
+                           T.StructField("filter_error", T.StringType())])
 
-    @F.pandas_udf("boolean")
-    def passes(messages: pd.DataFrame) -> pd.Series:
-        def one(message: dict) -> bool:
-            try:
-                return bool(fn(message, {"config": settings}))
-            except Exception:
-                return False
-        return pd.Series([one(message) for message in messages.to_dict("records")], dtype=bool)
-
-    scalars = [field.name for field in env.schema if not isinstance(field.dataType, (T.ArrayType, T.MapType))]
-    return env.filter(passes(F.struct(*scalars)))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passes, errors = [], []
+            for message in batch.to_pylist():
+                try:
+                    passes.append(bool(fn(message, {"config": settings})))
+                    errors.append(None)
+                except Exception as error:  # the function is the user's; any error is the message's
+                    passes.append(False)
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passes, pa.bool_()), pa.array(errors, pa.string())],
+                                             names=[*batch.schema.names, "passes", "filter_error"])
+
+    return env.mapInArrow(decide, schema)
+
+
+def filter_with(env: DataFrame, fn: Callable[[dict, dict], bool], *, config: dict | None = None) -> DataFrame:
+    """Keeps messages a user function passes; ``decide_with`` also tells which ones failed, and why."""
+    return decide_with(env, fn, config=config).filter("passes").drop("passes", "filter_error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterable
 
@@ -51,6 +52,9 @@ def without_json_fields(env: DataFrame) -> DataFrame:
     return env.drop(*[name for name in env.columns if name.startswith("__field")])
 
 
+COMPARED = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+
+
 def field_condition(path: str, op: str, value=None, field: Column | None = None) -> Column:
     """Condition on a JSON field; never NULL, a missing field or one of another type does not match.
 
@@ -66,13 +70,15 @@ def field_condition(path: str, op: str, value=None, field: Column | None = None)
         return F.coalesce(field.isin([str(item) for item in value]), F.lit(False))
     if isinstance(value, bool):
         value = str(value).lower()
-    elif isinstance(value, (int, float)):
-        field = field.try_cast("double")
-    tests = {"=": field == value, "!=": field != value, ">": field > value, ">=": field >= value,
-             "<": field < value, "<=": field <= value}
-    if op not in tests:
+    if op not in COMPARED:
         raise ValueError(f"unknown condition: {op}")
-    return F.coalesce(tests[op], F.lit(False))
+    if isinstance(value, int):
+        # Whole numbers exactly; what a decimal can't hold as a double.
+        exact = COMPARED[op](field.try_cast("decimal(38,10)"), F.lit(value).cast("decimal(38,0)"))
+        return F.coalesce(exact, COMPARED[op](field.try_cast("double"), F.lit(float(value))), F.lit(False))
+    if isinstance(value, float):
+        field = field.try_cast("double")
+    return F.coalesce(COMPARED[op](field, F.lit(value)), F.lit(False))
 
 
 def filter_field(env: DataFrame, path: str, op: str, value=None) -> DataFrame:
@@ -155,7 +161,7 @@ def assert_isolated(env: DataFrame, integrations: DataFrame) -> DataFrame:
 # JSON Schema type -> how Spark names the type of such a variant value.
 _VARIANT_TYPES = {
     "object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "boolean": "^BOOLEAN$", "null": "^VOID$",
-    "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
+    "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
 }
 
 
@@ -168,7 +174,11 @@ def payload_errors(schema: dict, document: Column) -> Column:
         if "type" in node:
             if node["type"] not in _VARIANT_TYPES:
                 raise ValueError(f"unknown type in schema: {node['type']}")
-            wrong = ~F.schema_of_variant(value).rlike(_VARIANT_TYPES[node["type"]])
+            kind = F.schema_of_variant(value)
+            wrong = ~kind.rlike(_VARIANT_TYPES[node["type"]])
+            if node["type"] == "integer":  # a number without a fraction is one
+                number = F.try_variant_get(document, path, "double")
+                wrong = wrong & ~F.coalesce(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)") & (number == F.floor(number)), F.lit(False))
             checks.append(F.when(wrong, F.lit(f"{label}: not {node['type']}")))
         for name in node.get("required", []):
             absent = F.try_variant_get(document, _child(path, name), "variant").isNull()

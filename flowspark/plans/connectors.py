@@ -49,6 +49,11 @@ def _csv_source(spark: SparkSession, options: dict) -> DataFrame:
         body.alias("payload"), F.lit("application/json").alias("content_type"), F.lit("csv").alias("source")))
 
 
+def _place(options: dict, folder: str) -> str:
+    """Where a sink writes: in a stream each micro-batch has a folder of its own, which a repeat replaces."""
+    return folder if options.get("batch") is None else f"{folder.rstrip('/')}/batch={options['batch']}"
+
+
 def _file_sink(env: DataFrame, options: dict) -> None:
     [folder] = _required(options, "path")
     plan = sinks.plan_file_output(env, options.get("filename", "{{.ID}}.{{.Extension}}"),
@@ -60,18 +65,20 @@ def _file_sink(env: DataFrame, options: dict) -> None:
 def _http_sink(env: DataFrame, options: dict) -> None:
     send, report = _required(options, "send", "report_path")
     settings = {name: options[name] for name in ("attempts", "backoff", "headers", "body") if name in options}
-    sinks.deliver(env, send, report, **settings)
+    sinks.deliver(env, send, _place(options, report), **settings)
 
 
 def _bus_sink(env: DataFrame, options: dict) -> None:
     folder, subject = _required(options, "path", "subject")
     records = sinks.to_bus_records(env, subject, options.get("stage"))
-    records.write.mode(options.get("mode", "overwrite")).format(options.get("format", "json")).save(folder)
+    records.write.mode(options.get("mode", "overwrite")).format(options.get("format", "json")).save(
+        _place(options, folder))
 
 
 def _envelope_sink(env: DataFrame, options: dict) -> None:
     [folder] = _required(options, "path")
-    env.write.mode(options.get("mode", "overwrite")).format(options.get("format", "parquet")).save(folder)
+    env.write.mode(options.get("mode", "overwrite")).format(options.get("format", "parquet")).save(
+        _place(options, folder))
 
 
 def register_builtin() -> None:

@@ -1,7 +1,9 @@
 """A flow: source, steps, destinations. Declared as a dict, run as one plan.
 
 Every message gets a ``route``: a destination, ``rejected`` (invalid), ``dropped`` (filtered out) or
-``dead_letter`` (its conversion failed). The annotated messages are written once, partitioned by route;
+``dead_letter`` (its conversion failed). Later steps leave a message that has a route as it is. Every destination
+needs a sink, or None where its messages shall only be counted; rejected messages and dead letters without a sink
+are written to the folder ``unsent`` of the flow, by default below the shared folder. The annotated messages are written once, partitioned by route;
 each sink then reads its own partition, so parallel destinations never run the plan again.
 """
 
@@ -49,6 +51,17 @@ class Flow:
     default: str = "out"
     functions: dict[str, Callable] = field(default_factory=dict)
 
+    def destinations(self) -> set[str]:
+        """Routes that steps can choose."""
+        found, left = set(), True
+        for step in self.steps:
+            if step["kind"] == "route" and left:
+                found |= {rule["to"] for rule in step["rules"]} | {step.get("default", self.default)}
+                left = False  # nothing is without a route behind it
+        if left:
+            found.add(self.default)
+        return found
+
     def annotate(self, env: DataFrame) -> DataFrame:
         df = env.withColumn("route", F.lit(None).cast("string"))
         for step in self.steps:
@@ -65,21 +78,40 @@ class Flow:
             return self._divert(checked, F.size("payload_errors") > 0, REJECTED,
                                 F.array_join("payload_errors", "; ")).drop("payload_errors")
         if kind == "map_json":
-            return converters.map_json(df, step["mapping"])
+            return self._converted(df, lambda env: converters.map_json(env, step["mapping"]))
+        if kind in ("json_to_xml", "xml_to_json"):
+            change = getattr(converters, kind)
+            return self._converted(df, lambda env: change(env, step["schema"], step.get("row_tag", "ROW")))
         if kind == "convert":
-            done = converters.apply_converter(df, self.functions[step["function"]], config=step.get("config"))
-            return self._divert(done, F.col("failed"), DEAD_LETTER, F.col("last_error")).drop("failed")
+            done = converters.apply_converter(df.withColumn("__done", F.col("route").isNotNull()),
+                                              self.functions[step["function"]], config=step.get("config"), skip="__done")
+            return self._divert(done, F.col("failed"), DEAD_LETTER, F.col("last_error")).drop("failed", "__done")
         if kind == "filter":
             passes = filters.field_condition(step["path"], step["op"], step.get("value"))
             return self._divert(df, ~passes, DROPPED, F.lit(None).cast("string"))
         if kind == "step":
-            return messages.append_step(df, step["name"])
+            return self._on_the_way(df, lambda env: messages.append_step(env, step["name"]))
         if kind == "route":
             chosen = filters.route_fields(
                 df.withColumn("__held", F.col("route")), step["rules"], step.get("default", self.default))
             return chosen.withColumn("route", F.coalesce("__held", "route")).drop("__held")
         raise ValueError(f"unknown step: {kind}")
 
+    @staticmethod
+    def _on_the_way(df: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``change`` for messages without a route; the others keep all their columns."""
+        kept = df.select("*", F.struct(*df.columns).alias("__before"))
+        changed = change(kept)
+        return changed.select(*[
+            F.when(F.col("route").isNull(), F.col(name)).otherwise(F.col(f"__before.{name}")).alias(name)
+            if name in df.columns else F.col(name) for name in changed.columns if name != "__before"])
+
+    def _converted(self, df: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A conversion; a payload it can't read makes its message a dead letter."""
+        done = self._on_the_way(df, change)
+        return self._divert(done, F.col("conversion_error").isNotNull(), DEAD_LETTER, F.col("conversion_error")).drop(
+            "conversion_error")
+
     @staticmethod
     def _divert(df: DataFrame, condition: Column, to: str, reason: Column) -> DataFrame:
         hit = F.col("route").isNull() & F.coalesce(condition, F.lit(False))
@@ -89,10 +121,24 @@ class Flow:
         })
 
 
-def _send_routes(staged: DataFrame, sinks: dict[str, dict]) -> None:
+def _checked(config: dict, functions: dict[str, Callable] | None) -> Flow:
+    """The flow of a config whose destinations all have a sink (or None)."""
+    flow = Flow(config.get("steps", []), config.get("default", "out"), functions or {})
+    missing = sorted(flow.destinations() - set(config.get("sinks", {})))
+    if missing:
+        raise ValueError(f"no sink for route: {', '.join(missing)}")
+    return flow
+
+
+def _send_routes(staged: DataFrame, sinks: dict[str, dict | None], unsent: str, batch: int | None = None) -> None:
     for destination, sink in sinks.items():
-        part = staged.filter(F.col("route") == destination).drop("route")
-        send_to(part, sink["type"], sink.get("options", {}))
+        if sink is not None:
+            part = staged.filter(F.col("route") == destination).drop("route")
+            send_to(part, sink["type"], {**sink.get("options", {}), **({} if batch is None else {"batch": batch})})
+    rest = [route for route in (REJECTED, DEAD_LETTER) if route not in sinks]
+    if rest:
+        place = unsent if batch is None else f"{unsent}/batch={batch}"
+        staged.filter(F.col("route").isin(rest)).write.mode("overwrite").partitionBy("route").parquet(place)
 
 
 def _stage(annotated: DataFrame, path: str) -> DataFrame:
@@ -104,11 +150,10 @@ def run_flow(
     spark: SparkSession, config: dict, *, functions: dict[str, Callable] | None = None, stage_dir: str | None = None
 ) -> DataFrame:
     """Runs a declared flow to its end; returns messages and bytes per route."""
-    source = config["source"]
-    flow = Flow(config.get("steps", []), config.get("default", "out"), functions or {})
+    source, flow = config["source"], _checked(config, functions)
     env = open_source(spark, source["type"], source.get("options", {}))
     staged = _stage(flow.annotate(env), stage_dir or shared_dir(spark, "flow"))
-    _send_routes(staged, config.get("sinks", {}))
+    _send_routes(staged, config.get("sinks", {}), config.get("unsent") or shared_dir(spark, "unsent"))
     return staged.groupBy("route").agg(
         F.count(F.lit(1)).alias("messages"), F.sum("payload_size").alias("total_bytes"))
 
@@ -117,11 +162,15 @@ def run_flow_stream(
     stream: DataFrame, config: dict, stage_dir: str, checkpoint: str, *,
     functions: dict[str, Callable] | None = None, **trigger
 ):
-    """The same flow over a stream of messages. Each micro-batch is staged under its id and sent once."""
-    flow = Flow(config.get("steps", []), config.get("default", "out"), functions or {})
+    """The same flow over a stream of messages. Each micro-batch is staged under its id and sent once.
+
+    Built-in sinks write a folder ``batch=<id>`` for each micro-batch; other sinks get the option ``batch``.
+    """
+    flow = _checked(config, functions)
+    unsent = config.get("unsent") or f"{stage_dir}/unsent"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         staged = _stage(flow.annotate(batch), f"{stage_dir}/batch={batch_id}")
-        _send_routes(staged, config.get("sinks", {}))
+        _send_routes(staged, config.get("sinks", {}), unsent, batch_id)
 
     return for_each_batch_once(stream, handle, checkpoint, **trigger)

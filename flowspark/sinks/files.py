@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import organize_path, payload_checksum, render_filename
+from ..functions.paths import key_part
 from ..operators.filters import reject_reason
 from ..schema import INLINE_PAYLOAD_LIMIT, MAX_PAYLOAD_BYTES
 from .storage import exists, get, open_store, put
@@ -40,23 +41,36 @@ def latest_per_path(plan: DataFrame) -> DataFrame:
 
     Winners are found without the payloads, which are then not shuffled when winners are few.
     """
-    newest = (plan.groupBy("rel_path").agg(F.max(F.struct("created_at", "id")).alias("__last"))
-              .select("rel_path", F.col("__last.id").alias("id")))
-    return plan.join(newest, ["rel_path", "id"], "left_semi")
+    return plan.join(_newest(plan), ["rel_path", "id"], "left_semi")
+
+
+def _newest(plan: DataFrame) -> DataFrame:
+    """Path and id of the newest message of each path."""
+    age = ["created_at"] if "created_at" in plan.columns else []
+    return (plan.groupBy("rel_path").agg(F.max(F.struct(*age, "id")).alias("__last"))
+            .select("rel_path", F.col("__last.id").alias("id")))
 
 
 def write_files(plan: DataFrame, out_dir: str, *, report_dir: str | None = None) -> DataFrame:
     """Writes one file per accepted message of a plan; returns what was written.
 
-    Runs at once. A task that is run again writes the same content to the same names.
+    Runs at once. A task that is run again writes the same content to the same names. Of several messages for
+    one path the newest is written; the others are reported with ``bytes`` NULL.
     """
-    rows = plan.filter(F.col("reject_reason").isNull()).select("id", "rel_path", "payload", "checksum")
+    accepted = plan.filter(F.col("reject_reason").isNull())
+    winners = _newest(accepted).withColumn("__newest", F.lit(True))
+    told = accepted.select("id", "rel_path", "payload", "checksum").join(winners, ["rel_path", "id"], "left")
+    rows = told.select("id", "rel_path", F.when(F.col("__newest"), F.col("payload")).alias("payload"), "checksum",
+                       F.coalesce("__newest", F.lit(False)).alias("newest"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(out_dir)
         for batch in batches:
             sizes = []
-            for path, payload in zip(batch.column("rel_path"), batch.column("payload")):
+            for path, payload, newest in zip(batch.column("rel_path"), batch.column("payload"), batch.column("newest")):
+                if not newest.as_py():
+                    sizes.append(None)
+                    continue
                 content = payload.as_py()
                 put(store, f"{root}/{path.as_py()}", content)
                 sizes.append(len(content))
@@ -155,8 +169,8 @@ def offload_payloads(
     What flows on is small: later shuffles carry references instead of payloads.
     """
     large = F.coalesce(F.octet_length("payload") > threshold, F.lit(False))
-    key = F.concat_ws("/", F.nullif("tenant_id", F.lit("")), F.lit("messages"),
-                      F.concat(F.translate("id", "/\\", "__"), F.lit(".bin")))
+    key = F.concat_ws("/", key_part(F.nullif("tenant_id", F.lit(""))), F.lit("messages"),
+                      F.concat(key_part(F.col("id")), F.lit(".bin")))
     plan = env.filter(large).select("id", "payload", key.alias("rel_path"), payload_checksum().alias("checksum"),
                                     F.lit(None).cast("string").alias("reject_reason"))
     write_files(plan, store, report_dir=report_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,17 +32,18 @@ def write_dead_letter(env: DataFrame, path: str, *, dead_at: Column, reason: Col
 
 
 def drop_expired_days(path: str, *, as_of: date, days: int, day: str = "archive_date") -> list[str]:
-    """Removes the day folders of a log that are older than ``days``; returns their days.
+    """Removes the day folders of a log or of an archive that are older than ``days``; returns their days.
 
-    Only folder names are looked at, of which there is one per day.
+    Only folder names are looked at, of which there is one per day: ``archive_date=YYYY-MM-DD`` as logs have them,
+    or ``YYYY-MM-DD`` as ``settle_files`` makes them.
     """
     store, root = open_store(path)
     limit = (as_of - timedelta(days=days)).isoformat()
-    found = sorted(name.split("=", 1)[1] for name in children(store, root) if name.startswith(f"{day}="))
-    expired = [value for value in found if value < limit]
-    for value in expired:
-        store.delete_dir(f"{root}/{day}={value}")
-    return expired
+    days_of = {name: re.fullmatch(rf"(?:{re.escape(day)}=)?(\d{{4}}-\d\d-\d\d)", name) for name in children(store, root)}
+    expired = {name: found[1] for name, found in days_of.items() if found and found[1] < limit}
+    for name in expired:
+        store.delete_dir(f"{root}/{name}")
+    return sorted(set(expired.values()))
 
 
 def jdbc_write_options(url: str, table: str, *, batch_size: int = BATCH_SIZE, **properties) -> dict[str, str]:
@@ -69,7 +71,7 @@ def write_table(
     ``on_conflict="skip"`` rows the strategy forbids are left out instead of failing the write.
     """
     merged, conflicts = merge_rows(target, incoming, keys, strategy)
-    if on_conflict == "fail" and strategy != "upsert":
+    if on_conflict == "fail":
         example = conflicts.select(*keys).first()
         if example is not None:
             raise WriteConflict(f"{strategy}: {example.asDict()}")

@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..schema import FILE_LISTING
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark names it in paths of files."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def _directly_in(files: DataFrame, folder: str) -> DataFrame:
-    # Sub-folders are not descended into, even if their names look like partitions.
-    name = folder.rstrip("/").rsplit("/", 1)[-1]
-    parent = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
-    return files.filter(parent == name).select(*FILE_LISTING.fieldNames())
+    # Sub-folders are not descended into, even if their names look like partitions or repeat the folder's.
+    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return files.filter(parent == _qualified(files.sparkSession, folder)).select(*FILE_LISTING.fieldNames())
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -47,9 +53,7 @@ def read_objects(spark: SparkSession, root: str, pattern: str = "*.bin") -> Data
     """Objects of a store at any depth, with ``key`` relative to the root."""
     objects = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
                .option("recursiveFileLookup", "true").load(root))
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    depth = F.size(F.split(F.substring_index("path", f"/{name}/", 1), "/")) + 1
-    return objects.withColumn("key", F.array_join(F.slice(F.split("path", "/"), depth + 1, F.lit(1 << 20)), "/"))
+    return objects.withColumn("key", F.substring("path", len(_qualified(spark, root)) + 2, 1 << 20))
 
 
 def read_csv_records(

@@ -172,7 +172,7 @@ class _RetryTimers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "attempts int", self.ttl_ms)
+        self.waiting = handle.getValueState("waiting", "attempts int, due bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         attempts = max(int(chunk["attempts"].max()) for chunk in rows)
@@ -181,13 +181,15 @@ class _RetryTimers(StatefulProcessor):
                 self.waiting.clear()
             yield pd.DataFrame({"id": [key[0]], "attempts": [attempts], "action": ["give_up"]})
             return
-        self.waiting.update((attempts,))
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + _backoff(self.base_ms, attempts))
+        due = timerValues.getCurrentProcessingTimeInMs() + _backoff(self.base_ms, attempts)
+        self.waiting.update((attempts, due))
+        self.handle.registerTimer(due)
         yield pd.DataFrame({"id": [], "attempts": [], "action": []}).astype(
             {"id": object, "attempts": "int32", "action": object})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.waiting.exists():
+        # A timer of an earlier failure may still run; only the latest one's time counts.
+        if self.waiting.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.waiting.get()[1]:
             attempts = self.waiting.get()[0]
             self.waiting.clear()
             yield pd.DataFrame({"id": [key[0]], "attempts": [attempts], "action": ["release"]})

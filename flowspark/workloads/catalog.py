@@ -72,9 +72,10 @@ def place_integrations(spark, folder):
 WITH {m.INTEGRATIONS}, {m.TENANTS}, monthly AS (
   SELECT user_id AS tenant_id, date_trunc('month', ts) AS month, count(*) AS messages FROM events GROUP BY ALL),
 owned AS (SELECT tenant_id, count(*) AS integrations FROM integrations GROUP BY ALL)
-SELECT tenant_id, strftime(month, '%Y-%m') AS month, messages, coalesce(integrations, 0) AS integrations,
-  messages > max_messages_per_month AS over_messages, coalesce(integrations, 0) > max_integrations AS over_integrations
-FROM monthly JOIN tenants ON tenants.id = tenant_id LEFT JOIN owned USING (tenant_id)""")
+SELECT tenants.id AS tenant_id, strftime(month, '%Y-%m') AS month, coalesce(messages, 0) AS messages,
+  coalesce(integrations, 0) AS integrations, coalesce(messages, 0) > max_messages_per_month AS over_messages,
+  coalesce(integrations, 0) > max_integrations AS over_integrations
+FROM tenants LEFT JOIN monthly ON tenants.id = monthly.tenant_id LEFT JOIN owned ON tenants.id = owned.tenant_id""")
 def quota_usage(spark, folder):
     sent = m.table(spark, folder, "events").select(F.col("user_id").alias("tenant_id"), F.col("ts").alias("created_at"))
     usage = op.quota_usage(sent, m.integrations(spark, folder), m.tenants(spark, folder))
@@ -97,14 +98,19 @@ def capacity_status(spark, folder):
 
 
 @query("latest_version", """
-WITH plugins AS (SELECT p_brand AS name, p_size % 3 || '.' || p_partkey % 12 || '.' || p_partkey % 31 AS version,
-  p_size % 3 AS major, p_partkey % 12 AS minor, p_partkey % 31 AS patch FROM part)
-SELECT DISTINCT name, version FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY minor DESC, patch DESC) AS n
-  FROM plugins WHERE major = 1 AND minor >= 2) WHERE n = 1""")
+WITH plugins AS (SELECT p_brand AS name, p_size % 3 AS major, p_partkey % 12 AS minor, p_partkey % 31 AS patch,
+  p_partkey % 4 AS rc FROM part),
+versions AS (SELECT *, major || '.' || minor || CASE WHEN patch = 0 THEN '' ELSE '.' || patch END
+  || CASE WHEN rc = 0 THEN '' ELSE '-rc.' || rc END AS version FROM plugins)
+SELECT DISTINCT name, version FROM (SELECT *, row_number() OVER (
+    PARTITION BY name ORDER BY minor DESC, patch DESC, rc = 0 DESC, rc DESC) AS n
+  FROM versions WHERE major = 1 AND (minor > 2 OR minor = 2 AND (patch > 0 OR rc = 0))) WHERE n = 1""")
 def latest_version(spark, folder):
     key = F.col("p_partkey")
     plugins = m.table(spark, folder, "part").select(
-        F.col("p_brand").alias("name"), F.concat_ws(".", F.col("p_size") % 3, key % 12, key % 31).alias("version"))
+        F.col("p_brand").alias("name"), F.concat(
+            F.concat_ws(".", F.col("p_size") % 3, key % 12, F.nullif(key % 31, F.lit(0))),
+            F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("-rc."), key % 4))).alias("version"))
     return op.latest_version(plugins, ">=1.2.0,<2.0.0")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import plans, streaming
 from ..session import shared_dir
-from ..sources.registry import register_sink, register_source
+from ..sources.registry import register_source
 from . import model as m
 from .files import _landed
 from .registry import query
@@ -54,7 +54,7 @@ def run_flow(spark, folder):
     report = plans.run_flow(spark, {
         "source": {"type": "orders", "options": {"folder": folder}}, "steps": STEPS,
         "sinks": {name: {"type": "envelopes", "options": {"path": f"{sent}/to={name}"}}
-                  for name in ("express", "archive")},
+                  for name in ("express", "archive")} | {"standard": None},
     }, functions={"to_cents": _to_cents})
     delivered = spark.read.parquet(sent).groupBy(F.col("to").alias("route")).agg(F.count(F.lit(1)).alias("sent"))
     return report.join(delivered, "route", "left").select(
@@ -62,19 +62,18 @@ def run_flow(spark, folder):
 
 
 @query("run_flow_stream", f"""
-SELECT {FLOW_ROUTE} AS route, count(*) AS messages FROM orders
-WHERE {FLOW_ROUTE} IN ('express', 'archive', 'dead_letter') GROUP BY 1""")
+SELECT {FLOW_ROUTE} AS route, count(*) AS messages FROM orders GROUP BY 1""")
 def run_flow_stream(spark, folder):
+    """All five routes, each to a built-in sink, over several micro-batches."""
     session = streaming.stream_session(spark, timers=False)
     schema = m.table(session, folder, "orders").schema
-    orders = session.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 33).parquet(
-        f"{folder.rstrip('/')}/orders.parque[t]")
     home = shared_dir(spark, "flow-stream")
-    register_sink("appended", lambda env, options: env.write.mode("append").parquet(options["path"]))
+    m.table(spark, folder, "orders").repartition(8).write.parquet(f"{home}/in")
+    orders = session.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/in")
     run = plans.run_flow_stream(plans.order_messages(orders), {
         "steps": STEPS,
-        "sinks": {name: {"type": "appended", "options": {"path": f"{home}/sent/to={name}"}}
-                  for name in ("express", "archive", "dead_letter")},
+        "sinks": {name: {"type": "envelopes", "options": {"path": f"{home}/sent/to={name}"}}
+                  for name in ("express", "archive", "standard", "dropped", "dead_letter")},
     }, f"{home}/stage", f"{home}/checkpoint", functions={"to_cents": _to_cents}, availableNow=True)
     run.awaitTermination()
     return spark.read.parquet(f"{home}/sent").groupBy(F.col("to").alias("route")).agg(

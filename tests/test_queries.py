@@ -3,10 +3,9 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from flowspark.workloads import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
-QUERIES, ORACLES = queries(), oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def connection():
@@ -20,6 +19,7 @@ def test_query_agrees_with_sql(spark, tables, connection, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_comparison_sees_differences(spark, tables, connection):
