@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import apply_changes
+from ..operators.changes import apply_changes, last_change
 from ..session import STATE_STORE
 from ..sinks.storage import children, exists, open_store, put
 
@@ -50,18 +50,20 @@ def run_to_table(
 def run_until(
     stream: DataFrame, path: str, checkpoint: str, rows: int, *, timeout: float = 120.0, poll: float = 0.5
 ) -> DataFrame:
-    """Runs a stream with timers until ``path`` holds ``rows`` rows, or fails after ``timeout`` seconds."""
+    """Runs a stream with timers until ``path`` holds ``rows`` rows; fails if none is added for ``timeout`` seconds."""
     query = (stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
              .trigger(processingTime="100 milliseconds").start(path))
     written = stream.sparkSession.read.schema(stream.schema)
     try:
-        deadline = time.monotonic() + timeout
+        before, since = 0, time.monotonic()
         while not query.awaitTermination(poll):
             found = written.parquet(path).count() if query.lastProgress else 0
             if found >= rows:
                 break
-            if time.monotonic() > deadline:
-                raise TimeoutError(f"{found} of {rows} rows after {timeout} s")
+            if found > before or query.status["isTriggerActive"]:
+                before, since = found, time.monotonic()
+            elif time.monotonic() > since + timeout:
+                raise TimeoutError(f"{found} of {rows} rows, none added in {timeout} s")
     finally:
         query.stop()
     return written.parquet(path)
@@ -105,14 +107,14 @@ def apply_change_stream(
     """Replays a change stream (columns of ``base``, ``op``, ``lsn``) into a replica below ``root``.
 
     A micro-batch only adds its changes to ``root/log``. Every ``merge_every`` batches the log since the last
-    merge is merged into a new ``root/version=<batch id>``, so rewriting the table is paid for by many
-    batches. Repeating a batch overwrites its own folders only. Read the replica by ``read_replica``.
+    merge is merged into a new ``root/version=<batch id>``: the last change of each key with its LSN, deletions
+    too, so that a change that is delivered again, or late, never wins over a newer one. The table itself is not
+    rewritten. Repeating a batch overwrites its own folders only. Read the replica by ``read_replica``.
     """
     def replay(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
         if (batch_id + 1) % merge_every == 0:
-            session = batch.sparkSession
-            merged = read_replica(session, base, changes, root, keys, batch_id)
+            merged = last_change(_changes_upto(batch.sparkSession, changes, root, batch_id), keys)
             merged.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     return for_each_batch_once(changes, replay, checkpoint, **trigger)
@@ -121,7 +123,13 @@ def apply_change_stream(
 def read_replica(
     spark: SparkSession, base: DataFrame, changes: DataFrame, root: str, keys: list[str], upto: int | None = None
 ) -> DataFrame:
-    """The replica after batch ``upto`` (the last one by default): newest merged version, then its log."""
+    """The replica after batch ``upto`` (the last one by default): ``base`` with the last change of each key."""
+    found = _changes_upto(spark, changes, root, upto)
+    return base if found is None else apply_changes(base, found, keys)
+
+
+def _changes_upto(spark: SparkSession, changes: DataFrame, root: str, upto: int | None) -> DataFrame | None:
+    """Changes of the newest merged version and of the log behind it."""
     store, folder = open_store(root)
 
     def complete(names: list[str], kind: str, below: str) -> list[int]:
@@ -133,8 +141,6 @@ def read_replica(
         upto = batches[-1] if batches else -1
     versions = [number for number in complete(children(store, folder), "version", "") if number < upto + 1]
     version = versions[-1] if versions else -1
-    table = spark.read.schema(base.schema).parquet(f"{root}/version={version}") if versions else base
-    pending = [f"{root}/log/batch={number}" for number in batches if version < number <= upto]
-    if not pending:
-        return table
-    return apply_changes(table, spark.read.schema(changes.schema).parquet(*pending), keys)
+    paths = [f"{root}/log/batch={number}" for number in batches if version < number <= upto]
+    paths += [f"{root}/version={version}"] if versions else []
+    return spark.read.schema(changes.schema).parquet(*paths) if paths else None

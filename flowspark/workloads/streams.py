@@ -102,23 +102,26 @@ def schedule_retries(spark, folder):
     expected = m.table(spark, folder, "events").filter(F.col("event_type") == "error").count()
     path, checkpoint = places(spark, "retries")
     released = streaming.run_until(
-        streaming.schedule_retries(failures, base_ms=50), path, checkpoint, expected, timeout=600)
+        streaming.schedule_retries(failures, base_ms=50), path, checkpoint, expected)
     return back(spark, released, path)
 
 
 @query("batch_transactions", f"""
-WITH {m.CHANGES}, complete AS (SELECT txid FROM changes GROUP BY txid HAVING count(*) = 7)
-SELECT txid, row_number() OVER (PARTITION BY txid ORDER BY lsn) AS position, lsn, op AS row, true AS complete
-FROM changes WHERE txid IN (SELECT txid FROM complete)""")
+WITH {m.CHANGES}
+SELECT txid, row_number() OVER (PARTITION BY txid ORDER BY lsn) AS position, lsn, op AS row,
+  bool_or(lsn % 7 = 6) OVER (PARTITION BY txid) AS complete
+FROM changes""")
 def batch_transactions(spark, folder):
+    """All changes come back; a transaction whose end has not come is given out when its time is over."""
     event_type = F.col("event_type")
-    held = event_stream(spark, folder).select(
+    held = event_stream(spark, folder, timers=True).select(
         F.floor(F.col("event_id") / 7).alias("txid"), F.col("event_id").alias("lsn"),
         F.when(event_type == "signup", "I").when(event_type == "error", "D").otherwise("U").alias("row"),
         (F.col("event_id") % 7 == 6).alias("is_last"))
     path, checkpoint = places(spark, "transactions")
-    emitted = back(spark, streaming.run_to_table(streaming.batch_transactions(held), path, checkpoint), path)
-    return streaming.ordered_transactions(emitted)
+    emitted = streaming.run_until(streaming.batch_transactions(held), path, checkpoint,
+                                  m.table(spark, folder, "events").count())
+    return streaming.ordered_transactions(back(spark, emitted, path))
 
 
 @query("apply_change_stream", changes_module.APPLIED_SQL)
