@@ -174,8 +174,8 @@ def shared_shingles(documents: DataFrame, id: str, text: str, percent: int = PER
     """``id``, ``n`` (size of the set) and ``tokens`` (its shared shingles, or none where no link is possible)."""
     spark = documents.sparkSession
     # Segments follow the partitions that the cluster is set to shuffle into.
-    log = min(24, max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
-    blocks = 1 << log
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    log, blocks = min(24, max(4, (2 * partitions - 1).bit_length())), max(16, partitions)
     pairs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     known = pairs.mapInArrow(_known_shared(log, blocks), PARTS)
     answers = pairs.mapInArrow(_asked(log), PARTS).groupBy("key").applyInArrow(_answered(blocks), PARTS)
