@@ -7,7 +7,7 @@ import numpy as np
 from .shingles import _powers_of, mixed
 
 #: Positions of one buffer fit in so many bits.
-PLACES = 22
+PLACES = 20
 
 
 class Buffer:

@@ -33,7 +33,7 @@ from .shingles import mixed
 LENGTH = 400
 GRAM = 256
 #: Bytes worked on at a time. A longer text is worked on in pieces that overlap by what an anchor depends on.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 18
 
 
 def _buffers(texts: list[str | None], length: int) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
