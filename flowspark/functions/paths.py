@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 
 from pyspark.sql import Column, functions as F
@@ -38,8 +39,9 @@ UNSAFE_CHARACTERS = "/\\:*?\"<>|\n\r\0"
 
 
 def content_type_of(path: Column, system_types: dict[str, str] | None = None) -> Column:
-    """MIME type by extension; ``system_types`` adds rows without replacing the fixed ones."""
-    table = {**(system_types or {}), **MIME_BY_EXTENSION}
+    """MIME type by extension; ``system_types`` (by default those Python knows) don't replace the fixed ones."""
+    known = mimetypes.MimeTypes(filenames=()).types_map[True] if system_types is None else system_types
+    table = {**known, **MIME_BY_EXTENSION}
     lookup = F.create_map(*[F.lit(cell) for row in table.items() for cell in row])
     extension = F.regexp_extract(path, r"(\.[^./]*)$", 1)
     return F.coalesce(F.try_element_at(lookup, extension), F.lit(UNKNOWN_MIME))

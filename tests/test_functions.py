@@ -25,6 +25,8 @@ def test_content_type(spark, name, expected):
 def test_system_types_do_not_replace_fixed_ones(spark):
     extra = {".png": "image/png", ".json": "text/odd"}
     assert value(spark, fn.content_type_of(F.lit("a.png"), extra)) == "image/png"
+    assert value(spark, fn.content_type_of(F.lit("a.svg"))) == "image/svg+xml"
+    assert value(spark, fn.content_type_of(F.lit("a.nothing"))) == "application/octet-stream"
     assert value(spark, fn.content_type_of(F.lit("a.json"), extra)) == "application/json"
 
 
@@ -41,13 +43,13 @@ def test_sanitize(spark):
 
 
 @pytest.mark.parametrize("template, mime, expected", [
-    ("{{.ID}}.{{.Extension}}", "application/json", "test-123.json"),
-    ("{{.ID}}.{{.Extension}}", "text/plain", "test-123.txt"),
-    ("output-{{.ID}}.{{.Extension}}", "text/csv", "output-test-123.csv"),
+    ("{{.ID}}.{{.Extension}}", "application/json", "k 7.json"),
+    ("{{.ID}}_{{.ID}}.{{.Extension}}", "text/plain", "k 7_k 7.txt"),
+    ("day{{.ID}}.{{.Extension}}", "text/csv", "dayk 7.csv"),
     ("{{ .Source }}/{{.Timestamp}}", "text/csv", "a_b_2024-03-01T10_20_30Z"),
     ("{{.Missing}}", "text/csv", "_no value_"), ("fixed", "", "fixed"), ("", "", None)])
 def test_filename(spark, template, mime, expected):
-    name = fn.render_filename(template, id=F.lit("test-123"), source=F.lit("a:b"), content_type=F.lit(mime),
+    name = fn.render_filename(template, id=F.lit("k 7"), source=F.lit("a:b"), content_type=F.lit(mime),
                               created_at=F.lit("2024-03-01 10:20:30.9").cast("timestamp_ntz"))
     assert value(spark, name) == expected
 
