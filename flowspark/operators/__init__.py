@@ -23,7 +23,7 @@ from .messages import (  # noqa: F401
 )
 from .metrics import (  # noqa: F401
     bucket_totals, delivery_quality, integration_stats, message_rate, rate_limit_flags, status_counts,
-    sustained_alert, top_by_size,
+    stream_rate_limit_flags, sustained_alert, sustained_rate, top_by_size,
 )
 from .ordered import exact_quantiles, ordered_scan  # noqa: F401
 from .retention import (  # noqa: F401

@@ -66,6 +66,33 @@ def message_rate(
                           (F.col("messages") / seconds).alias("per_second"))
 
 
+def sustained_rate(
+    counts: DataFrame, *, as_of: Column, minutes: int = 5, by: str = "instance_id", time: str = "ts", messages: str = "messages",
+) -> DataFrame:
+    """``by`` and ``message_rate``: the lowest rate a second of the last whole ``minutes`` before ``as_of``.
+
+    A minute without a row counts as 0, so the rate is above a limit only if it was so all the time.
+    """
+    end = F.date_trunc("minute", as_of)
+    recent = counts.filter((F.col(time) < end) & (F.col(time) >= end - F.expr(f"INTERVAL {minutes} MINUTES")))
+    each = recent.groupBy(by, F.date_trunc("minute", time).alias("__minute")).agg(F.sum(messages).alias("__n"))
+    return each.groupBy(by).agg(
+        F.when(F.count(F.lit(1)) == minutes, F.min("__n") / 60.0).otherwise(F.lit(0.0)).alias("message_rate"))
+
+
+def stream_rate_limit_flags(
+    requests: DataFrame, *, limit: int = 1000, key: str = "key", time: str = "ts", delay: str = "1 minute",
+) -> DataFrame:
+    """Requests a key and minute, and how many of them are beyond the limit, once the minute is over by ``delay``.
+
+    For streams: the state is one count a key and open minute, so no request has to wait for another.
+    """
+    counted = requests.withWatermark(time, delay).groupBy(key, F.window(time, "1 minute")).agg(
+        F.count(F.lit(1)).alias("requests"))
+    return counted.select(key, F.col("window.start").alias("minute"), "requests",
+                          F.greatest(F.col("requests") - limit, F.lit(0)).alias("beyond_limit"))
+
+
 def rate_limit_flags(
     requests: DataFrame, *, limit: int = 1000, key: str = "key", time: str = "ts", order: list[str] | None = None,
     slices: int | None = None,

@@ -201,6 +201,16 @@ def test_changes_that_come_again_do_not_win(spark, session, tmp_path):
     assert rows(streaming.read_replica(spark, base, stream, root, ["k"])) == [(1, "new")]
 
 
+def test_rate_limits_of_a_stream(spark, session, tmp_path):
+    minute = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("id") * 10)
+    feed = spark.range(60).select(minute.alias("ts"), F.lit("k").alias("key"), F.col("id").alias("number"))
+    schema = land(spark, feed, tmp_path / "in", "number")
+    flags = op.stream_rate_limit_flags(read_stream(session, tmp_path / "in", schema), limit=4)
+    found = streaming.run_to_table(flags, f"{tmp_path}/out", f"{tmp_path}/c").collect()
+    # The last minutes stay open until later requests move the watermark past them.
+    assert 5 <= len({row.minute for row in found}) == len(found) < 10 and {(row.requests, row.beyond_limit) for row in found} == {(6, 2)}
+
+
 def test_flow_stream_sends_every_batch(spark, session, tmp_path):
     env = op.new_envelope(
         spark.range(30).select(F.col("id").cast("string").alias("id"),
