@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stashed, table
+from .common import freed, stashed, table
 from .components import components
 from .shingles import mixed, sets
 
@@ -177,8 +177,8 @@ def shared_shingles(documents: DataFrame, id: str, text: str, percent: int = PER
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     log, blocks = min(24, max(4, (2 * partitions - 1).bit_length())), max(16, partitions)
     pairs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
-    known = pairs.mapInArrow(_known_shared(log, blocks), PARTS)
-    answers = pairs.mapInArrow(_asked(log), PARTS).groupBy("key").applyInArrow(_answered(blocks), PARTS)
+    known = pairs.mapInArrow(freed(_known_shared(log, blocks)), PARTS)
+    answers = pairs.mapInArrow(freed(_asked(log)), PARTS).groupBy("key").applyInArrow(_answered(blocks), PARTS)
     return known.unionByName(answers).groupBy("key").applyInArrow(
         _gathered(percent), "id long, n int, tokens array<long>")
 

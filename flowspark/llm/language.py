@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stashed, table
+from .common import freed, stashed, table
 
 ORDER = 4
 LEAST_SHARE = 1e-6
 SLACK = 1.25
 #: Characters worked on at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: N-grams a task holds before it adds them up.
+HELD = 1 << 20
 #: Symbols' worth of evidence that the score counts; beyond it texts of any length would all score 0 or 1.
 EVIDENCE = 24.0
 UNKNOWN = "und"
@@ -44,7 +46,7 @@ _symbols: list[np.ndarray] = []
 def _symbol_table() -> np.ndarray:
     """Code point -> 16-bit symbol: 0 for what is no letter, else the lower-case letter."""
     if not _symbols:
-        made = np.zeros(0x110000, np.uint64)
+        made = np.zeros(0x110000, np.uint16)
         for point in range(0x110000):
             letter = chr(point)
             if letter.isalpha():
@@ -91,7 +93,7 @@ def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams of length ``ORDER`` of all pieces, oldest symbol highest, and where each piece's begin."""
     points = np.frombuffer("\n".join(["", *pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter((len(piece) + 1 for piece in pieces), np.int64, len(pieces))
-    codes = _symbol_table()[points]
+    codes = _symbol_table()[points].astype(np.uint64)
     kept = np.ones(len(codes), bool)
     kept[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     starts = np.cumsum(kept)[np.concatenate(([0], np.cumsum(lengths)[:-1]))]  # the first symbol is a boundary and not predicted
@@ -236,7 +238,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, _ = _grams([piece for _, piece in portion])
                 if len(keys):
                     held.setdefault(name, []).append(np.unique(keys, return_counts=True))
-                if sum(len(keys) for keys, _ in held.get(name, [])) > PIECE:
+                if sum(len(keys) for keys, _ in held.get(name, [])) > HELD:
                     held[name] = [merged(name)]
     for name in held:
         keys, numbers = merged(name)
@@ -250,7 +252,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models | None:
     """Models of all languages of the labelled rows; None if there are none."""
     pairs = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    counts = (pairs.mapInArrow(_counted, "lang string, gram long, n long")
+    counts = (pairs.mapInArrow(freed(_counted), "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     counts = stashed(counts, "language-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -305,7 +307,7 @@ def identify(df: DataFrame, models: Models | None, text: str = "text") -> DataFr
                 pa.array(np.where(seen, score, 0.0)), pa.array(lowest, mask=~seen),
                 pa.array(~seen | (lowest > most[best]))], [*kept, *RESULTS])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed(run), schema)
 
 
 def held_out(id: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .common import table
+from .common import freed, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -152,7 +152,7 @@ def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
 def _mapped(df: DataFrame, add: dict[str, T.DataType], task) -> DataFrame:
     kept = [name for name in df.columns if name not in add]
     schema = T.StructType([df.schema[name] for name in kept] + [T.StructField(k, v) for k, v in add.items()])
-    return df.mapInArrow(task(kept), schema)
+    return df.mapInArrow(freed(task(kept)), schema)
 
 
 def _portions(whole: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
