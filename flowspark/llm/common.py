@@ -26,6 +26,13 @@ def stashed(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, key: Column, total: int, most: int) -> DataFrame:
+    """About ``most`` of ``total`` rows, never more, by the hash of a key: rows are dropped where they are read, so that
+    no task gets more than the sample."""
+    share = int(min(1.0, most / max(1, total)) * (1 << 30))
+    return df.filter(F.pmod(key, F.lit(1 << 30)) < share).orderBy(key).limit(most)
+
+
 def freed(run: Callable) -> Callable:
     """A function over Arrow batches that gives memory back to the machine when its task is over; workers live on."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
