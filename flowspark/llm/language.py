@@ -2,10 +2,11 @@
 
 Words are runs of letters, lower-cased, between boundaries; a model predicts each letter and the end of each word from up to
 ``ORDER - 1`` letters before it. Tasks count the longest n-grams of their texts, Spark adds the counts up per language, and
-continuation counts, discounts and back-off weights follow from that table on the driver: it holds n-grams with at least
-``LEAST_SHARE`` of a language's count, so at most 1 / LEAST_SHARE a language whatever the input. Probabilities lie in arrays
-sorted by the hash of their n-gram, with a column per language; a bucket index over the leading bits finds a hash's place.
-A text gets the language of lowest cross-entropy per predicted symbol.
+continuation counts, discounts, back-off weights and probabilities follow from that table by groupings and joins. Every
+n-gram that was counted stays. The driver sees a few numbers a language only; the models lie in the shared folder, cut by
+n-gram into shards of about ``SHARD_BYTES``, and tasks read shards as they need them and keep ``CACHE_BYTES`` of them. A
+shard is an array sorted by the hash of the n-gram, with a column per language; a bucket index over the leading bits finds a
+hash's place. A text gets the language of lowest cross-entropy per predicted symbol.
 
 Rejection: per language, the 99.9th percentile of the cross-entropy of labelled texts, widened by ``SLACK``, is the most a
 text may have; beyond it the text is marked as rejected (it keeps its nearest language).
@@ -17,27 +18,38 @@ and worked on piece by piece, so memory stays bounded; other columns pass throug
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+from ..sinks.storage import children, open_store
 from .common import freed, stashed, table
 
 ORDER = 4
-LEAST_SHARE = 1e-6
 SLACK = 1.25
 #: Characters worked on at a time.
 PIECE = 1 << 18
 #: N-grams a task holds before it adds them up.
 HELD = 1 << 20
+#: Size of one shard of the models, and of the shards that a Python process keeps.
+SHARD_BYTES = 8 << 20
+CACHE_BYTES = 64 << 20
+#: Portions whose n-grams are looked up together where the models are larger than what is kept.
+TOGETHER = 16
 #: Symbols' worth of evidence that the score counts; beyond it texts of any length would all score 0 or 1.
 EVIDENCE = 24.0
 UNKNOWN = "und"
+BACK = 10
 RESULTS = {"lang_pred": T.StringType(), "score": T.DoubleType(), "cross_entropy": T.DoubleType(), "rejected": T.BooleanType()}
 
 _symbols: list[np.ndarray] = []
@@ -138,33 +150,93 @@ class Sorted:
             found = np.where(self.hashes[place] == hashes, place, found)
         return found
 
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and the rows of these."""
+        at = self.find(keys)
+        return at >= 0, self.rows[at[at >= 0]]
+
+
+class Kept:
+    """Shards that a process has read, the least recently used ones given up beyond ``CACHE_BYTES``."""
+
+    def __init__(self):
+        self.held: OrderedDict[tuple[int, int], Sorted] = OrderedDict()
+
+    def get(self, path: str, kind: int, shard: int) -> Sorted:
+        if (kind, shard) in self.held:
+            self.held.move_to_end((kind, shard))
+        else:
+            found = _read_shard(path, kind, shard)
+            size = lambda x: x.hashes.nbytes + x.rows.nbytes + x.first.nbytes
+            while self.held and sum(map(size, self.held.values())) + size(found) > CACHE_BYTES:
+                self.held.popitem(last=False)
+            self.held[kind, shard] = found
+        return self.held[kind, shard]
+
+
+def _read_shard(path: str, kind: int, shard: int) -> Sorted:
+    store, root = open_store(path)
+    folder = f"{root}/kind={kind}/shard={shard}"
+    parts = [pq.ParquetFile(store.open_input_file(f"{folder}/{name}")).read() for name in children(store, folder)
+             if name.endswith(".parquet")]
+    if not parts:
+        return Sorted(np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
+    found = pa.concat_tables(parts)
+    keys = found.column("gram").to_numpy().view(np.uint64)
+    values = found.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    return Sorted(keys, values.reshape(len(keys), -1))
+
+
+@dataclass
+class Sharded:
+    """One table of the models in the shared folder, with the interface of ``Sorted``."""
+
+    path: str
+    kind: int
+    shards: int
+    width: int
+    kept: Kept
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.shards == 1:
+            part = self.kept.get(self.path, self.kind, 0)
+            return part.get(keys) if part.depth else (np.zeros(len(keys), bool), np.zeros((0, self.width), np.float32))
+        hit, rows = np.zeros(len(keys), bool), np.zeros((len(keys), self.width), np.float32)
+        shards = keys.view(np.int64) % self.shards
+        order = np.argsort(shards, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1) if len(keys) else []:
+            part = self.kept.get(self.path, self.kind, int(shards[own[0]]))
+            if part.depth:
+                there, values = part.get(keys[own])
+                hit[own] = there
+                rows[own[there]] = values
+        return hit, rows[hit]
+
 
 @dataclass
 class Models:
     """Log probabilities of n-grams by order and log back-off weights of contexts, a column for each language."""
 
     languages: list[str]
-    grams: list[Sorted]
-    backoffs: list[Sorted]
+    grams: list[Sorted | Sharded]
+    backoffs: list[Sorted | Sharded]
     floor: np.ndarray
     limits: dict[str, float]
+    together: int = 1
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of each packed n-gram's last symbol in each language."""
         total = np.zeros((len(keys), len(self.languages)), np.float32)
         open_, rest = np.arange(len(keys)), keys
         for order in range(ORDER, 0, -1):
-            grams = self.grams[order - 1]
-            at = grams.find(rest & _low(order))
-            hit = at >= 0
-            total[open_[hit]] += grams.rows[at[hit]]
+            hit, rows = self.grams[order - 1].get(rest & _low(order))
+            total[open_[hit]] += rows
             open_, rest = open_[~hit], rest[~hit]
             if not len(open_):
                 return total
             if order > 1:
-                back = self.backoffs[order - 2]
-                at = back.find((rest & _low(order)) >> np.uint64(16))
-                total[open_[at >= 0]] += back.rows[at[at >= 0]]
+                hit, rows = self.backoffs[order - 2].get((rest & _low(order)) >> np.uint64(16))
+                total[open_[hit]] += rows
         total[open_] += self.floor
         return total
 
@@ -179,7 +251,7 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
-    """Models from each language's packed n-grams of full length and their counts."""
+    """Models in memory from each language's packed n-grams of full length and their counts; ``train`` makes the same of tables."""
     languages = sorted(counts)
     adjusted = []  # by language: by order: keys and adjusted counts
     for name in languages:
@@ -249,20 +321,105 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["lang", "gram", "n"])
 
 
+def _levels(counts: DataFrame) -> DataFrame:
+    """``order``, ``lang``, ``gram`` and its adjusted count ``n`` for every order; ``counts`` has the longest n-grams."""
+    level = counts.select("lang", "gram", F.col("n").alias("raw"), "n")
+    levels = level.select(F.lit(ORDER).alias("order"), "lang", "gram", "n")
+    for order in range(ORDER - 1, 0, -1):
+        shorter = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit(int(_low(order)))).alias("gram")).agg(
+            F.sum("raw").alias("raw"), F.count("*").alias("kinds"))
+        # What begins at a boundary has nothing before it to vary: its plain count stands.
+        at_start = F.shiftrightunsigned("gram", 16 * (order - 1)) == 0 if order > 1 else F.lit(False)
+        level = stashed(shorter.select("lang", "gram", "raw", F.when(at_start, F.col("raw")).otherwise(F.col("kinds")).alias("n")),
+                        "language-level")
+        levels = levels.unionByName(level.select(F.lit(order).alias("order"), "lang", "gram", "n"))
+    return levels
+
+
+def _by_language(df: DataFrame, keys: list[str], value: str, languages: list[str], missing: float) -> DataFrame:
+    """A row for each of ``keys`` with an array of the values of all languages."""
+    of = F.map_from_entries(F.collect_list(F.struct("lang", value)))
+    return df.groupBy(*keys).agg(of.alias("of")).select(*keys, F.transform(
+        F.array(*map(F.lit, languages)), lambda name: F.coalesce(F.try_element_at("of", name), F.lit(missing))).alias(value))
+
+
+def _shards(size: int) -> int:
+    """How many shards hold ``size`` bytes: 1 or a prime that mixes all four symbols of an n-gram."""
+    shards = -(-size // SHARD_BYTES)
+    if shards <= 1:
+        return 1
+    while shards in (2, 3, 5, 17, 257) or any(shards % k == 0 for k in range(2, int(shards ** 0.5) + 1)):
+        shards += 1
+    return shards
+
+
+def _fitted(counts: DataFrame) -> Models | None:
+    """Models of all counted n-grams, in the shared folder; None if there are no counts."""
+    spark = counts.sparkSession
+    languages = sorted(row["lang"] for row in counts.select("lang").distinct().collect())
+    if not languages:
+        return None
+    levels = _levels(counts)
+    times = lambda n: F.sum((F.col("n") == n).cast("long"))
+    discounts = levels.groupBy("order", "lang").agg(times(1).alias("once"), times(2).alias("twice")).select(
+        "order", "lang", F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (F.col("once") + 2 * F.col("twice")))
+        .otherwise(0.5).alias("discount"))
+    discounts = stashed(discounts, "language-discounts")
+    known = levels.join(discounts, ["order", "lang"]).withColumn("context", F.shiftrightunsigned("gram", 16))
+    contexts = stashed(known.groupBy("order", "lang", "context").agg(
+        F.sum("n").alias("total"), (F.count("*") * F.first("discount")).alias("taken")), "language-contexts")
+    own = known.join(contexts.select("order", "lang", "context", "total"), ["order", "lang", "context"]).withColumn(
+        "own", F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total"))
+    own = stashed(_by_language(own, ["order", "gram"], "own", languages, 0.0), "language-own")
+    weights = contexts.withColumn("weight", F.col("taken") / F.col("total"))
+    weights = stashed(_by_language(weights, ["order", "context"], "weight", languages, 1.0), "language-weights")
+
+    size = own.filter("order = 1").count() + 1
+    first = np.array(weights.filter("order = 1").first()["weight"])
+    floor = F.array(*[F.lit(float(x) / size) for x in first])
+    below = stashed(own.filter("order = 1").select("gram", F.zip_with("own", floor, lambda a, b: a + b).alias("chance")),
+                    "language-chances")
+    chances = [below]
+    for order in range(2, ORDER + 1):
+        longer = own.filter(F.col("order") == order).select(
+            "gram", "own", F.shiftrightunsigned("gram", 16).alias("context"),
+            F.col("gram").bitwiseAND(F.lit(int(_low(order - 1)))).alias("shorter"))
+        spread = longer.join(weights.filter(F.col("order") == order).select("context", "weight"), "context").join(
+            below.select(F.col("gram").alias("shorter"), "chance"), "shorter")
+        rest = F.zip_with("weight", "chance", lambda a, b: a * b)
+        below = stashed(spread.select("gram", F.zip_with("own", rest, lambda a, b: a + b).alias("chance")), "language-chances")
+        chances.append(below)
+
+    # Kinds: an order's probabilities, and BACK plus the order for the weights of its contexts.
+    logs = lambda name: F.transform(name, lambda x: F.log(x).cast("float")).alias("logs")
+    tables = {order: df.select(F.lit(order).alias("kind"), "gram", logs("chance")) for order, df in enumerate(chances, 1)}
+    tables |= {BACK + order: weights.filter(F.col("order") == order).select(
+        F.lit(BACK + order).alias("kind"), F.col("context").alias("gram"), logs("weight")) for order in range(2, ORDER + 1)}
+    rows = {row["kind"]: row["count"] for row in _union(tables.values()).groupBy("kind").count().collect()}
+    sizes = {kind: rows.get(kind, 0) * (24 + 4 * len(languages)) for kind in tables}
+    shards = {kind: _shards(size) for kind, size in sizes.items()}
+    path = shared_dir(spark, "language-models")
+    _union(df.withColumn("shard", F.pmod("gram", F.lit(shards[kind])).cast("int")) for kind, df in tables.items()).repartition(
+        "kind", "shard").write.mode("overwrite").partitionBy("kind", "shard").parquet(path)
+    kept = Kept()
+    stored = {kind: Sharded(path, kind, shards[kind], len(languages), kept) for kind in tables}
+    return Models(languages, [stored[order] for order in range(1, ORDER + 1)],
+                  [stored[BACK + order] for order in range(2, ORDER + 1)], np.log(first / size).astype(np.float32), {},
+                  1 if sum(sizes.values()) <= CACHE_BYTES else TOGETHER)
+
+
+def _union(tables: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models | None:
     """Models of all languages of the labelled rows; None if there are none."""
     pairs = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
     counts = (pairs.mapInArrow(freed(_counted), "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    counts = stashed(counts, "language-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    found = (counts.join(totals, "lang").filter(F.col("n") >= F.col("total") * LEAST_SHARE)
-             .select("lang", "gram", "n").toArrow())
-    names = found.column("lang").to_numpy(zero_copy_only=False)
-    if not len(names):
+    models = _fitted(stashed(counts, "language-counts"))
+    if models is None:
         return None
-    grams, numbers = found.column("gram").to_numpy(), found.column("n").to_numpy()
-    models = fit({name: (grams[names == name].view(np.uint64), numbers[names == name]) for name in sorted(set(names))})
     scored = identify(pairs.select("lang", "text"), models).filter("lang = lang_pred")
     limits = scored.groupBy("lang").agg(F.percentile_approx("cross_entropy", 0.999, 10_000).alias("most")).collect()
     models.limits = {row["lang"]: row["most"] * SLACK for row in limits}
@@ -275,7 +432,7 @@ def identify(df: DataFrame, models: Models | None, text: str = "text") -> DataFr
     if models is None:
         return df.select(*[F.col(f"`{name}`") for name in kept], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                          F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    sent = df.sparkSession.sparkContext.broadcast(models)  # bounded by LEAST_SHARE
+    sent = df.sparkSession.sparkContext.broadcast(models)  # where the shards are, not what they hold
     schema = T.StructType([df.schema[name] for name in kept] + [T.StructField(k, v) for k, v in RESULTS.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,17 +441,21 @@ def identify(df: DataFrame, models: Models | None, text: str = "text") -> DataFr
         for batch in batches:
             texts = [value or "" for value in batch.column(text).to_pylist()]
             totals, symbols = np.zeros((len(texts), len(names))), np.zeros(len(texts), np.int64)
-            for portion in _portions(texts):
-                keys, starts = _grams([piece for _, piece in portion])
-                if not len(keys):
-                    continue
-                numbers = np.array([number for number, _ in portion])
-                sizes = np.diff(np.append(starts, len(keys)))
-                full = sizes > 0
-                sums = np.add.reduceat(models.score(keys).astype(np.float64), starts[full], axis=0)
-                np.add.at(totals, numbers[full], sums)
-                letters = np.add.reduceat(((keys & np.uint64(0xFFFF)) != 0).astype(np.int64), starts[full])
-                np.add.at(symbols, numbers[full], np.where(letters > 0, sizes[full], 0))
+            portions = _portions(texts)
+            while several := list(islice(portions, models.together)):
+                cut = [(np.array([number for number, _ in portion]), *_grams([piece for _, piece in portion]))
+                       for portion in several]
+                distinct = np.unique(np.concatenate([np.unique(keys) for _, keys, _ in cut]))
+                values = models.score(distinct)
+                for numbers, keys, starts in cut:
+                    if not len(keys):
+                        continue
+                    sizes = np.diff(np.append(starts, len(keys)))
+                    full = sizes > 0
+                    scores = values[np.searchsorted(distinct, keys)].astype(np.float64)
+                    np.add.at(totals, numbers[full], np.add.reduceat(scores, starts[full], axis=0))
+                    letters = np.add.reduceat(((keys & np.uint64(0xFFFF)) != 0).astype(np.int64), starts[full])
+                    np.add.at(symbols, numbers[full], np.where(letters > 0, sizes[full], 0))
             entropy = -totals / np.maximum(symbols, 1)[:, None]
             best, seen = entropy.argmin(axis=1), symbols > 0
             lowest = entropy[np.arange(len(texts)), best]

@@ -236,6 +236,23 @@ def test_long_texts_score_like_their_pieces(monkeypatch):
     assert np.array_equal(whole[whole != 0], cut[cut != 0])
 
 
+def test_models_keep_rare_grams_and_equal_the_models_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(language, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(language, "CACHE_BYTES", 6000)
+    rare = ["zebra quagga okapi", "zebra gnu", "ibex the cat"]
+    common = spark.range(6).selectExpr("'en' AS lang", "repeat('the cat ', 60000) AS text")
+    other = [("de", text) for text in ("der hund sass auf der matte", "ein hund", "die katze lag auf dem sofa")]
+    models = language.train(common.unionByName(spark.createDataFrame([("en", x) for x in rare] + other, "lang string, text string")))
+    keys = {"en": [*["the cat " * 60_000] * 6, *rare], "de": [text for _, text in other]}
+    grams = {name: language._grams(texts)[0] for name, texts in keys.items()}
+    memory = language.fit({name: np.unique(own, return_counts=True) for name, own in grams.items()})
+    probe = np.unique(np.concatenate([*grams.values(), language._grams(["zebu hundert xyz katzen"])[0]]))
+    assert models.languages == memory.languages and max(part.shards for part in models.grams) > 1
+    assert np.allclose(models.score(probe), memory.score(probe), atol=1e-5)
+    asked = spark.createDataFrame([(k, text) for k, text in enumerate(rare)], "doc_id long, text string")
+    assert {row.lang_pred for row in language.identify(asked, models).collect()} == {"en"}
+
+
 # --- quality
 
 def brute_statistics(text):
