@@ -378,6 +378,28 @@ def test_counts_follow_the_poisson_distribution(spark):
     assert len(set(order)) > 0.99 * len(order) and abs(np.mean(order) - 0.5) < 0.01
 
 
+def test_counts_of_rates_above_one_invert_the_whole_distribution(spark):
+    def inverse(rate, u):
+        k, log, total = 0, -rate, math.exp(-rate)
+        while total <= u:
+            k += 1
+            log += math.log(rate) - math.log(k)
+            total += math.exp(log)
+        return k
+
+    sizes, wanted = {"a": 3000, "b": 2000, "c": 500, "d": 3}, {"a": 1.8, "b": 1.0, "c": 2000.0, "d": 0.0}
+    rows = [(k, f"{s}{k}", s) for s, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {s: wanted[s] * sizes[s] for s in sizes}
+    out = mixing.mix(df, weights=weights, total=sum(weights.values())).groupBy("source", "doc_id").count().collect()
+    counts = {(row.source, row.doc_id): row["count"] for row in out}
+    drawn = {row.doc_id: row.u for row in df.filter("source = 'a'").select(
+        "doc_id", mixing.uniform(f"{mixing.SEED}/count", df.doc_id).alias("u")).collect()}
+    assert all(counts.get((s, k), 0) == inverse(wanted[s], drawn[k]) for s in "abc" for k in range(sizes[s]))
+    zero = sum(("a", k) not in counts for k in range(3000)) / 3000
+    assert abs(zero - math.exp(-1.8)) < 0.03 and not any(s == "d" for s, _ in counts)
+
+
 # --- neighbours
 
 def test_neighbours(spark):
