@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -453,5 +454,18 @@ def test_licences(spark):
     assert licences.find(df.limit(0)).count() == 0
 
 
+def test_wrapped_and_commented_notices_are_paragraphs(spark):
+    long = [(family, text) for family, group in licences.TEMPLATES.items() for text in group if len(text) > 100]
+    texts = []
+    for mark in ("", "# ", " * ", "// "):
+        for _, text in long:
+            texts.append("Plain words here\n\n" + "\n".join(mark + line for line in textwrap.wrap(text, 70)) + f"\n{mark}\nmore")
+    rng = random.Random(13)
+    texts += [sentence(rng, 40, "abcdefghij") for _ in range(200)] + ["\r\n\r\n", None]
+    found = {(row.doc_id, row.family, row.paragraph) for row in licences.find(documents(spark, texts)).collect()
+             if row.confirmed}
+    assert len(long) >= 4 and found == {(k, family, 2) for k, (family, _) in enumerate(long * 4)}
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
