@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import FILE_LISTING
@@ -20,16 +22,38 @@ def _directly_in(files: DataFrame, folder: str) -> DataFrame:
     return files.filter(parent == _qualified(files.sparkSession, folder)).select(*FILE_LISTING.fieldNames())
 
 
+def _empty_files(spark: SparkSession, folder: str, pattern: str) -> list[tuple]:
+    """Rows of the empty files directly in ``folder``, which Spark's scan of files passes over."""
+    context, found = spark.sparkContext, []
+    hadoop = context._jvm.org.apache.hadoop.fs
+    path, named = hadoop.Path(folder), hadoop.GlobFilter(pattern)
+    entries = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatusIterator(path)
+    while entries.hasNext():
+        entry = entries.next()
+        if entry.getLen() or not entry.isFile():
+            continue
+        name = entry.getPath().getName()
+        # Names that Spark takes for hidden files.
+        hidden = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+        if not hidden and named.accept(entry.getPath()):
+            at = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=entry.getModificationTime())
+            found.append((entry.getPath().toString(), at, 0, b""))
+    return found
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Whole files directly in ``folder`` as (path, modificationTime, length, content).
 
     Content is read only where it is selected, and the listing is filtered before. Spark passes over empty
-    files. Keep archives outside the folder: they would be listed, though not read.
+    files, so these are listed by themselves and added. Keep archives outside the folder: they would be listed, though not read.
     """
     # A recursive listing, because otherwise sub-folders are taken for partitions of a table.
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", "true").load(folder))
-    return _directly_in(files, folder)
+    found = _directly_in(files, folder)
+    # Listed second: what is filled between the two listings waits for the next reading and does not come twice.
+    empty = _empty_files(spark, folder, pattern)
+    return found.unionByName(spark.createDataFrame(empty, FILE_LISTING)) if empty else found
 
 
 def stream_files(
@@ -38,6 +62,7 @@ def stream_files(
 ) -> DataFrame:
     """Files as they arrive. Set the polling interval by the trigger of the query (5 seconds by custom).
 
+    Empty files do not arrive: Spark passes over them in a stream. ``read_files`` and ``poll_folder`` have them.
     Processed files are moved to ``archive_dir``, deleted, or left where they are.
     """
     reader = (spark.readStream.format("binaryFile").schema(FILE_LISTING)

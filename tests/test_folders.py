@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark import plans
+from flowspark import plans, sources
 from flowspark.plans.folders import seconds_of
 
 T0 = datetime(2100, 1, 1)
@@ -120,3 +120,25 @@ def test_flow_runs_from_the_command_line(tmp_path):
     run = subprocess.run([sys.executable, "-m", "flowspark"], cwd=root, env=environ, capture_output=True, timeout=300)
     assert run.returncode == 0, run.stderr[-2000:]
     assert (tmp_path / "out/copy.json").read_text() == '{"n":1}'
+
+
+def test_empty_files_are_landed_and_polled(spark, tmp_path):
+    inbox = tmp_path / "in"
+    (inbox / "sub").mkdir(parents=True)
+    for name, content in (("a.json", "{}"), ("b.json", ""), ("c.txt", ""), ("sub/d.json", ""), (".e.json", ""), ("_f.json", "")):
+        (inbox / name).write_text(content)
+    rows = sources.read_files(spark, str(inbox), "*.json").collect()
+    found = {row.path.rsplit("/", 1)[1]: (row.length, bytes(row.content)) for row in rows}
+    assert len(rows) == 2 and found == {"a.json": (2, b"{}"), "b.json": (0, b"")}
+    at = {row.path.rsplit("/", 1)[1]: row.modificationTime for row in rows}
+    assert abs((at["b.json"] - at["a.json"]).total_seconds()) < 60
+    sent = tmp_path / "sent"
+    actions = []
+    for number in range(2):
+        report = plans.poll_folder(
+            spark, str(inbox), lambda env: env.write.mode("append").parquet(str(sent)), str(tmp_path / "state"),
+            as_of=F.lit(f"2100-01-0{number + 1} 00:00:00").cast("timestamp"), pattern="*.txt", stage_dir=str(tmp_path / f"stage{number}"),
+            archive_dir=str(tmp_path / "archive"))
+        actions += [(row.name, row.action) for row in report.collect()]
+    assert actions == [("c.txt", "process")] and not (inbox / "c.txt").exists()
+    assert [bytes(row.payload) for row in spark.read.parquet(str(sent)).collect()] == [b""]
