@@ -50,3 +50,16 @@ def test_pipeline_without_rows(spark, tables):
     for name, stage in corpus_pipeline.STAGES:
         docs = stashed(stage(spark, docs, tables), f"empty-{name}")
         assert docs.count() == 0
+
+
+def test_near_copy_stage_keeps_rows_without_id_and_a_definite_copy(spark, tables):
+    columns = list(corpus_pipeline.COLUMNS)
+    rows = [(k, f"w{k}a{j} w{k}b{j} w{k}c{j} w{k}d{j} w{k}e{j} w{k}f{j}", "en", "s", 1) for j in (2, 0, 1) for k in range(12)]
+    rows += [(None, "same text in each of these rows", "en", "s", 1)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.join_near_copies(spark, docs, tables)
+    hashed = docs.filter("doc_id IS NOT NULL").selectExpr("*", f"xxhash64({', '.join(columns)}) AS h").collect()
+    least = {k: min((row.h, row.text) for row in hashed if row.doc_id == k)[1] for k in range(12)}
+    found = kept.collect()
+    assert sum(row.doc_id is None for row in found) == 30 and len(found) == 42
+    assert {row.doc_id: row.text for row in found if row.doc_id is not None} == least
