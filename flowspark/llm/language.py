@@ -8,8 +8,9 @@ n-gram into shards of about ``SHARD_BYTES``, and tasks read shards as they need
 shard is an array sorted by the hash of the n-gram, with a column per language; a bucket index over the leading bits finds a
 hash's place. A text gets the language of lowest cross-entropy per predicted symbol.
 
-Rejection: per language, the 99.9th percentile of the cross-entropy of labelled texts, widened by ``SLACK``, is the most a
-text may have; beyond it the text is marked as rejected (it keeps its nearest language).
+Rejection: a tenth of the labelled texts, by a hash of the text, teaches no model. Per language, the 99.9th percentile of
+their cross-entropy, widened by ``SLACK``, is the most a text may have; beyond it the text is marked as rejected (it keeps its
+nearest language). A language of which no text was held back takes its limit from the texts that it learned from.
 
 Cases: a null text and one without letters is ``und``, score 0, rejected; without labelled rows every text is ``und``; rows
 without label teach nothing; repeated rows are judged alike; a text longer than ``PIECE`` characters is cut at non-letters
@@ -27,6 +28,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,8 @@ from .common import freed, stashed, table
 
 ORDER = 4
 SLACK = 1.25
+#: One of so many labelled texts is held back for the limits.
+HELD_BACK = 10
 #: Characters worked on at a time.
 PIECE = 1 << 18
 #: N-grams a task holds before it adds them up.
@@ -415,28 +419,43 @@ def _union(tables: Iterable[DataFrame]) -> DataFrame:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models | None:
     """Models of all languages of the labelled rows; None if there are none."""
     pairs = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    counts = (pairs.mapInArrow(freed(_counted), "lang string, gram long, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    models = _fitted(stashed(counts, "language-counts"))
+    held = F.pmod(F.xxhash64(F.lit("limits"), "text"), F.lit(HELD_BACK)) == 0
+    models = _taught(pairs.filter(~held))
+    if models is None:
+        held, models = F.lit(False), _taught(pairs)
     if models is None:
         return None
-    scored = identify(pairs.select("lang", "text"), models).filter("lang = lang_pred")
-    limits = scored.groupBy("lang").agg(F.percentile_approx("cross_entropy", 0.999, 10_000).alias("most")).collect()
-    models.limits = {row["lang"]: row["most"] * SLACK for row in limits}
+    models.limits = _limits(pairs.filter(held), models)
+    missing = [name for name in models.languages if name not in models.limits]
+    if missing:
+        models.limits |= _limits(pairs.filter(~held & F.col("lang").isin(missing)), models)
     return models
 
 
+def _taught(pairs: DataFrame) -> Models | None:
+    counts = (pairs.mapInArrow(freed(_counted), "lang string, gram long, n long")
+              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    return _fitted(stashed(counts, "language-counts"))
+
+
+def _limits(pairs: DataFrame, models: Models) -> dict[str, float]:
+    scored = identify(pairs, models).filter("lang = lang_pred")
+    limits = scored.groupBy("lang").agg(F.percentile_approx("cross_entropy", 0.999, 10_000).alias("most")).collect()
+    return {row["lang"]: row["most"] * SLACK for row in limits}
+
+
 def identify(df: DataFrame, models: Models | None, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score``, ``cross_entropy`` (nats a symbol) and ``rejected``."""
     kept = [name for name in df.columns if name not in RESULTS]
     if models is None:
         return df.select(*[F.col(f"`{name}`") for name in kept], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                          F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    sent = df.sparkSession.sparkContext.broadcast(models)  # where the shards are, not what they hold
+    # Where the shards are, not what they hold. Pickled like code, by value: a worker need not have this package.
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
     schema = T.StructType([df.schema[name] for name in kept] + [T.StructField(k, v) for k, v in RESULTS.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
+        models = cloudpickle.loads(sent.value)
         names, limits = models.languages, models.limits
         for batch in batches:
             texts = [value or "" for value in batch.column(text).to_pylist()]

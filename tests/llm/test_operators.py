@@ -9,6 +9,7 @@ import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowspark.llm import chat, jaccard, language, licences, mixing, neighbours, pieces, quality, repeats, secrets
 from flowspark.llm.components import components
@@ -377,6 +378,7 @@ def test_counts_follow_the_poisson_distribution(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(df, weights={}).count() == 0
     order = [row.mix_order for row in out.collect()]
     assert len(set(order)) > 0.99 * len(order) and abs(np.mean(order) - 0.5) < 0.01
+    assert order == sorted(order)  # read in order, the partitions are one global shuffle
 
 
 def test_counts_of_rates_above_one_invert_the_whole_distribution(spark):
@@ -469,3 +471,17 @@ def test_wrapped_and_commented_notices_are_paragraphs(spark):
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_foreign_and_senseless_texts_are_rejected(spark):
+    taught = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(~language.held_out(F.col("doc_id")))
+    texts = ["Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+             "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+             "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+             "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.", "жизнь человека прекрасна",
+             "xkqz vwprt zzkl qqjx bvcm wrtp lkjh", "qwxzj kvbqz wxqjz pzkvq"]
+    models = language.train(taught)
+    df = spark.createDataFrame([(text,) for text in texts], "text string")
+    assert all(row.rejected for row in language.identify(df, models).collect())
+    held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(language.held_out(F.col("doc_id")))
+    assert language.identify(held.filter("lang IS NOT NULL AND text IS NOT NULL"), models).filter("rejected").count() <= 1
