@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import estimated_bytes, shared_dir
 
 #: White space that separates words: space and the control characters 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -26,6 +26,13 @@ def stashed(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(df: DataFrame, each: int) -> int:
+    """How many parts of some ``each`` bytes ``df`` asks for, and at least the shuffle partitions of the session. A table whose
+    size the planner doesn't know (it then counts as endless) gets these."""
+    size, least = estimated_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // each)) if size < 1 << 60 else least
+
+
 def sampled(df: DataFrame, key: Column, total: int, most: int) -> DataFrame:
     """About ``most`` of ``total`` rows, never more, by the hash of a key: rows are dropped where they are read, so that
     no task gets more than the sample."""
