@@ -43,7 +43,9 @@ CLASSES, HEAD, ROUNDS = 64, 4096, 4
 #: Words of a portion, and bytes of text cut at a time.
 PORTION, SLICE = 1 << 20, 1 << 20
 #: Words that a shard of the word lists has, on average.
-SHARD = 1 << 19
+SHARD = 1 << 18
+#: Counts of the head's words that are summed in one group.
+CELLS = 1 << 14
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 CODED = ("portion long, keys array<long>, ids array<long>, training array<boolean>, ends array<boolean>, sizes array<int>, "
          "before array<int>, tokens array<int>, words array<long>, counts array<int>")
@@ -259,20 +261,22 @@ def _neighbours(portions: DataFrame, head: np.ndarray, classes: np.ndarray, k: i
             itself += np.bincount(a[(a >= 0) & (a == b)], minlength=size)
             rest += np.bincount((c * width + d)[(a < 0) & (b < 0)], minlength=width * width)
         for kind, values in enumerate((after, before, itself, rest)):
-            cells = np.flatnonzero(values)
-            for at in range(0, len(cells), 100_000):
-                part = cells[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind), pa.int32()), pa.array(part, pa.int64()),
-                                                  pa.array(values[part])], ["kind", "cell", "n"])
-
-    counted = portions.select("words", "training", "sizes", "before", "tokens").mapInArrow(
-        freed(count), "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
-    kind, cell, n = (counted.column(name).to_numpy() for name in ("kind", "cell", "n"))
-    found = []
-    for number, cells in enumerate((size * width, size * width, size, width * width)):
-        values = np.zeros(cells)
-        values[cell[kind == number]] = n[kind == number]
-        found.append(values)
+            for part in range(0, len(values), CELLS):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), _column([values[part:part + CELLS]], pa.int64())],
+                    ["kind", "part", "counts"])
+
+    def summed(data: pa.Table) -> pa.Table:
+        total = _flat(data, "counts").reshape(data.num_rows, -1).sum(axis=0)
+        return pa.table([data.column("kind")[:1], data.column("part")[:1], _column([total], pa.int64())], ["kind", "part", "counts"])
+
+    schema = "kind int, part int, counts array<long>"
+    counted = portions.select("words", "training", "sizes", "before", "tokens").mapInArrow(freed(count), schema).groupBy(
+        "kind", "part").applyInArrow(summed, schema).toArrow()
+    found = [np.zeros(size * width), np.zeros(size * width), np.zeros(size), np.zeros(width * width)]
+    for row in _rows(iter(counted.to_batches())):
+        part, counts = row["part"].as_py(), _array(row, "counts")
+        found[row["kind"].as_py()][part:part + len(counts)] = counts
     return found[0].reshape(size, width), found[1].reshape(size, width), found[2], found[3].reshape(width, width)
 
 
