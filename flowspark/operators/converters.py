@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,10 +13,10 @@ def _text(payload: str = "payload") -> Column:
     return F.col(payload).cast("string")
 
 
-def with_payload(env: DataFrame, body: Column, content_type: str, malformed: Column, kind: str) -> DataFrame:
-    """Replaces the payload; its size and MIME type follow. Where the payload is malformed the message stays as it
-    is, and ``conversion_error`` says why."""
-    marked = env.withColumn("conversion_error", F.when(F.coalesce(malformed, F.lit(True)), F.lit(f"malformed {kind}")))
+def with_payload(env: DataFrame, body: Column, content_type: str, reason: Column) -> DataFrame:
+    """Replaces the payload; its size and MIME type follow. Where there is a ``reason`` against it the message stays as
+    it is, and ``conversion_error`` holds the reason."""
+    marked = env.withColumn("conversion_error", reason)
     fine = F.col("conversion_error").isNull()
     replaced = marked.withColumn("payload", F.when(fine, body.cast("binary")).otherwise(F.col("payload")))
     return replaced.withColumns({
@@ -25,6 +26,25 @@ def with_payload(env: DataFrame, body: Column, content_type: str, malformed: Col
     })
 
 
+def _not_an_object(document: Column) -> Column:
+    """Why a payload is no JSON object; NULL where it is one. ``document`` is the payload parsed."""
+    return F.when(document.isNull(), "malformed JSON").when(~F.rlike(_text(), F.lit(r"^\s*\{")), "not a JSON object")
+
+
+def _given(document: Column, path: str) -> Column:
+    """Whether the document has a value other than null at ``path``."""
+    value = F.try_variant_get(document, path, "variant")
+    return value.isNotNull() & ~F.is_variant_null(value)
+
+
+def _unconverted(checks: dict[str, Column]) -> Column:
+    """The reason that names the fields whose check is true; NULL if there is none."""
+    if not checks:
+        return F.lit(None).cast("string")
+    names = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))
+    return F.when(F.size(names) > 0, F.concat(F.lit("fields not converted: "), F.array_join(names, ", ")))
+
+
 def converted_and_failed(env: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(converted, failed)`` of a conversion; failed messages have their reason in ``last_error``."""
     bad = F.col("conversion_error").isNotNull()
@@ -36,11 +56,13 @@ def map_json(env: DataFrame, mapping: dict[str, str | dict]) -> DataFrame:
     """Builds a new JSON payload, field by field.
 
     A field is a path (``"$.a.b"``, type kept), or a dict with one of ``path``, ``const``, ``context`` (an
-    envelope column), and for a path optionally ``multiply`` and ``type``. The payload is parsed once.
+    envelope column), and for a path optionally ``multiply`` and ``type``. The payload is parsed once. One that is no
+    JSON object, or in which a field has another type than ``type``, stays as it is.
     """
     parsed = env.withColumn("__doc", F.try_parse_json(_text()))
+    checks = {}
 
-    def field(rule: str | dict) -> Column:
+    def field(name: str, rule: str | dict) -> Column:
         if isinstance(rule, str):
             rule = {"path": rule}
         if "const" in rule:
@@ -49,50 +71,104 @@ def map_json(env: DataFrame, mapping: dict[str, str | dict]) -> DataFrame:
             return F.col(rule["context"])
         kind = rule.get("type", "double" if "multiply" in rule else "variant")
         value = F.try_variant_get(F.col("__doc"), rule["path"], kind)
+        if kind != "variant":
+            checks[name] = value.isNull() & _given(F.col("__doc"), rule["path"])
         return value * F.lit(rule["multiply"]) if "multiply" in rule else value
 
-    body = F.to_json(F.struct(*[field(rule).alias(name) for name, rule in mapping.items()]))
-    return with_payload(parsed, body, "application/json", F.col("__doc").isNull(), "JSON").drop("__doc")
+    body = F.to_json(F.struct(*[field(name, rule).alias(name) for name, rule in mapping.items()]))
+    reason = F.coalesce(_not_an_object(F.col("__doc")), _unconverted(checks))
+    return with_payload(parsed, body, "application/json", reason).drop("__doc")
 
 
 REST = "__rest"
 
 
+def _schema(schema: str | T.StructType) -> T.StructType:
+    return T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+
 def _with_rest(schema: str | T.StructType) -> T.StructType:
     """The schema with a column for what does not follow it."""
-    if isinstance(schema, str):
-        schema = T._parse_datatype_string(schema)
-    return T.StructType([*schema.fields, T.StructField(REST, T.StringType())])
+    return T.StructType([*_schema(schema).fields, T.StructField(REST, T.StringType())])
+
+
+def _no_field(row: Column, names: list[str]) -> Column:
+    found = F.lit(False)
+    for name in names:
+        found = found | row[name].isNotNull()
+    return ~found
 
 
 def json_to_xml(env: DataFrame, schema: str | T.StructType, row_tag: str = "ROW") -> DataFrame:
-    body = F.to_xml(F.from_json(_text(), schema), {"rowTag": row_tag})
-    return with_payload(env, body, "application/xml", F.try_parse_json(_text()).isNull(), "JSON")
+    """The fields of ``schema`` as one XML element. A payload that is no JSON object, has a field that does not convert,
+    or has fields but none of these, stays as it is."""
+    schema = _schema(schema)
+    parsed = env.withColumns({"__doc": F.try_parse_json(_text()), "__row": F.from_json(_text(), schema)})
+    row, document = F.col("__row"), F.col("__doc")
+    checks = {name: row[name].isNull() & _given(document, f"$['{name}']") for name in schema.names}
+    # An empty object has nothing to lose; one with other fields only would lose all it has.
+    foreign = _no_field(row, schema.names) & ~F.rlike(_text(), F.lit(r"^\s*\{\s*\}\s*$"))
+    nothing = F.when(foreign & ~_any(F.try_variant_get(document, f"$['{name}']", "variant").isNotNull() for name in schema.names),
+                     "no field of the schema")
+    reason = F.coalesce(_not_an_object(document), _unconverted(checks), nothing)
+    return with_payload(parsed, F.to_xml(row, {"rowTag": row_tag}), "application/xml", reason).drop("__doc", "__row")
+
+
+def _any(conditions: Iterator[Column]) -> Column:
+    found = F.lit(False)
+    for condition in conditions:
+        found = found | condition
+    return found
 
 
 def xml_to_json(env: DataFrame, schema: str | T.StructType, row_tag: str = "ROW") -> DataFrame:
+    """Elements ``row_tag`` as JSON objects with the fields of ``schema``.
+
+    One element gives an object, several give an array of objects, in order. A payload stays as it is where an element is
+    malformed, has a field that does not convert, or holds content but none of the fields; and where there is no such
+    element, or something outside them but the XML declaration, comments and one element around all.
+    """
     whole = _with_rest(schema)
-    parsed = env.withColumn("__row", F.from_xml(_text(), whole, {"rowTag": row_tag, "columnNameOfCorruptRecord": REST}))
-    body = F.to_json(F.struct(*[F.col(f"__row.`{name}`") for name in whole.names if name != REST]))
-    return with_payload(parsed, body, "application/json", F.col(f"__row.{REST}").isNotNull(), "XML").drop("__row")
+    names = [name for name in whole.names if name != REST]
+    tag = re.escape(row_tag)
+    element = rf"(?s)<{tag}(?:\s[^>]*)?(?:/>|(?<!/)>.*?</{tag}\s*>)"
+    parsed = env.withColumn("__found", F.regexp_extract_all(_text(), F.lit(element), F.lit(0)))
+    parsed = parsed.withColumn("__rows", F.transform("__found", lambda text: F.from_xml(
+        text, whole, {"rowTag": row_tag, "columnNameOfCorruptRecord": REST})))
+    rows = F.col("__rows")
+    outside = F.regexp_replace(F.regexp_replace(_text(), element, ""), r"(?s)<\?.*?\?>|<!--.*?-->", "")
+    stray = ~F.rlike(outside, F.lit(r"(?s)^\s*(?:<([^\s<>/]+)(?:\s[^<>]*)?>\s*</\1\s*>)?\s*$"))
+    empty = F.lit(rf"(?s)^<{tag}(?:\s[^>]*)?(?:/>|>\s*</{tag}\s*>)$")
+    foreign = F.exists(F.arrays_zip("__found", "__rows"), lambda pair: _no_field(
+        pair["__rows"], names) & ~F.rlike(pair["__found"], empty))
+    reason = (F.when(_text().isNull() | (F.size("__found") == 0) & (F.length(F.trim(_text())) == 0), "empty payload")
+              .when(F.exists(rows, lambda row: row.isNull() | row[REST].isNotNull()) | stray, "malformed XML")
+              .when(F.size("__found") == 0, F.lit(f"no element {row_tag}"))
+              .when(foreign, "no field of the schema"))
+    objects = F.transform(rows, lambda row: F.struct(*[row[name].alias(name) for name in names]))
+    body = F.when(F.size("__found") == 1, F.to_json(F.get(objects, F.lit(0)))).otherwise(F.to_json(objects))
+    return with_payload(parsed, body, "application/json", reason).drop("__found", "__rows")
 
 
 def csv_to_json(env: DataFrame, schema: str, *, sep: str = ",", header: bool = False) -> DataFrame:
-    """One message per CSV line of the payload; ``header`` skips the first line."""
+    """One message per CSV line of the payload; ``header`` skips the first line. A payload without lines stays one message,
+    whose ``line_number`` is NULL and whose ``conversion_error`` says so."""
     lines = F.filter(F.split(_text(), r"\r?\n"), lambda line: F.length(line) > 0)
     if header:
         lines = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    exploded = env.select("*", F.posexplode(lines).alias("line_number", "__line"))
+    exploded = env.select("*", F.posexplode_outer(lines).alias("line_number", "__line"))
     whole = _with_rest(schema)
     parsed = exploded.withColumn("__row", F.from_csv("__line", F.lit(whole.simpleString()[len("struct<"):-1].replace(
         ":", " ")), {"sep": sep, "columnNameOfCorruptRecord": REST}))
     body = F.to_json(F.struct(*[F.col(f"__row.`{name}`") for name in whole.names if name != REST]))
-    done = with_payload(parsed, body, "application/json", F.col(f"__row.{REST}").isNotNull(), "CSV line")
+    reason = F.when(F.col("__line").isNull(), "no lines").when(
+        F.col("__row").isNull() | F.col(f"__row.{REST}").isNotNull(), "malformed CSV line")
+    done = with_payload(parsed, body, "application/json", reason)
     # A bad line is what its message keeps, not the whole payload again.
-    return done.withColumns({
-        "payload": F.when(F.col("conversion_error").isNull(), F.col("payload")).otherwise(F.col("__line").cast("binary")),
-        "payload_size": F.when(F.col("conversion_error").isNull(), F.col("payload_size")).otherwise(
-            F.octet_length("__line").cast("bigint"))}).drop("__line", "__row")
+    own = F.when(F.col("conversion_error").isNull(), F.col("payload")).otherwise(
+        F.coalesce(F.col("__line").cast("binary"), "payload"))
+    return done.withColumn("payload", own).withColumn("payload_size", F.octet_length("payload").cast("bigint")).drop(
+        "__line", "__row")
 
 
 def convert_types(env: DataFrame, schema: str | T.StructType) -> DataFrame:

@@ -69,6 +69,82 @@ def csv_to_json(spark, folder):
     return _order_columns(op.csv_to_json(env, ORDER_SCHEMA, header=True))
 
 
+# Payloads by the last digit of the order: what becomes of each, and how many messages it makes.
+ODD_JSON = {0: ('{"order_id":1,"amount":2.5}', None), 1: ("[1,2]", "not a JSON object"), 2: ('"x"', "not a JSON object"),
+            3: ("5", "not a JSON object"), 4: ("null", "not a JSON object"),
+            5: ('{"order_id":"none","amount":"much"}', "fields not converted: order_id, amount"), 6: ("", "malformed JSON"),
+            7: (None, "malformed JSON"), 8: ('{"other":1}', None), 9: ('{"order_id":', "malformed JSON")}
+ODD_XML = {0: ("<o><order_id>1</order_id></o>", None, '{"order_id":1}'),
+           1: ("<all>\n<o><order_id>1</order_id></o><o><order_id>2</order_id></o></all>", None, '[{"order_id":1},{"order_id":2}]'),
+           2: ("<o><b>1</b></o>", "no field of the schema", None), 3: ("<o><order_id>1", "malformed XML", None),
+           4: ("", "empty payload", None), 5: (None, "empty payload", None),
+           6: ("<o><order_id>none</order_id></o>", "malformed XML", None), 7: ("<x><y>1</y></x>", "malformed XML", None),
+           8: ('<?xml version="1.0"?><o/>', None, "{}"), 9: ("<all/>", "malformed XML", None)}
+ODD_CSV = {0: ("id,amount\n1,2.5\n2,3.5\n", [None, None]), 1: ("id,amount\n", ["no lines"]), 2: ("", ["no lines"]),
+           3: (None, ["no lines"]), 4: ("id,amount\n1,2.5\nx,y,z\n", [None, "malformed CSV line"]), 5: ("\n\n", ["no lines"]),
+           6: ("id,amount", ["no lines"]), 7: ("id,amount\r\n7,1.5", [None]), 8: ("id,amount\none,1.5\n", ["malformed CSV line"]),
+           9: ("id,amount\n1,1.0\n\n2,2.0", [None, None])}
+
+
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'"
+
+
+def _odd(spark, folder, payloads: dict[int, str | None]):
+    """Orders with the odd payload of their key's last digit."""
+    digit = F.col("o_orderkey") % 10
+    body = F.coalesce(*[F.when(digit == k, F.lit(text)) for k, text in payloads.items() if text is not None])
+    return m.table(spark, folder, "orders").select(
+        "o_orderkey", digit.alias("digit"), body.cast("binary").alias("payload"), F.lit("text/plain").alias("content_type"))
+
+
+def _listed(rows: list[tuple]) -> str:
+    return ", ".join(f"({', '.join(_quoted(x) if isinstance(x, str | None) else str(x) for x in row)})" for row in rows)
+
+
+@query("map_json_odd_payloads", f"""
+WITH kinds(digit, given, error) AS (VALUES {_listed([
+    (k, text, "fields not converted: n, cents" if k == 5 else error or "") for k, (text, error) in ODD_JSON.items()])})
+SELECT o_orderkey, coalesce(CASE error WHEN '' THEN CASE digit WHEN 0 THEN '{{"n":1,"cents":250.0,"cur":"USD"}}'
+    ELSE '{{"cur":"USD"}}' END ELSE given END, 'NULL') AS payload, error FROM orders JOIN kinds ON o_orderkey % 10 = digit""")
+def map_json_odd_payloads(spark, folder):
+    env = op.map_json(_odd(spark, folder, {k: text for k, (text, _) in ODD_JSON.items()}), {
+        "n": {"path": "$.order_id", "type": "bigint"}, "cents": {"path": "$.amount", "multiply": 100},
+        "cur": {"const": "USD"}})
+    return env.select("o_orderkey", F.coalesce(F.col("payload").cast("string"), F.lit("NULL")).alias("payload"),
+                      F.coalesce("conversion_error", F.lit("")).alias("error"))
+
+
+@query("json_to_xml_odd_payloads", f"""
+WITH kinds(digit, given, error) AS (VALUES {_listed([
+    (k, text, "no field of the schema" if k == 8 else error or "") for k, (text, error) in ODD_JSON.items()])})
+SELECT o_orderkey, coalesce(CASE error WHEN '' THEN concat_ws(chr(10), '<o>', '    <order_id>1</order_id>',
+    '    <amount>2.5</amount>', '</o>') ELSE given END, 'NULL') AS payload, error FROM orders JOIN kinds ON o_orderkey % 10 = digit""")
+def json_to_xml_odd_payloads(spark, folder):
+    env = op.json_to_xml(_odd(spark, folder, {k: text for k, (text, _) in ODD_JSON.items()}), "order_id BIGINT, amount DOUBLE", "o")
+    return env.select("o_orderkey", F.coalesce(F.col("payload").cast("string"), F.lit("NULL")).alias("payload"),
+                      F.coalesce("conversion_error", F.lit("")).alias("error"))
+
+
+@query("xml_to_json_odd_payloads", f"""
+WITH kinds(digit, given, error, made) AS (VALUES {_listed([(k, text, error or "", made) for k, (text, error, made) in ODD_XML.items()])})
+SELECT o_orderkey, coalesce(made, given, 'NULL') AS payload, error FROM orders JOIN kinds ON o_orderkey % 10 = digit""")
+def xml_to_json_odd_payloads(spark, folder):
+    env = op.xml_to_json(_odd(spark, folder, {k: row[0] for k, row in ODD_XML.items()}), "order_id BIGINT", "o")
+    return env.select("o_orderkey", F.coalesce(F.col("payload").cast("string"), F.lit("NULL")).alias("payload"),
+                      F.coalesce("conversion_error", F.lit("")).alias("error"))
+
+
+@query("csv_to_json_odd_payloads", f"""
+WITH kinds(digit, line, error) AS (VALUES {_listed([
+    (k, at if errors != ["no lines"] else -1, error or "") for k, (_, errors) in ODD_CSV.items() for at, error in enumerate(errors)])})
+SELECT o_orderkey, line::INTEGER AS line_number, error FROM orders JOIN kinds ON o_orderkey % 10 = digit""")
+def csv_to_json_odd_payloads(spark, folder):
+    env = op.csv_to_json(_odd(spark, folder, {k: text for k, (text, _) in ODD_CSV.items()}), "id INT, amount DOUBLE", header=True)
+    return env.select("o_orderkey", F.coalesce("line_number", F.lit(-1)).alias("line_number"),
+                      F.coalesce("conversion_error", F.lit("")).alias("error"))
+
+
 @query("convert_types", """
 SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS user_id,
   CAST(round(value * 100) AS BIGINT) AS cents,

@@ -136,8 +136,11 @@ def test_map_json_keeps_types_and_nesting(spark):
 def test_csv_lines_become_messages(spark):
     df = spark.createDataFrame([("f", "a,b\r\n1,x\r\n2,y\n"), ("empty", "a,b\n"), ("none", "")], "id string, payload string")
     out = op.csv_to_json(df, "a INT, b STRING", header=True)
-    assert [(i, bytes(p).decode()) for i, p in values(out, "id", "payload")] == [
+    fine = out.filter("conversion_error IS NULL")
+    assert [(i, bytes(p).decode()) for i, p in values(fine, "id", "payload")] == [
         ("f", '{"a":1,"b":"x"}'), ("f", '{"a":2,"b":"y"}')]
+    assert sorted(values(out.filter("conversion_error IS NOT NULL"), "id", "line_number", "conversion_error")) == [
+        ("empty", None, "no lines"), ("none", None, "no lines")]
 
 
 def test_bad_values_are_named(spark):
