@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import sinks, sources
 from ..operators import bus_to_envelopes, files_to_envelopes, match_subject, new_envelope, requests_to_envelopes
 from ..schema import MAX_PAYLOAD_BYTES
+from ..session import shared_dir
 from ..sources.registry import register_sink, register_source
 
 
@@ -62,10 +63,16 @@ def _file_sink(env: DataFrame, options: dict) -> None:
     sinks.write_files(plan, folder)
 
 
-def _http_sink(env: DataFrame, options: dict) -> None:
-    send, report = _required(options, "send", "report_path")
-    settings = {name: options[name] for name in ("attempts", "backoff", "headers", "body") if name in options}
-    sinks.deliver(env, send, _place(options, report), **settings)
+def _http_sink(env: DataFrame, options: dict) -> DataFrame:
+    """Sends to the endpoint that ``url``, ``method``, ``timeout``, ``retries`` and ``headers`` describe, or by a given ``send``;
+    returns the delivery report."""
+    report = options.get("report_path") or shared_dir(env.sparkSession, "deliveries")
+    if options.get("send"):
+        settings = {name: options[name] for name in ("send", "attempts", "headers") if name in options}
+    else:
+        settings = sinks.http_options(options)
+    settings |= {name: options[name] for name in ("backoff", "body", "concurrency") if name in options}
+    return sinks.deliver(env, report_path=_place(options, report), **settings)
 
 
 def _bus_sink(env: DataFrame, options: dict) -> None:

@@ -4,21 +4,28 @@ Every message gets a ``route``: a destination, ``rejected`` (invalid), ``dropped
 ``dead_letter`` (its conversion failed). Later steps leave a message that has a route as it is. Every destination
 needs a sink, or None where its messages shall only be counted; rejected messages and dead letters without a sink
 are written to the folder ``unsent`` of the flow, by default below the shared folder. The annotated messages are written once, partitioned by route;
-each sink then reads its own partition, so parallel destinations never run the plan again.
+each sink then reads its own partition, so parallel destinations never run the plan again; the copy goes when the flow ends.
+
+Deliveries that a sink reports as failed are not lost: with ``retry_dir`` in the config they are entered there, and
+``drain_flow`` sends them again until they are delivered or dead letters (see ``retries``).
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import converters, filters, messages
 from ..session import shared_dir
+from ..sinks.storage import exists, open_store
 from ..sources.registry import open_source, send_to
 from ..streaming.runs import for_each_batch_once
+from .retries import Deliver, RetryPolicy, drain_retries, first_deliveries
 
 REJECTED, DROPPED, DEAD_LETTER = "rejected", "dropped", "dead_letter"
 
@@ -130,32 +137,82 @@ def _checked(config: dict, functions: dict[str, Callable] | None) -> Flow:
     return flow
 
 
-def _send_routes(staged: DataFrame, sinks: dict[str, dict | None], unsent: str, batch: int | None = None) -> None:
+def _send_routes(
+    staged: DataFrame, config: dict, unsent: str, batch: int | None = None, as_of: Column | None = None,
+) -> None:
+    sinks, retry_dir = config.get("sinks", {}), config.get("retry_dir")
     for destination, sink in sinks.items():
         if sink is not None:
             part = staged.filter(F.col("route") == destination).drop("route")
-            send_to(part, sink["type"], {**sink.get("options", {}), **({} if batch is None else {"batch": batch})})
+            report = send_to(part, sink["type"], {**sink.get("options", {}), **({} if batch is None else {"batch": batch})})
+            if report is not None and retry_dir:
+                first_deliveries(part, report, retry_dir, destination, policy=RetryPolicy(**config.get("retry", {})),
+                                 as_of=F.current_timestamp() if as_of is None else as_of)
     rest = [route for route in (REJECTED, DEAD_LETTER) if route not in sinks]
     if rest:
         place = unsent if batch is None else f"{unsent}/batch={batch}"
         staged.filter(F.col("route").isin(rest)).write.mode("overwrite").partitionBy("route").parquet(place)
 
 
+def deliveries(config: dict) -> dict[str, Deliver]:
+    """For each destination how it is sent to again; a pass has a report of its own."""
+    def again(sink: dict) -> Deliver:
+        def send(env: DataFrame, destination: str, number: int) -> DataFrame:
+            options = dict(sink.get("options", {}))
+            if options.get("report_path"):
+                options["report_path"] = f"{options['report_path'].rstrip('/')}-pass={number}"
+            report = send_to(env, sink["type"], options)
+            if report is None:
+                raise ValueError(f"the sink of {destination} reports no deliveries")
+            return report
+        return send
+
+    return {name: again(sink) for name, sink in config.get("sinks", {}).items() if sink is not None}
+
+
+def drain_flow(
+    spark: SparkSession, config: dict, *, wait: Callable[[datetime], Column] | None = None, dead_dir: str | None = None,
+) -> DataFrame | None:
+    """Sends a flow's failed deliveries again until each is delivered or a dead letter; returns the last states."""
+    def sleep(moment: datetime) -> Column:
+        time.sleep(max(0.0, moment.timestamp() - time.time()))
+        return F.current_timestamp()
+
+    return drain_retries(spark, config["retry_dir"], deliveries(config), wait=wait or sleep, dead_dir=dead_dir,
+                         policy=RetryPolicy(**config.get("retry", {})))
+
+
 def _stage(annotated: DataFrame, path: str) -> DataFrame:
     annotated.write.mode("overwrite").partitionBy("route").parquet(path)
     return annotated.sparkSession.read.schema(annotated.schema).parquet(path)
 
 
+def _cleared(path: str) -> None:
+    """Removes a stage that nothing reads any more."""
+    store, root = open_store(path)
+    if exists(store, root):
+        store.delete_dir(root)
+
+
 def run_flow(
-    spark: SparkSession, config: dict, *, functions: dict[str, Callable] | None = None, stage_dir: str | None = None
+    spark: SparkSession, config: dict, *, functions: dict[str, Callable] | None = None, stage_dir: str | None = None,
+    as_of: Column | None = None,
 ) -> DataFrame:
-    """Runs a declared flow to its end; returns messages and bytes per route."""
+    """Runs a declared flow to its end; returns messages and bytes per route. ``as_of`` is the time of its deliveries.
+
+    The stage is removed at the end unless ``stage_dir`` was given.
+    """
     source, flow = config["source"], _checked(config, functions)
     env = open_source(spark, source["type"], source.get("options", {}))
-    staged = _stage(flow.annotate(env), stage_dir or shared_dir(spark, "flow"))
-    _send_routes(staged, config.get("sinks", {}), config.get("unsent") or shared_dir(spark, "unsent"))
-    return staged.groupBy("route").agg(
-        F.count(F.lit(1)).alias("messages"), F.sum("payload_size").alias("total_bytes"))
+    stage = stage_dir or shared_dir(spark, "flow")
+    staged = _stage(flow.annotate(env), stage)
+    _send_routes(staged, config, config.get("unsent") or shared_dir(spark, "unsent"), as_of=as_of)
+    report = staged.groupBy("route").agg(F.count(F.lit(1)).alias("messages"), F.sum("payload_size").alias("total_bytes"))
+    if stage_dir:
+        return report
+    rows = report.collect()  # a row a route
+    _cleared(stage)
+    return spark.createDataFrame(rows, report.schema)
 
 
 def run_flow_stream(
@@ -170,7 +227,8 @@ def run_flow_stream(
     unsent = config.get("unsent") or f"{stage_dir}/unsent"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        staged = _stage(flow.annotate(batch), f"{stage_dir}/batch={batch_id}")
-        _send_routes(staged, config.get("sinks", {}), unsent, batch_id)
+        stage = f"{stage_dir}/batch={batch_id}"
+        _send_routes(_stage(flow.annotate(batch), stage), config, unsent, batch_id)
+        _cleared(stage)
 
     return for_each_batch_once(stream, handle, checkpoint, **trigger)

@@ -4,6 +4,7 @@ from .deliver import deliver, to_bus_records  # noqa: F401
 from .files import (  # noqa: F401
     fetch_files, offload_payloads, plan_file_output, resolve_payload_refs, settle_files, write_files,
 )
+from .http import http_options, http_sender  # noqa: F401
 from .tables import (  # noqa: F401
     drop_expired_days, write_archive, write_dead_letter, write_errors, write_table, write_table_jdbc,
 )

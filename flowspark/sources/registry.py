@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 SourceFactory = Callable[[SparkSession, dict], DataFrame]
-SinkFactory = Callable[[DataFrame, dict], None]
+#: A sink that delivers message by message returns its report: ``id``, ``delivered``, ``status`` and ``error``.
+SinkFactory = Callable[[DataFrame, dict], DataFrame | None]
 
 _sources: dict[str, SourceFactory] = {}
 _sinks: dict[str, SinkFactory] = {}
@@ -34,10 +35,10 @@ def open_source(spark: SparkSession, name: str, options: dict) -> DataFrame:
     return _sources[name](spark, options)
 
 
-def send_to(df: DataFrame, name: str, options: dict) -> None:
+def send_to(df: DataFrame, name: str, options: dict) -> DataFrame | None:
     if name not in _sinks:
         raise ValueError(f"unknown sink type: {name}")
-    _sinks[name](df, options)
+    return _sinks[name](df, options)
 
 
 def known_types() -> dict[str, list[str]]:

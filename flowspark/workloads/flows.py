@@ -80,6 +80,53 @@ def run_flow_stream(spark, folder):
         F.count(F.lit(1)).alias("messages"))
 
 
+class Answer:
+    """What an opened request gives."""
+
+    def __init__(self, status):
+        self.status = status
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+
+def _endpoint(request, timeout):
+    """Accepts message n after n % 5 failures; n % 5 = 4 never answers. The body is the envelope."""
+    message = json.loads(request.data)
+    kind = int(message["id"].split("-")[1]) % 5
+    if kind == 4:
+        raise ConnectionError("refused")
+    return Answer(200 if message.get("retry_count", 0) >= kind else 503)
+
+
+@query("run_flow_retries", f"""
+WITH {m.MESSAGES} SELECT id, least(event_id % 5, 3) AS failures, CASE WHEN event_id % 5 < 3 THEN event_id % 5 + 1 ELSE 4 END AS passes,
+  [0, 1000, 3000, 7000][least(event_id % 5, 3) + 1]::BIGINT AS waited_ms,
+  CASE WHEN event_id % 5 < 3 THEN 'completed' ELSE 'dead_letter' END AS state,
+  CASE event_id % 5 WHEN 3 THEN 'status 503' WHEN 4 THEN 'ConnectionError: refused' ELSE '' END AS error,
+  event_id % 5 >= 3 AS is_dead FROM messages""")
+def run_flow_retries(spark, folder):
+    """Messages to an HTTP endpoint that options describe; what it refuses goes through the retry table to its end."""
+    register_source("events", lambda session, options: m.messages(session, options["folder"]))
+    home, start = shared_dir(spark, "retries"), F.lit("2024-01-31 00:00:00").cast("timestamp")
+    config = {
+        "source": {"type": "events", "options": {"folder": folder}}, "steps": [{"kind": "validate"}], "default": "endpoint",
+        "sinks": {"endpoint": {"type": "http", "options": {
+            "url": "https://partner.example/in", "method": "PUT", "timeout": 5, "headers": {"X-Origin": "flow"},
+            "body": "envelope", "opener": _endpoint}}},
+        "retry_dir": f"{home}/retry", "retry": {"max_failures": 3}}
+    plans.run_flow(spark, config, as_of=start)
+    states = plans.drain_flow(spark, config, wait=lambda moment: F.lit(moment).cast("timestamp"), dead_dir=f"{home}/dead")
+    passes = plans.retry_log(spark, f"{home}/retry").groupBy("id").agg(F.count(F.lit(1)).alias("passes"))
+    dead = spark.read.parquet(f"{home}/dead").select("id", F.lit(True).alias("is_dead"))
+    return states.join(passes, "id").join(dead, "id", "left").select(
+        "id", F.col("failures").cast("bigint").alias("failures"), "passes", "waited_ms", "state",
+        F.coalesce("error", F.lit("")).alias("error"), F.coalesce("is_dead", F.lit(False)).alias("is_dead"))
+
+
 @query("registered_connectors", """
 SELECT o_orderkey AS order_id, o_orderpriority AS priority FROM orders""")
 def registered_connectors(spark, folder):
