@@ -162,14 +162,14 @@ def vocabulary(portions: DataFrame, shards: int) -> DataFrame:
             parts = list(_sharded(words, shards))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard for shard, _ in parts], pa.int32()), _column([words[part] for _, part in parts], pa.int64()),
-                 _column([counts[part] for _, part in parts], pa.int64())], ["shard", "words", "counts"])
+                 _column([counts[part] for _, part in parts], pa.int32())], ["shard", "words", "counts"])
 
     def summed(data: pa.Table) -> pa.Table:
         words, inverse = np.unique(_flat(data, "words"), return_inverse=True)
         counts = np.bincount(inverse, _flat(data, "counts"), len(words)).astype(np.int64)
         return pa.table([_column([words], pa.int64()), _column([counts], pa.int64())], ["words", "counts"])
 
-    lists = portions.select("words", "counts").mapInArrow(freed(listed), "shard int, words array<long>, counts array<long>")
+    lists = portions.select("words", "counts").mapInArrow(freed(listed), "shard int, words array<long>, counts array<int>")
     return stashed(lists.groupBy("shard").applyInArrow(summed, "words array<long>, counts array<long>"), "vocabulary")
 
 
@@ -399,16 +399,34 @@ PIECES = ("key long, id long, training boolean, last boolean, n_tokens long, n_k
           "classes binary")
 
 
-def _followed(head: np.ndarray, counts: np.ndarray, classes: np.ndarray, k: int, totals: tuple[int, int, int]):
+def _numbered(portions: DataFrame, head: np.ndarray) -> DataFrame:
+    """Portions with each word's place in the head, or -1, instead of its hash: what is shuffled to the answers is small."""
+    order = np.argsort(head)
+    sent = portions.sparkSession.sparkContext.broadcast((head[order], order))  # HEAD words
+    names = ["portion", "keys", "ids", "training", "ends", "sizes", "before", "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, places = sent.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                place = _of_head(batch.column("words")[k].values.to_numpy(), hashes, places, -1)
+                place[0] = -1
+                yield pa.RecordBatch.from_arrays([*(batch.column(name).slice(k, 1) for name in names),
+                                                  _column([place], pa.int16())], [*names, "heads"])
+
+    kept = [part for part in CODED.split(", ") if part.split()[0] in names]
+    return portions.select(*names, "words").mapInArrow(freed(run), ", ".join([*kept, "heads array<short>"]))
+
+
+def _followed(counts: np.ndarray, classes: np.ndarray, k: int, totals: tuple[int, int, int]):
     """A portion with what it is told: sums over its pieces, and the classes of their words, what stands before first."""
     tokens_, kinds, ends = totals
-    order = np.argsort(head)
-    hashes, own, times = head[order], classes[order], counts[order]
+    own, times = np.append(classes, k + 1), np.append(counts, 0)  # the last is that of place -1
 
     def run(portion: pa.Table, told: pa.Table) -> pa.Table:
         row = next(_rows(portion.to_batches()))
-        words = _array(row, "words")
-        number, n = _of_head(words, hashes, own, k + 1), _of_head(words, hashes, times, 0)
+        place = _array(row, "heads").astype(np.int64)
+        number, n = own[place], times[place]
         if told.num_rows:
             at = _flat(told, "at")
             number[at], n[at] = _flat(told, "classes"), _flat(told, "counts")
@@ -492,8 +510,8 @@ def score(documents: DataFrame, is_training: Column, id: str = "doc_id", text: s
     frequent, counts = head_words(words, head)
     own, bigrams, _ = exchange(portions, frequent, classes, rounds)
     told = classified(portions, frequent, own, bigrams, shards)
-    pieces = stashed(portions.groupBy("portion").cogroup(told.groupBy("portion")).applyInArrow(
-        _followed(frequent, counts, own, classes, (tokens, kinds, ends)), PIECES), "pieces")
+    pieces = stashed(_numbered(portions, frequent).groupBy("portion").cogroup(told.groupBy("portion")).applyInArrow(
+        _followed(counts, own, classes, (tokens, kinds, ends)), PIECES), "pieces")
     weights = smoothed(_transitions(pieces, classes), (total["once"] or 0) + (ends == 1)) if ends else np.zeros((classes + 2,) * 2)
     whole = _scored(pieces, weights).groupBy("key").agg(
         F.first("id").alias(id), F.first("training").alias("training"), F.sum("n_tokens").alias("n_tokens"),
