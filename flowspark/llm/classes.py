@@ -412,10 +412,10 @@ def _numbered(portions: DataFrame, head: np.ndarray) -> DataFrame:
                 place = _of_head(batch.column("words")[k].values.to_numpy(), hashes, places, -1)
                 place[0] = -1
                 yield pa.RecordBatch.from_arrays([*(batch.column(name).slice(k, 1) for name in names),
-                                                  _column([place], pa.int16())], [*names, "heads"])
+                                                  _column([place], pa.int32())], [*names, "heads"])
 
     kept = [part for part in CODED.split(", ") if part.split()[0] in names]
-    return portions.select(*names, "words").mapInArrow(freed(run), ", ".join([*kept, "heads array<short>"]))
+    return portions.select(*names, "words").mapInArrow(freed(run), ", ".join([*kept, "heads array<int>"]))
 
 
 def _followed(counts: np.ndarray, classes: np.ndarray, k: int, totals: tuple[int, int, int]):
