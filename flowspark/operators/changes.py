@@ -37,12 +37,14 @@ def merge_rows(
     ``insert`` conflicts with rows that exist, ``update`` with rows that do not. Rows of ``incoming`` that share
     their keys, or have a NULL among them, conflict under every strategy: none of them is written.
     """
-    counted = incoming.select(*target.columns, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__same"))
     whole = F.lit(True)
     for key in keys:
         whole = whole & F.col(key).isNotNull()
-    rows = counted.filter((F.col("__same") == 1) & whole).drop("__same")
-    unclear = counted.filter((F.col("__same") > 1) | ~whole).drop("__same")
+    given = incoming.select(*target.columns)
+    # Counted before any row is shuffled; rows without a whole key go past, since they would all meet in one task.
+    repeated = given.filter(whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("__same")).filter("__same > 1").select(*keys)
+    rows = given.filter(whole).join(repeated, keys, "left_anti").select(*target.columns)
+    unclear = given.filter(~whole).unionByName(given.filter(whole).join(repeated, keys, "left_semi").select(*target.columns))
     present = rows.join(target.select(*keys), keys, "left_semi").select(*target.columns)
     absent = rows.join(target.select(*keys), keys, "left_anti").select(*target.columns)
     if strategy == "insert":

@@ -5,6 +5,9 @@ from .files import (  # noqa: F401
     fetch_files, offload_payloads, plan_file_output, resolve_payload_refs, settle_files, write_files,
 )
 from .http import http_options, http_sender  # noqa: F401
+from .keyed import (  # noqa: F401
+    apply_to_replica, create_keyed, create_replica, load_replica, manifest, read_keyed, read_replica_table, vacuum, write_keyed,
+)
 from .tables import (  # noqa: F401
     drop_expired_days, write_archive, write_dead_letter, write_errors, write_table, write_table_jdbc,
 )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .. import operators as op
+from .. import operators as op, sinks
 from ..session import shared_dir
 from ..sinks import write_table
 from . import model as m
@@ -68,6 +68,49 @@ def conflicts(spark, folder):
     return op.merge_sources(*found)
 
 
+@query("write_keyed_upsert", f"""
+WITH {INCOMING}, merged AS (SELECT * FROM old WHERE user_id NOT IN (SELECT user_id FROM fresh) UNION ALL SELECT * FROM fresh)
+SELECT 'after' AS version, user_id, value FROM merged UNION ALL SELECT 'before', user_id, value FROM old""")
+def write_keyed_upsert(spark, folder):
+    """A keyed table in buckets before and after an upsert, read side by side."""
+    path, accounts = shared_dir(spark, "keyed"), _accounts(spark, folder)
+    sinks.create_keyed(path, accounts.schema, ["user_id"], buckets=16)
+    first, _ = sinks.write_keyed(accounts, path, strategy="insert")
+    sinks.write_keyed(_incoming(spark, folder), path)
+    return sinks.read_keyed(spark, path).withColumn("version", F.lit("after")).unionByName(
+        sinks.read_keyed(spark, path, first.version).withColumn("version", F.lit("before"))).select("version", "user_id", "value")
+
+
+@query("write_keyed_few_keys", """
+SELECT c_custkey AS user_id, CASE WHEN c_custkey % 100 = 7 THEN c_acctbal + 1 ELSE c_acctbal END AS value, true AS only_theirs
+FROM customer""")
+def write_keyed_few_keys(spark, folder):
+    """An update of one key in a hundred; ``only_theirs``: other buckets' files are the ones of the version before."""
+    path, accounts = shared_dir(spark, "keyed"), _accounts(spark, folder)
+    sinks.create_keyed(path, accounts.schema, ["user_id"], buckets=256)
+    before, _ = sinks.write_keyed(accounts, path, strategy="insert")
+    some = accounts.filter(F.col("user_id") % 100 == 7).withColumn("value", F.col("value") + 1)
+    after, touched = sinks.write_keyed(some, path, strategy="update")
+    same = all(after.held[bucket] == write for bucket, write in before.held.items() if bucket not in touched)
+    rewritten = all(after.held[bucket] == after.version for bucket in touched)
+    return sinks.read_keyed(spark, path).withColumn("only_theirs", F.lit(same and rewritten and len(touched) <= some.count()))
+
+
+@query("apply_changes_batches", APPLIED_SQL)
+def apply_changes_batches(spark, folder):
+    """Changes in five batches that overlap and come out of order, one of them twice, into a replica in buckets."""
+    path = shared_dir(spark, "replica")
+    sinks.create_replica(path, _accounts(spark, folder).schema, ["user_id"], buckets=32)
+    sinks.load_replica(_accounts(spark, folder), path, lsn=-1)
+    changes = m.changes(spark, folder).select("lsn", "op", "user_id", "value")
+    for batch, part in enumerate([3, 1, 1, 0, 4, 2]):
+        late = F.col("lsn") % 5 == part
+        again = (F.col("lsn") % 5 == (part + 1) % 5) & (F.col("lsn") % 3 == 0)  # delivered in another batch too
+        sinks.apply_to_replica(changes.filter(late | again), path, batch)
+    sinks.apply_to_replica(changes.filter("lsn % 5 = 3"), path, 0)  # a batch that is repeated
+    return sinks.read_replica_table(spark, path)
+
+
 @query("batch_number", f"""
 WITH {m.CHANGES} SELECT lsn, op, (row_number() OVER (PARTITION BY op ORDER BY lsn) - 1) // 100 AS batch FROM changes""")
 def batch_number(spark, folder):
