@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Mapping
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import sinks, sources
 from ..functions import backoff_ms, file_fingerprint
-from ..operators import drop_settling, files_to_envelopes, latest_state
+from ..operators import drop_settling, files_to_envelopes
 from ..session import shared_dir
+from ..sinks.keyed import versions
 
 STATE = ("name string, head_sha256 string, mtime timestamp, attempts int, last_error string, at timestamp")
 
@@ -95,17 +98,18 @@ def file_sink_options(environ: Mapping[str, str]) -> dict:
 def poll_folder(
     spark: SparkSession, folder: str, send: Callable[[DataFrame], None], state_dir: str, *, as_of: Column,
     pattern: str = "*", archive_dir: str | None = None, error_dir: str | None = None, delete: bool = False,
-    max_retries: int = 3, backoff_base_ms: int = 1000, stage_dir: str | None = None,
+    max_retries: int = 3, backoff_base_ms: int = 1000, stage_dir: str | None = None, shares: int = 1,
 ) -> DataFrame:
     """One poll: new versions of files become messages for ``send``; returns (name, action, attempts).
 
     ``process`` is a new version, ``skip`` the version processed last, ``retry`` a failed read to be tried
     again, ``wait`` one whose backoff is not over, ``error`` the last failure allowed, ``gave_up`` a file that
-    has had it. Files are listed without their content, which is then read by the tasks that need it.
+    has had it. Tasks list the files and read those that need it: of a file with the time it had, the head only, unless
+    that differs. The state is a keyed table with a row a name, of which a poll replaces the buckets it changes.
     """
     stage = stage_dir or shared_dir(spark, "poll")
-    known = latest_state(_states(spark, state_dir), ["name"], ["at"])
-    listing = drop_settling(sources.read_files(spark, folder, pattern), as_of=as_of).select(
+    known = _states(spark, state_dir)
+    listing = drop_settling(sources.list_files(spark, folder, pattern, shares=shares), as_of=as_of).select(
         "path", "modificationTime", F.substring_index("path", "/", -1).alias("name"))
     failures = F.coalesce("attempts", F.lit(0))
     due = F.timestamp_add("MILLISECOND", backoff_ms(F.lit(backoff_base_ms), failures), F.col("at"))
@@ -113,13 +117,13 @@ def poll_folder(
             .when((failures > 0) & (due > as_of), "wait"))
     judged = listing.join(known, "name", "left").withColumns({"held": held, "failures": failures})
 
-    read = sinks.fetch_files(judged.filter(F.col("held").isNull()))
+    as_before = (F.col("failures") == 0) & (F.date_trunc("second", "modificationTime") == F.col("mtime"))
+    read = sinks.fetch_files(judged.filter(F.col("held").isNull()).withColumn(
+        "expected", F.when(as_before, F.col("head_sha256"))), known="expected")
     version = file_fingerprint(F.col("content"), F.col("modificationTime"))
-    same = (F.col("failures") == 0) & (version["head_sha256"] == F.col("head_sha256")) & (
-        version["mtime"] == F.col("mtime"))
     failed = F.col("error").isNotNull()
     action = (F.when(failed & (F.col("failures") + 1 >= max_retries), "error").when(failed, "retry")
-              .when(same, "skip").otherwise("process"))
+              .when(F.col("unchanged"), "skip").otherwise("process"))
     done = read.select(
         "path", "name", "modificationTime", F.col("error"), action.alias("action"),
         F.when(failed, F.col("failures") + 1).otherwise(0).alias("attempts"),
@@ -136,9 +140,9 @@ def poll_folder(
     send(files_to_envelopes(fresh.select(
         "path", "modificationTime", F.octet_length("content").cast("bigint").alias("length"), "content", "id"),
         created_at=as_of).drop("path", "modificationTime"))
-    staged.filter(F.col("action").isin("process", "retry", "error")).select(
-        "name", "head_sha256", "mtime", "attempts", F.col("error").alias("last_error"), as_of.alias("at")
-    ).write.mode("append").parquet(state_dir)
+    sinks.write_keyed(staged.filter(F.col("action").isin("process", "retry", "error")).select(
+        "name", "head_sha256", "mtime", "attempts", F.col("error").alias("last_error"), as_of.alias("at")), state_dir)
+    sinks.vacuum(state_dir, keep=2)
     sinks.settle_files(
         staged.filter(F.col("action").isin("process", "error")).select("path", "error"), as_of=as_of,
         archive_dir=archive_dir, error_dir=error_dir, delete=delete, report_dir=f"{stage}/_settled")
@@ -146,7 +150,28 @@ def poll_folder(
 
 
 def _states(spark: SparkSession, state_dir: str) -> DataFrame:
-    from ..sinks.storage import children, open_store
-    if not any(name.endswith(".parquet") for name in children(*open_store(state_dir))):
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(state_dir)
+    if not versions(state_dir):
+        sinks.create_keyed(state_dir, STATE, ["name"])
+    return sinks.read_keyed(spark, state_dir)
+
+
+def watch_folder(
+    spark: SparkSession, send: Callable[[DataFrame], None], state_dir: str, *, folder: str, interval_seconds: float = 5.0,
+    archive_dir: str | None = None, archive_days: int = 30, polls: int | None = None,
+    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), sleep: Callable[[float], None] = time.sleep, **options,
+) -> None:
+    """Polls a folder every ``interval_seconds``, for ever or ``polls`` times; takes the options of ``file_source_options``.
+
+    After each poll the archive loses the days that are older than ``archive_days``. A poll that takes longer than the interval
+    is followed by the next one at once.
+    """
+    done = 0
+    while polls is None or done < polls:
+        began = clock()
+        poll_folder(spark, folder, send, state_dir, archive_dir=archive_dir,
+                    as_of=F.lit(began.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp"), **options)
+        if archive_dir:
+            sinks.drop_expired_days(archive_dir, as_of=began.date(), days=archive_days)
+        done += 1
+        if done != polls:
+            sleep(max(0.0, interval_seconds - (clock() - began).total_seconds()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -10,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import organize_path, payload_checksum, render_filename
+from ..functions.envelopes import FINGERPRINT_BYTES
 from ..functions.paths import key_part
 from ..operators.filters import reject_reason
 from ..schema import INLINE_PAYLOAD_LIMIT, MAX_PAYLOAD_BYTES
-from .storage import exists, get, open_store, put
+from .storage import exists, get, head, open_store, put
 
 FETCHED_BYTES = 64 * 1024 * 1024
 
@@ -131,32 +133,36 @@ def settle_files(
     return _reported(rows.mapInArrow(settle, "path string, action string, moved_to string"), report_dir)
 
 
-def fetch_files(listing: DataFrame, *, batch_bytes: int = FETCHED_BYTES) -> DataFrame:
+def fetch_files(listing: DataFrame, *, batch_bytes: int = FETCHED_BYTES, known: str | None = None) -> DataFrame:
     """Adds ``content`` of the file at ``path``, or the ``error`` that kept it from being read.
 
-    Each file is read by the task that holds its row; an unreadable file fails its row only.
+    Each file is read by the task that holds its row; an unreadable file fails its row only. ``known`` names a column with the
+    digest that the head of an unchanged file has: such a file is read no further, ``unchanged`` is true and it has no content.
     """
     schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType()),
-                           T.StructField("error", T.StringType())])
+                           T.StructField("error", T.StringType()), *([T.StructField("unchanged", T.BooleanType())] if known else [])])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begun, contents, errors, held = 0, [], [], 0
-            for position, path in enumerate(batch.column("path").to_pylist()):
-                content, error = None, None
+            begun, contents, errors, same, held = 0, [], [], [], 0
+            digests = batch.column(known).to_pylist() if known else [None] * batch.num_rows
+            for position, (path, digest) in enumerate(zip(batch.column("path").to_pylist(), digests)):
+                content, error, unchanged = None, None, False
                 try:
-                    content = get(*open_store(path))
+                    store, place = open_store(path)
+                    unchanged = digest is not None and hashlib.sha256(head(store, place, FINGERPRINT_BYTES)).hexdigest() == digest
+                    content = None if unchanged else get(store, place)
                 except OSError as failure:
                     error = f"{type(failure).__name__}: {failure}"
                 contents.append(content)
                 errors.append(error)
+                same.append(unchanged)
                 held += len(content or b"")
                 if held >= batch_bytes or position + 1 == batch.num_rows:
                     part = batch.slice(begun, len(contents))
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())],
-                        names=schema.names)
-                    begun, contents, errors, held = position + 1, [], [], 0
+                    found = [pa.array(contents, pa.binary()), pa.array(errors, pa.string()), pa.array(same, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *found[:2 + bool(known)]], names=schema.names)
+                    begun, contents, errors, same, held = position + 1, [], [], [], 0
 
     return listing.mapInArrow(fetch, schema)
 

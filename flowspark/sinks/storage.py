@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 
 from pyarrow import fs as arrow_fs
 
 
+# Hadoop's names of stores that go by another name here.
+SAME_STORE = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+LISTABLE = ("file", "s3", "gs", "gcs", "hdfs", "abfs", "abfss")
+
+
+def _scheme(uri: str) -> str:
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", uri)
+    return SAME_STORE.get(found[1], found[1]) if found else "file"
+
+
+def listable(uri: str) -> bool:
+    """Whether tasks can open the store of this URI by themselves."""
+    return _scheme(uri) in LISTABLE
+
+
 def open_store(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     """File system and path of a URI; a plain path or ``file:`` is local or mounted storage."""
-    if uri.startswith("file:"):
-        return arrow_fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    if "://" in uri:
-        return arrow_fs.FileSystem.from_uri(uri)
-    return arrow_fs.LocalFileSystem(), uri
+    scheme = _scheme(uri)
+    if scheme == "file":
+        return arrow_fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri
+    return arrow_fs.FileSystem.from_uri(f"{scheme}:{uri.split(':', 1)[1]}")
 
 
 def put(store: arrow_fs.FileSystem, path: str, content: bytes) -> None:
@@ -32,6 +47,12 @@ def get(store: arrow_fs.FileSystem, path: str) -> bytes:
         return content.read()
 
 
+def head(store: arrow_fs.FileSystem, path: str, size: int) -> bytes:
+    """The first ``size`` bytes of a file; no more are read."""
+    with store.open_input_file(path) as content:
+        return content.read_at(min(size, content.size()), 0)
+
+
 def exists(store: arrow_fs.FileSystem, path: str) -> bool:
     return store.get_file_info(path).type != arrow_fs.FileType.NotFound
 

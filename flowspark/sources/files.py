@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import FILE_LISTING
+from ..session import shared_dir
+from ..sinks.storage import listable
+from .listing import FolderSource
+from .registry import use
 
 
 def _qualified(spark: SparkSession, folder: str) -> str:
@@ -22,56 +24,48 @@ def _directly_in(files: DataFrame, folder: str) -> DataFrame:
     return files.filter(parent == _qualified(files.sparkSession, folder)).select(*FILE_LISTING.fieldNames())
 
 
-def _empty_files(spark: SparkSession, folder: str, pattern: str) -> list[tuple]:
-    """Rows of the empty files directly in ``folder``, which Spark's scan of files passes over."""
-    context, found = spark.sparkContext, []
-    hadoop = context._jvm.org.apache.hadoop.fs
-    path, named = hadoop.Path(folder), hadoop.GlobFilter(pattern)
-    entries = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatusIterator(path)
-    while entries.hasNext():
-        entry = entries.next()
-        if entry.getLen() or not entry.isFile():
-            continue
-        name = entry.getPath().getName()
-        # Names that Spark takes for hidden files.
-        hidden = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
-        if not hidden and named.accept(entry.getPath()):
-            at = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=entry.getModificationTime())
-            found.append((entry.getPath().toString(), at, 0, b""))
-    return found
+def list_files(spark: SparkSession, folder: str, pattern: str = "*", *, shares: int = 1) -> DataFrame:
+    """Files directly in ``folder`` as (path, modificationTime, length), listed by ``shares`` tasks; empty ones too."""
+    return spark.read.format(use(spark, FolderSource)).options(
+        path=folder, prefix=_qualified(spark, folder), pattern=pattern, shares=shares).load()
+
+
+def _empty_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """The empty files directly in ``folder``, which Spark's scan of files passes over."""
+    return list_files(spark, folder, pattern).filter("length = 0").withColumn("content", F.lit(b"")).select(
+        *FILE_LISTING.fieldNames())
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Whole files directly in ``folder`` as (path, modificationTime, length, content).
 
-    Content is read only where it is selected, and the listing is filtered before. Spark passes over empty
-    files, so these are listed by themselves and added. Keep archives outside the folder: they would be listed, though not read.
+    Content is read only where it is selected, and the listing is filtered before. Spark passes over empty files, so a task
+    lists these by themselves. Keep archives outside the folder: they would be listed, though not read.
     """
     # A recursive listing, because otherwise sub-folders are taken for partitions of a table.
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", "true").load(folder))
     found = _directly_in(files, folder)
-    # Listed second: what is filled between the two listings waits for the next reading and does not come twice.
-    empty = _empty_files(spark, folder, pattern)
-    return found.unionByName(spark.createDataFrame(empty, FILE_LISTING)) if empty else found
+    # A store that only Spark's own readers open has no listing by tasks.
+    return found.unionByName(_empty_files(spark, folder, pattern)) if listable(_qualified(spark, folder)) else found
 
 
 def stream_files(
-    spark: SparkSession, folder: str, pattern: str = "*", *, max_files: int = 1000, archive_dir: str | None = None,
-    delete: bool = False,
+    spark: SparkSession, folder: str, pattern: str = "*", *, state_dir: str | None = None, shares: int = 1, tasks: int = 0,
+    settle: float = 1.0,
 ) -> DataFrame:
-    """Files as they arrive. Set the polling interval by the trigger of the query (5 seconds by custom).
+    """Files as they arrive, empty ones and new versions too, each once: (path, modificationTime, length, content, error).
 
-    Empty files do not arrive: Spark passes over them in a stream. ``read_files`` and ``poll_folder`` have them.
-    Processed files are moved to ``archive_dir``, deleted, or left where they are.
+    Set the polling interval by the trigger of the query (5 seconds by custom). ``shares`` tasks list the folder, ``tasks`` (by
+    default the shuffle partitions) read the files; a file that went meanwhile has an ``error``. ``state_dir`` belongs to one
+    query, like its checkpoint: what it has seen is remembered there. Move or remove processed files by ``settle_files``.
     """
-    reader = (spark.readStream.format("binaryFile").schema(FILE_LISTING)
-              .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files))
-    if delete:
-        reader = reader.option("cleanSource", "delete")
-    elif archive_dir:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    return reader.load(folder)
+    from ..sinks.files import fetch_files
+    listed = spark.readStream.format(use(spark, FolderSource)).options(
+        path=folder, prefix=_qualified(spark, folder), pattern=pattern, shares=shares, settle=settle,
+        state=state_dir or shared_dir(spark, "folder-listings")).load()
+    spread = listed.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return fetch_files(spread)
 
 
 def read_objects(spark: SparkSession, root: str, pattern: str = "*.bin") -> DataFrame:

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from .. import operators as op, sources, streaming
+from .. import operators as op, sinks, sources, streaming
 from ..session import shared_dir
 from . import changes as changes_module, model as m
-from .files import _landed
 from .registry import query
 from .state import LOCKS_SQL, RETRY_SQL
 
@@ -34,16 +33,28 @@ def back(spark, written, path):
 
 
 @query("stream_files", f"""
-WITH {m.FILES} SELECT doc_id || '.json' AS name, length AS payload_size, content_type, sha256(content) AS checksum
-FROM files WHERE extension = 'json'""")
+WITH {m.FILES}, landed AS (SELECT doc_id, content_type, CASE WHEN doc_id % 10 = 3 THEN '' ELSE content END AS content FROM files)
+SELECT doc_id, 1 AS version, content_type, strlen(content) AS payload_size, sha256(content) AS checksum FROM landed
+UNION ALL SELECT doc_id, 2, content_type, strlen(content || '!'), sha256(content || '!') FROM landed WHERE doc_id % 6 = 2""")
 def stream_files(spark, folder):
-    landing = _landed(spark, folder)
-    session = streaming.stream_session(spark, timers=False)
-    env = op.files_to_envelopes(sources.stream_files(session, landing, "*.json", max_files=100_000))
-    rows = env.select(F.substring_index("path", "/", -1).alias("name"), "payload_size", "content_type",
-                      F.sha2("payload", 256).alias("checksum"))
-    path, checkpoint = places(spark, "stream-files")
-    return back(spark, streaming.run_to_table(rows, path, checkpoint), path)
+    """Files that come in four batches, some of them empty; a fifth batch brings new versions of some. Each comes once."""
+    landing, (path, checkpoint) = shared_dir(spark, "watched"), places(spark, "stream-files")
+    session, state = streaming.stream_session(spark, timers=False), shared_dir(spark, "listings")
+    files = m.files(spark, folder).withColumn("content", F.when(F.col("doc_id") % 10 == 3, F.lit(b"")).otherwise(F.col("content")))
+    parts = [(files.filter(F.col("doc_id") % 4 == k), 1) for k in range(4)]
+    parts.append((files.filter(F.col("doc_id") % 6 == 2).withColumn("content", F.concat("content", F.lit(b"!"))), 2))
+    for part, version in parts:
+        name = F.substring_index("path", "/", -1)
+        sinks.write_files(part.select(
+            F.col("doc_id").cast("string").alias("id"), name.alias("rel_path"), F.col("content").alias("payload"),
+            F.lit(None).cast("string").alias("checksum"), F.lit(None).cast("string").alias("reject_reason")),
+            landing, report_dir=f"{landing}-report-{len(parts)}")
+        found = sources.stream_files(session, landing, state_dir=state, shares=3, settle=0)
+        env = op.files_to_envelopes(found).select(
+            F.regexp_extract("path", r"([0-9]+)[^/]*$", 1).cast("bigint").alias("doc_id"), F.lit(version).alias("version"),
+            "content_type", "payload_size", F.sha2("payload", 256).alias("checksum"))
+        streaming.run_to_table(env, path, checkpoint)
+    return back(spark, env, path)
 
 
 @query("message_rate_stream", f"""

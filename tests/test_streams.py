@@ -131,17 +131,18 @@ def test_retries_are_released_after_their_backoff(spark, tmp_path):
     assert time.monotonic() - began >= 2.0
 
 
-def test_files_arrive_and_are_removed(spark, session, tmp_path):
+def test_files_arrive_once(spark, session, tmp_path):
     (tmp_path / "in").mkdir()
     for n in range(3):
         (tmp_path / f"in/f{n}.txt").write_text(f"body {n}")
     (tmp_path / "in/other.json").write_text("{}")
-    files = sources.stream_files(session, str(tmp_path / "in"), "*.txt")
+    seen = {"state_dir": str(tmp_path / "state"), "settle": 0}
+    files = sources.stream_files(session, str(tmp_path / "in"), "*.txt", **seen)
     env = op.files_to_envelopes(files, created_at=F.col("modificationTime")).select("content_type", "payload_size")
     found = streaming.run_to_table(env, f"{tmp_path}/out", f"{tmp_path}/c")
     assert rows(found) == [("text/plain", 6)] * 3
     (tmp_path / "in/f3.txt").write_text("body 3!")
-    again = op.files_to_envelopes(sources.stream_files(session, str(tmp_path / "in"), "*.txt")).select(
+    again = op.files_to_envelopes(sources.stream_files(session, str(tmp_path / "in"), "*.txt", **seen)).select(
         "content_type", "payload_size")
     assert rows(streaming.run_to_table(again, f"{tmp_path}/out", f"{tmp_path}/c")) == [
         ("text/plain", 6)] * 3 + [("text/plain", 7)]
