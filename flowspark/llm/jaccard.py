@@ -48,7 +48,7 @@ FEW = 4
 #: Bytes of the table for each segment and block, about.
 GROUP_BYTES = 8 << 20
 #: Open pairs for each posting, above which another round of hubs comes before all of them are built.
-CROSSING = 4
+CROSSING = 256
 PARTS = "key int, ids array<long>, sizes array<int>, counts array<int>, marks array<long>, tokens array<long>"
 
 
@@ -269,7 +269,9 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
                                      F.col("tokens").alias(f"tokens_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn(
         "common", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    return both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    # Small sets with equal hashes that are of different classes have different words.
+    unlike = (F.col("n_a") <= FEW) & (F.col("n_a") == F.col("common")) & (F.col("n_b") == F.col("common"))
+    return both.filter(~unlike & (100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))).select("a", "b")
 
 
 def _crossing(candidates: DataFrame, classes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -283,14 +285,12 @@ def _crossing(candidates: DataFrame, classes: DataFrame, links: DataFrame, perce
         near = components(links)
         rooted = candidates.join(near.withColumnRenamed("node", "member"), "member", "left").select(
             "token", "member", "n", "at", F.coalesce("root", "member").alias("root"))
-        of_root = rooted.groupBy("token", "root").agg(F.count("*").alias("own"))
-        open_ = of_root.groupBy("token").agg(F.sum("own").alias("all"), F.sum(F.col("own") * F.col("own")).alias("same"),
-                                             F.count("*").alias("roots")).filter("roots > 1")
+        open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
         rest = stashed(rooted.join(open_.select("token"), "token"), f"open-postings-{tried}")
-        sizes = open_.agg(F.sum("all").alias("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")).first()
-        if not sizes["all"]:
-            return links
-        if sizes["pairs"] <= CROSSING * sizes["all"]:
+        of_root = rest.groupBy("token", "root").agg(F.count("*").alias("own"))
+        sizes = of_root.groupBy("token").agg(F.sum("own").alias("all"), F.sum(F.col("own") * F.col("own")).alias("same")).agg(
+            F.sum("all").alias("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")).first()
+        if (sizes["pairs"] or 0) <= CROSSING * (sizes["all"] or 0):
             break
         order = F.xxhash64(F.lit(tried), "root")
         hubs = rest.groupBy("token").agg(F.min_by(F.struct("member", "n", "at", "root"), order).alias("low"),
@@ -338,8 +338,7 @@ def link(documents: DataFrame, id: str = "doc_id", text: str = "text", percent:
                 .join(members.select(F.col("group").alias("h"), F.col("member").alias("b")), "h").select("a", "b"))
     links = stashed(verified(stashed(expanded, "hub-pairs"), classes, percent), "hub-links")
 
-    candidates = stashed(postings.join(members, "group").select("token", "member", "n", "at"), "candidates")
-    links = _crossing(candidates, classes, links, percent)
+    links = _crossing(postings.join(members, "group").select("token", "member", "n", "at"), classes, links, percent)
 
     roots = components(links).withColumnRenamed("node", "class")
     of_class = classes.select("n", "set", "digest", "class").join(roots, "class", "left").select(

@@ -485,3 +485,32 @@ def test_foreign_and_senseless_texts_are_rejected(spark):
     assert all(row.rejected for row in language.identify(df, models).collect())
     held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(language.held_out(F.col("doc_id")))
     assert language.identify(held.filter("lang IS NOT NULL AND text IS NOT NULL"), models).filter("rejected").count() <= 1
+
+
+@pytest.mark.parametrize("partitions", ["2", "40"])
+def test_unlike_short_texts_are_never_linked(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        words = spark.range(150_000).selectExpr("id AS doc_id", "concat('w', hex(id * 7919)) AS text")
+        copies = spark.range(4).selectExpr("id + 1000000 AS doc_id", "concat('Same ', 'text') AS text")
+        found = jaccard.link(words.unionByName(copies)).filter("component_id <> doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((row.doc_id, row.component_id) for row in found) == [(10**6 + k, 10**6) for k in (1, 2, 3)]
+
+
+def test_sets_of_few_shingles_are_told_apart_by_their_words(monkeypatch, spark):
+    monkeypatch.setattr(jaccard, "sets", lambda texts: ((k, np.array([5], np.uint64)) for k in range(len(texts))))
+    found = jaccard.link(documents(spark, ["one", "two", "one", "two words", "a a a a a a", "a a a a a a a a"])).collect()
+    assert [row.component_id for row in sorted(found)] == [0, 1, 0, 3, 4, 4]
+
+
+def test_components_that_share_many_shingles_without_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROSSING", 0)  # rounds of hubs until these join nothing
+    rng = random.Random(9)
+    shared = sentence(rng, 30)
+    texts = [f"{shared} {sentence(rng, 25)}" for _ in range(40)]
+    texts += [edited(rng, text, 1) for text in texts[:20]]
+    found = jaccard.link(documents(spark, texts)).collect()
+    assert {row.doc_id: (row.n_shingles, row.component_id) for row in found} == brute_components(texts)
