@@ -455,7 +455,10 @@ def identify(df: DataFrame, models: Models | None, text: str = "text") -> DataFr
     schema = T.StructType([df.schema[name] for name in kept] + [T.StructField(k, v) for k, v in RESULTS.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = cloudpickle.loads(sent.value)
+        # A process has one broadcast object for all its tasks, and with it one set of models and of shards read.
+        if not hasattr(sent, "models"):
+            sent.models = cloudpickle.loads(sent.value)
+        models = sent.models
         names, limits = models.languages, models.limits
         for batch in batches:
             texts = [value or "" for value in batch.column(text).to_pylist()]
