@@ -469,6 +469,59 @@ def test_wrapped_and_commented_notices_are_paragraphs(spark):
     assert len(long) >= 4 and found == {(k, family, 2) for k, (family, _) in enumerate(long * 4)}
 
 
+HELD_OUT = ("The code may be used under the {}.", "This library is covered by the {}; see the file LICENSE.", "Published under {} terms.",
+            "Copyright 2024 The Team. Use is governed by the {}.")
+REWORDED = {
+    "mit": "Permission is granted free of charge to any person who obtains a copy of this software to deal in it without restriction, "
+           "including the rights to use, copy, modify, merge, publish and sell copies.",
+    "bsd": "Redistribution in source and binary forms, with or without modification, is permitted if these conditions are met: source "
+           "code must retain the copyright notice and this list of conditions.",
+    "gpl": "You may redistribute this program and modify it under the terms of the GNU General Public License of the Free Software "
+           "Foundation, version 2 or any later version.",
+    "apache": "You may not use these files except in compliance with the Apache License, Version 2.0; a copy is at apache.org/licenses.",
+    "cc-by-sa": "The text is available under the Creative Commons Attribution-ShareAlike License, version 4.0 International.",
+    "public-domain": "The author released this work into the public domain; anyone is free to copy, modify and sell it for any purpose."}
+
+
+def test_held_out_wordings_of_licences(spark):
+    """Precision and recall per family on wordings that training has not seen; other paragraphs are left alone."""
+    cases = [(family, frame.format(name)) for family, names in licences.NAMES.items() for name in names for frame in HELD_OUT]
+    cases += list(REWORDED.items())
+    assert not {text for _, text in cases} & {text for text, _, _ in licences._variants(sorted(licences.TEMPLATES))}
+    rng = random.Random(21)
+    plain = [sentence(rng, 30, "abcdefghij") for _ in range(300)]
+    plain += ["The general public was not amused by the software.", "All the conditions of the weather were met without notice.",
+              "He had permission to use the copy room free of charge.", "The foundation published its terms of work."]
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = licences.find(documents(spark, [text for _, text in cases] + plain), trained=licences.train(corpus)).collect()
+    found = {row.doc_id: row.family for row in rows}
+    assert not [k for k in found if k >= len(cases)]
+    for family in REWORDED.keys() | {"cc-by", "mpl"}:
+        told = [k for k in found if found[k] == family]
+        own = [k for k, (name, _) in enumerate(cases) if name == family]
+        precision, recall = len(set(told) & set(own)) / len(told), len(set(told) & set(own)) / len(own)
+        assert precision >= 0.85 and recall >= 0.75, (family, precision, recall)
+
+
+def test_licence_shares_are_those_of_the_templates(spark):
+    rng = random.Random(22)
+    texts = [template for group in licences.TEMPLATES.values() for template in group]
+    texts += [" ".join(word for word in text.split() if rng.random() < 0.85) for text in texts]
+    cut = lambda text: re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    for row in licences.find(documents(spark, texts)).collect():
+        own = set(cut(texts[row.doc_id]))
+        share = max(len(own & set(cut(template))) / len(set(cut(template))) for template in licences.TEMPLATES[row.family])
+        assert row.share == pytest.approx(share) and row.confirmed == (share >= licences.SHARE)
+
+
+def test_very_long_texts_and_odd_rows_of_licences(spark):
+    notice = licences.TEMPLATES["gpl"][2]
+    long = "\n".join(f"line {k} of a long text" for k in range(60_000)) + f"\n\n{notice}\n\n" + "word " * 200_000
+    df = documents(spark, [long, None, "", notice, notice]).unionByName(documents(spark, []))
+    found = sorted((row.doc_id, row.paragraph, row.family) for row in licences.find(df).collect() if row.confirmed)
+    assert found == [(0, 60_001, "gpl"), (3, 0, "gpl"), (4, 0, "gpl")]
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
