@@ -180,4 +180,6 @@ def without_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text"
 
 def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # The bytes that are left, as text: where a cut went through a character, the rest of it reads as U+FFFD.
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
