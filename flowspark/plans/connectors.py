@@ -60,7 +60,9 @@ def _file_sink(env: DataFrame, options: dict) -> None:
     plan = sinks.plan_file_output(env, options.get("filename", "{{.ID}}.{{.Extension}}"),
                                   organize_by=options.get("organize_by", "none"),
                                   max_size=options.get("max_size", MAX_PAYLOAD_BYTES))
-    sinks.write_files(plan, folder)
+    # In a stream the batch names the write, so that a batch that is repeated replaces what it left.
+    batch = options.get("batch")
+    sinks.write_files_committed(plan, folder, job=None if batch is None else f"batch-{batch}")
 
 
 def _http_sink(env: DataFrame, options: dict) -> DataFrame:

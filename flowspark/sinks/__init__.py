@@ -1,5 +1,6 @@
 """Sinks: a frame in, files, tables or deliveries out."""
 
+from .commit import finish_files, write_files_committed  # noqa: F401
 from .deliver import deliver, to_bus_records  # noqa: F401
 from .files import (  # noqa: F401
     fetch_files, offload_payloads, plan_file_output, resolve_payload_refs, settle_files, write_files,

@@ -61,6 +61,23 @@ def write_files(spark, folder):
     return found.join(report.select(F.col("rel_path").alias("key"), F.col("checksum").alias("reported")), "key")
 
 
+@query("write_files_committed", f"""
+WITH {m.FILES} SELECT replace(content_type, '/', '-') || '/' || doc_id || '.' || extension AS key, length,
+  sha256(content) AS checksum, sha256(content) AS reported FROM files WHERE length <= 9000""")
+def write_files_committed(spark, folder):
+    """Files by a committing writer; what is found below the folder is what was committed, and nothing else."""
+    files = m.files(spark, folder)
+    env = files.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("content").alias("payload"), F.lit("").alias("source"),
+        F.col("modificationTime").alias("created_at"), _mime().alias("content_type"))
+    out = shared_dir(spark, "committed")
+    report = sinks.write_files_committed(sinks.plan_file_output(env, organize_by="type", max_size=9000), out,
+                                         report_dir=shared_dir(spark, "committed-report"))
+    found = sources.read_objects(spark, out, "*").select(
+        "key", "length", payload_checksum(F.col("content")).alias("checksum"))
+    return found.join(report.select(F.col("rel_path").alias("key"), F.col("checksum").alias("reported")), "key", "left")
+
+
 def _mime():
     from ..functions import content_type_of
     return content_type_of(F.col("path"))
