@@ -1,5 +1,6 @@
 """Stateful and windowed streams. Each has a batch twin in ``operators``."""
 
+from .ordered_log import flush_order, order_batch, order_stream, read_ordered  # noqa: F401
 from .processors import (  # noqa: F401
     batch_transactions, dedupe_message_stream, ordered_transactions, schedule_retries, track_files, track_messages,
 )

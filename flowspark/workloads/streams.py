@@ -135,6 +135,36 @@ def batch_transactions(spark, folder):
     return streaming.ordered_transactions(back(spark, emitted, path))
 
 
+INTERLEAVED = "event_id % 5 + 5 * (event_id // 35)"
+
+
+@query("order_transaction_stream", f"""
+WITH changes AS (SELECT event_id AS lsn, {INTERLEAVED} AS txid FROM events)
+SELECT lsn, txid, row_number() OVER (ORDER BY lsn) AS position, bool_or(lsn % 35 >= 30) OVER (PARTITION BY txid) AS complete
+FROM changes""")
+def order_transaction_stream(spark, folder):
+    """Interleaved transactions of seven changes that come in five micro-batches, a tenth of them a batch late."""
+    home = shared_dir(spark, "ordered")
+    events, lsn = m.table(spark, folder, "events"), F.col("event_id")
+    total = events.agg(F.max("event_id")).first()[0] + 1
+    block = -(-total // 4)
+    feed = events.select(
+        lsn.alias("lsn"), (lsn % 5 + 5 * F.floor(lsn / 35)).alias("txid"), F.timestamp_seconds(lsn).alias("ts"),
+        (lsn % 35 >= 30).alias("is_last"), (F.floor(lsn / block) + (lsn % 10 == 3).cast("int")).alias("arrival"))
+    streaming_session = streaming.stream_session(spark, timers=False)
+    schema = feed.drop("arrival").schema
+    for arrival in range(5):
+        feed.filter(F.col("arrival") == arrival).drop("arrival").coalesce(1).write.mode("append").parquet(f"{home}/feed")
+        changes = streaming_session.readStream.schema(schema).parquet(f"{home}/feed")
+        streaming.order_stream(changes, f"{home}/log", f"{home}/checkpoint", hold_seconds=2.0 * block, open_seconds=4.0 * block,
+                               availableNow=True).awaitTermination()
+    streaming.flush_order(spark, f"{home}/log", batch=1000)
+    given = streaming.read_ordered(spark, f"{home}/log")
+    # The place of each change among all that left the stream, in the order in which they did.
+    ranked = op.ordered_scan(given.withColumn("all", F.lit(0)), ["all"], ["batch", "lsn"], rank="position")
+    return ranked.select("lsn", "txid", F.col("position").cast("bigint").alias("position"), "complete")
+
+
 @query("apply_change_stream", changes_module.APPLIED_SQL)
 def apply_change_stream(spark, folder):
     event_type = F.col("event_type")
