@@ -7,3 +7,4 @@ from .processors import (  # noqa: F401
 from .runs import (  # noqa: F401
     apply_change_stream, for_each_batch_once, read_replica, run_complete, run_to_table, run_until, stream_session,
 )
+from .windows import flag_batch, flag_stream, rate_batch, rate_stream, read_batches  # noqa: F401

@@ -14,33 +14,12 @@ sees the position only. What is held is as large as the open transactions and ``
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sinks.storage import children, exists, get, open_store, put
+from .batches import finish, last_position, most, written
 from .runs import for_each_batch_once
 
-START = {"position": None, "newest": None}
-
-
-def _state(root: str, before: int) -> tuple[dict, int | None]:
-    """What the last batch before this one left: its position and number."""
-    store, folder = open_store(root)
-    done = sorted(int(name.split(".")[0]) for name in children(store, f"{folder}/positions") if name.endswith(".json")
-                  and not name.startswith("."))
-    done = [number for number in done if number < before]
-    if not done:
-        return START, None
-    return json.loads(get(store, f"{folder}/positions/{done[-1]}.json")), done[-1]
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def order_batch(
     batch: DataFrame, root: str, number: int, *, hold_seconds: float, open_seconds: float, flush: bool = False,
 ) -> dict:
@@ -49,15 +28,15 @@ def order_batch(
     With ``flush`` everything held goes out: the feed has ended.
     """
     spark, root = batch.sparkSession, root.rstrip("/")
-    state, last = _state(root, number)
-    position = state["position"]
+    state, last = last_position(root, number)
+    position = state.get("position")
     fresh = batch.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
     # Written first: the batch is read once, and a batch without late changes leaves no folder.
-    landed = _written(fresh, f"{root}/landed/batch={number}")
+    landed = written(fresh, f"{root}/landed/batch={number}")
     if position is not None:
         late = landed.filter(F.col("lsn") <= position).drop("__us")
         if not late.isEmpty():
-            _written(late, f"{root}/late/batch={number}")
+            written(late, f"{root}/late/batch={number}")
         landed = landed.filter(F.col("lsn") > position)
     if last is not None:
         landed = spark.read.schema(landed.schema).parquet(f"{root}/held/batch={last}").unionByName(landed)
@@ -65,26 +44,18 @@ def order_batch(
 
     by_tx = held.groupBy("txid").agg(F.min("lsn").alias("first"), F.min("__us").alias("began"), F.max("__us").alias("newest"),
                                      F.bool_or("is_last").alias("done"))
-    seen = max(filter(None.__ne__, [state["newest"], by_tx.agg(F.max("newest")).first()[0]]), default=None)
+    seen = most(state.get("newest"), by_tx.agg(F.max("newest")).first()[0])
     limit = None
     if not flush and seen is not None:
         waiting = by_tx.filter(~F.col("done") & (F.col("began") > seen - int(open_seconds * 1e6))).agg(F.min("first")).first()[0]
         recent = held.filter(F.col("__us") > seen - int(hold_seconds * 1e6)).agg(F.min("lsn")).first()[0]
-        limit = min(filter(None.__ne__, [waiting, recent]), default=None)
+        limit = min((lsn for lsn in (waiting, recent) if lsn is not None), default=None)
     out = held if limit is None else held.filter(F.col("lsn") < limit)
     given = out.join(by_tx.select("txid", F.col("done").alias("complete")), "txid").drop("__us")
-    ordered = _written(given.repartitionByRange("lsn").sortWithinPartitions("lsn"), f"{root}/out/batch={number}")
-    _written(held.limit(0) if limit is None else held.filter(F.col("lsn") >= limit), f"{root}/held/batch={number}")
-    now = {"position": max(filter(None.__ne__, [position, ordered.agg(F.max("lsn")).first()[0]]), default=None), "newest": seen}
-
-    store, folder = open_store(root)
-    put(store, f"{folder}/positions/{number}.json", json.dumps(now).encode())
-    for old in children(store, f"{folder}/held"):
-        if int(old.split("=")[1]) < (number if last is None else last):  # the one before stays, for a repeat of this batch
-            store.delete_dir(f"{folder}/held/{old}")
-    if exists(store, f"{folder}/landed/batch={number}"):
-        store.delete_dir(f"{folder}/landed/batch={number}")
-    return now
+    ordered = written(given.repartitionByRange("lsn").sortWithinPartitions("lsn"), f"{root}/out/batch={number}")
+    written(held.limit(0) if limit is None else held.filter(F.col("lsn") >= limit), f"{root}/held/batch={number}")
+    now = {"position": most(position, ordered.agg(F.max("lsn")).first()[0]), "newest": seen}
+    return finish(root, number, last, now, ("held", "landed"))
 
 
 def order_stream(
@@ -99,9 +70,9 @@ def order_stream(
 
 def flush_order(spark: SparkSession, root: str, *, batch: int) -> dict:
     """Gives out what is still held, as batch ``batch``, when the feed has ended."""
-    _, last = _state(root, batch)
+    _, last = last_position(root, batch)
     if last is None:
-        return START
+        return {}
     held = spark.read.parquet(f"{root.rstrip('/')}/held/batch={last}")
     return order_batch(held.drop("__us").limit(0), root, batch, hold_seconds=0, open_seconds=0, flush=True)
 

@@ -71,6 +71,66 @@ def message_rate_stream(spark, folder):
         F.round("per_second", 9).alias("per_second"))
 
 
+# Events come in five micro-batches by their time; ``late`` of them one batch later than that.
+ARRIVALS = """bounds AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events),
+arriving AS (SELECT events.*, least(4, 5 * (epoch_us(ts) - low) // (high - low + 1) + CASE WHEN {late} THEN 1 ELSE 0 END) AS arrival
+  FROM events, bounds)"""
+
+
+def _in_batches(spark, folder, late, run):
+    """``run`` a stream of the events over each of five arrivals."""
+    home, events = shared_dir(spark, "arrivals"), m.table(spark, folder, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(us), F.max(us)).first()
+    arrival = F.least(F.lit(4), F.floor(5 * (us - low) / (high - low + 1)) + late.cast("int"))
+    arriving = events.withColumn("arrival", arrival)
+    session = streaming.stream_session(spark, timers=False)
+    for number in range(5):
+        arriving.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.mode("append").parquet(f"{home}/feed")
+        run(session.readStream.schema(events.schema).parquet(f"{home}/feed"), f"{home}/state", f"{home}/checkpoint").awaitTermination()
+    return f"{home}/state"
+
+
+@query("message_rate_windows", f"""
+WITH {ARRIVALS.format(late="event_id % 10 = 3")},
+marks AS (SELECT a.arrival, max(b.ts) - INTERVAL 10 MINUTE AS mark FROM (SELECT DISTINCT arrival FROM arriving) a
+  LEFT JOIN arriving b ON b.arrival < a.arrival GROUP BY 1),
+judged AS (SELECT 't' || user_id % 5 AS tenant_id, time_bucket(INTERVAL 5 MINUTE, ts) AS start,
+    coalesce(time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= mark, false) AS late FROM arriving JOIN marks USING (arrival))
+SELECT tenant_id, {m.sql_stamp('start')} AS window_start, count(*) FILTER (NOT late) AS messages, count(*) FILTER (late) AS late
+FROM judged GROUP BY tenant_id, start""")
+def message_rate_windows(spark, folder):
+    """Windows that close as the stream goes on, each given out once, and the rows that came too late for theirs."""
+    def run(stream, root, checkpoint):
+        env = stream.select(F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant_id"),
+                            F.col("ts").cast("timestamp").alias("created_at"))
+        return streaming.rate_stream(env, root, checkpoint, availableNow=True)
+
+    root = _in_batches(spark, folder, F.col("event_id") % 10 == 3, run)
+    end = spark.createDataFrame([], "tenant_id string, created_at timestamp")
+    streaming.rate_batch(end, root, 1000, flush=True)
+    late = streaming.read_batches(spark, root, "late").groupBy(
+        "tenant_id", F.window("created_at", "5 minutes")["start"].alias("window_start")).agg(F.count(F.lit(1)).alias("late"))
+    closed = streaming.read_batches(spark, root).select("tenant_id", "window_start", "messages")
+    return closed.join(late, ["tenant_id", "window_start"], "full").select(
+        "tenant_id", m.stamp("window_start").alias("window_start"),
+        *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in ("messages", "late")])
+
+
+@query("rate_limit_flag_stream", """
+SELECT event_id, user_id % 3 AS key, n AS request_number, n > 1 AS over_limit FROM (
+  SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id % 3, date_trunc('minute', ts) ORDER BY ts, event_id)
+    AS n FROM events)""")
+def rate_limit_flag_stream(spark, folder):
+    """Each request is flagged in the batch that it comes in; the same as the batch operator says of all."""
+    def run(stream, root, checkpoint):
+        requests = stream.select("event_id", (F.col("user_id") % 3).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+        return streaming.flag_stream(requests, root, checkpoint, limit=1, order=["ts", "event_id"], availableNow=True)
+
+    root = _in_batches(spark, folder, F.lit(False), run)
+    return streaming.read_batches(spark, root).select("event_id", "key", "request_number", "over_limit")
+
+
 @query("track_messages", RETRY_SQL + " FROM known")
 def track_messages(spark, folder):
     arrivals = event_stream(spark, folder).select(
