@@ -30,4 +30,4 @@ from .retention import (  # noqa: F401
     audit_trail, expired_archive_days, expired_objects, purge_archives, purge_completed, purge_dead_letters,
     remap_tenant, replay,
 )
-from .state import dedupe_files, dedupe_messages, latest_state, retry_history  # noqa: F401
+from .state import dedupe_files, dedupe_messages, mark_duplicates, latest_state, retry_history  # noqa: F401

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import shared_dir
+
 
 def _text(payload: str = "payload") -> Column:
     return F.col(payload).cast("string")
@@ -259,11 +261,14 @@ def apply_converter(
 
 
 def convert_with(
-    env: DataFrame, fn: Callable[[dict, dict], dict], *, config: dict | None = None
+    env: DataFrame, fn: Callable[[dict, dict], dict], *, config: dict | None = None, stage_dir: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(converted, failed)`` of a user function. Each side runs the function when it is read; write the
-    result of ``apply_converter`` instead where both are needed and the function is expensive."""
-    done = apply_converter(env, fn, config=config)
+    """``(converted, failed)`` of a user function, which is run at once and once for each message: its results are written to
+    ``stage_dir`` (a fresh shared folder), and both sides are read from there."""
+    spark, stage = env.sparkSession, stage_dir or shared_dir(env.sparkSession, "converted")
+    made = apply_converter(env, fn, config=config)
+    made.write.mode("overwrite").partitionBy("failed").parquet(stage)
+    done = spark.read.schema(made.schema).parquet(stage)
     return done.filter(~F.col("failed")).drop("failed"), done.filter("failed").drop("failed")
 
 

@@ -99,6 +99,24 @@ def dedupe_messages(
     return handled.distinct().select(key, instant.alias(time))
 
 
+def mark_duplicates(
+    arrivals: DataFrame, *, key: str = "id", time: str = "ts", order: list[str], ttl_seconds: int = 300,
+    slices: int | None = None,
+) -> DataFrame:
+    """All arrivals, whole, with ``handled``: whether this one opens a lock on its key (see ``dedupe_messages``).
+
+    Of arrivals of one key at one time the first by ``order`` opens it. One without a key is handled: it locks nothing.
+    """
+    keyed = arrivals.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    opened = dedupe_messages(keyed, key=key, time=time, ttl_seconds=ttl_seconds, slices=slices).select(
+        F.col(key).alias("__key"), F.col(time).alias("__time"), F.lit(True).alias("__opens"))
+    ranked = ordered_scan(keyed, [key, time], order, rank="__same", slices=slices)
+    joined = ranked.join(opened, (F.col(key) == F.col("__key")) & (F.col(time).cast("timestamp_ntz") == F.col("__time")), "left")
+    marked = joined.withColumn("handled", F.coalesce("__opens", F.lit(False)) & (F.col("__same") == 1))
+    rest = arrivals.filter(F.col(key).isNull() | F.col(time).isNull()).withColumn("handled", F.lit(True))
+    return marked.select(*arrivals.columns, "handled").unionByName(rest)
+
+
 def _fold(times: Column, ttl: int) -> Column:
     """Sorted times of one session that open a lock."""
     return F.aggregate(

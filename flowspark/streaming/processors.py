@@ -134,8 +134,8 @@ def track_files(
 
 
 class _Locks(StatefulProcessor):
-    def __init__(self, ttl_us: int):
-        self.ttl_us = ttl_us
+    def __init__(self, ttl_us: int, order: list[str]):
+        self.ttl_us, self.order = ttl_us, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.opened = handle.getValueState("opened", "at_us bigint")
@@ -143,7 +143,7 @@ class _Locks(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         opened = self.opened.get()[0] if self.opened.exists() else None
         kept = []
-        batch = _ordered(rows, ["at_us"])
+        batch = _ordered(rows, ["at_us", *self.order])
         for at in batch["at_us"]:
             opens = opened is None or at - opened >= self.ttl_us
             if opens:
@@ -157,13 +157,16 @@ class _Locks(StatefulProcessor):
 
 
 def dedupe_message_stream(
-    arrivals: DataFrame, *, key: str = "id", time: str = "ts", ttl_seconds: int = 300
+    arrivals: DataFrame, *, key: str = "id", time: str = "ts", ttl_seconds: int = 300, order: list[str] | None = None,
 ) -> DataFrame:
-    """Arrivals that open a lock of ``ttl_seconds`` on their key; duplicates inside it are dropped."""
-    rows = arrivals.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("at_us"))
+    """Arrivals that open a lock of ``ttl_seconds`` on their key, whole; duplicates inside it are dropped.
+
+    Of arrivals of one key at one time in a batch the first by ``order`` opens it. The time comes back as a timestamp.
+    """
+    rows = arrivals.withColumn("at_us", F.unix_micros(F.col(time).cast("timestamp"))).drop(time)
     opened = rows.groupBy(key).transformWithStateInPandas(
-        _Locks(ttl_seconds * 1_000_000), rows.schema, "Append", "None")
-    return opened.select(key, F.timestamp_micros("at_us").alias(time))
+        _Locks(ttl_seconds * 1_000_000, order or []), rows.schema, "Append", "None")
+    return opened.withColumn(time, F.timestamp_micros("at_us")).select(*arrivals.columns)
 
 
 class _RetryTimers(StatefulProcessor):

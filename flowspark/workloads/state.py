@@ -56,3 +56,16 @@ SELECT id, {m.sql_stamp('ts')} AS ts FROM opened WHERE ts IS NOT NULL"""
 def dedupe_messages(spark, folder):
     arrivals = m.table(spark, folder, "events").select(F.col("user_id").alias("id"), "ts")
     return op.dedupe_messages(arrivals, ttl_seconds=12 * 3600).select("id", m.stamp("ts").alias("ts"))
+
+
+@query("mark_duplicates", f"""
+WITH opened AS ({LOCKS_SQL}),
+ranked AS (SELECT event_id, user_id AS id, event_type, {m.sql_stamp('ts')} AS ts,
+  row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS same FROM events)
+SELECT event_id, r.id, event_type, r.ts, r.same = 1 AND opened.id IS NOT NULL AS handled
+FROM ranked r LEFT JOIN opened ON opened.id = r.id AND opened.ts = r.ts""")
+def mark_duplicates(spark, folder):
+    """All arrivals with their columns; which ones are handled and which are duplicates under a lock."""
+    arrivals = m.table(spark, folder, "events").select("event_id", F.col("user_id").alias("id"), "event_type", "ts")
+    marked = op.mark_duplicates(arrivals, order=["event_id"], ttl_seconds=12 * 3600)
+    return marked.select("event_id", "id", "event_type", m.stamp("ts").alias("ts"), "handled")

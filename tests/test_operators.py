@@ -1,5 +1,6 @@
 """Edge cases of batch operators, against plain Python where order matters."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -262,3 +263,28 @@ def test_isolation_violations(spark):
     owned = spark.createDataFrame([("i1", "a"), ("i2", "b")], "id string, tenant_id string")
     assert [tuple(r) for r in op.assert_isolated(env, owned).select("tenant_id").orderBy("tenant_id").collect()] == [
         (None,), ("b",)]
+
+
+def test_duplicates_are_marked_and_no_message_is_lost(spark):
+    rows = [(1, "a", 0, "x"), (2, "a", 0, "y"), (3, "a", 100, "z"), (4, "a", 300, "w"), (5, "b", 7, "v"), (6, None, 5, "u"),
+            (7, None, 5, "t"), (8, "c", None, "s")]
+    df = spark.createDataFrame(rows, "n long, id string, second long, body string").selectExpr(
+        "n", "id", "CAST(timestamp_seconds(second) AS timestamp_ntz) AS ts", "body")
+    marked = {row.n: (row.body, row.handled) for row in op.mark_duplicates(df, order=["n"], ttl_seconds=300).collect()}
+    assert marked == {1: ("x", True), 2: ("y", False), 3: ("z", False), 4: ("w", True), 5: ("v", True), 6: ("u", True),
+                      7: ("t", True), 8: ("s", True)}
+    assert op.mark_duplicates(df.limit(0), order=["n"]).count() == 0
+
+
+def test_user_functions_run_once_for_each_message(spark, tmp_path):
+    def count(message, context):
+        with open(tmp_path / f"{message['id']}-{os.urandom(8).hex()}", "w"):
+            pass
+        if message["id"] == "b":
+            raise ValueError("no")
+        return {"payload": "done"}
+
+    df = spark.createDataFrame([("a", bytearray(b"1"), None), ("b", bytearray(b"2"), None)], "id string, payload binary, last_error string")
+    good, bad = op.convert_with(df, count)
+    assert (good.count(), bad.count(), [bytes(row.payload) for row in good.collect()]) == (1, 1, [b"done"])
+    assert sorted(path.name[0] for path in tmp_path.iterdir()) == ["a", "b"]
