@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,9 +42,14 @@ def sampled(df: DataFrame, key: Column, total: int, most: int) -> DataFrame:
 
 
 def freed(run: Callable) -> Callable:
-    """A function over Arrow batches that gives memory back to the machine when its task is over; workers live on."""
+    """A function over Arrow batches that gives memory back to the machine when its task is over; workers live on.
+
+    Functions come by value, each task with globals of its own that refer to them and they to these: without a collection
+    a worker keeps the tables of all its tasks.
+    """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        gc.collect()
         pa.default_memory_pool().release_unused()
     return task
 
