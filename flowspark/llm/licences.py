@@ -2,11 +2,13 @@
 
 Paragraphs are runs of lines between lines without a word, comment marks stripped; of a run of several lines each single line
 is judged too, since a notice may stand among lines of other text. A find of a whole run stands under the number of its
-first line with ``lines`` > 1, unless one of its lines is confirmed for the family; a line has ``lines`` 1. Features are word uni- and bigrams hashed into a sparse vector; multinomial logistic
-regression with a class for everything else learns from the notices, whole, wrapped and with words around them, from the
-licences' names in usual frames, and from a bounded sample of the corpus' own paragraphs. A family is predicted if it is the likeliest class and its probability is above what 99.9 % of the sampled
-other paragraphs get for it, and at least ``LEAST``; else the paragraph is of unknown class. A prediction is confirmed if the
-paragraph holds at least ``SHARE`` of the distinct words of one of the family's templates. All of it runs in the JVM.
+first line with ``lines`` > 1, unless one of its lines is confirmed for the family; a line has ``lines`` 1. Features are the words
+and pairs of words that the notices have, and how much of a paragraph they are; multinomial logistic regression with a class for
+everything else learns from the notices, whole, wrapped and with words around them, from the licences' names in usual frames, and
+from all the corpus' own paragraphs, which together weigh ``OTHERS`` at most. A family is predicted if it is the likeliest class
+and its probability is above what 99.9 % of the other paragraphs get for it, and at least ``LEAST``; else the paragraph is of
+unknown class. A prediction is confirmed if the paragraph holds at least ``SHARE`` of the distinct words of one of the family's
+templates. All of it runs in the JVM: texts are cut once, and their features written aside for training and prediction.
 
 Cases: null and empty texts have no paragraphs; very long paragraphs are classified whole and line by line; repeated rows give repeated finds;
 an empty table gives no rows (the classifier then learns from templates and a fixed contrast only); other columns play no
@@ -15,12 +17,13 @@ part, ids are only carried along.
 
 from __future__ import annotations
 
+import math
 import textwrap
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,19 +112,17 @@ NAMES = {
 }
 FRAMES = ("{}", "Licensed under the {}.", "This project is licensed under the terms of the {}.", "Released under the {}, see LICENSE.",
           "SPDX-License-Identifier: {}", "License: {}", "Distributed under the {}.", "It is available under the {}.")
-OTHER = "other"
 # Words around notices, and sentences that use their words without being notices.
 BEFORE = ("", "This file is", "The code is", "Copyright 2021 The Authors.", "Content is")
 AFTER = ("", "See the file for details.", "Some parts differ.")
 CONTRAST = ("The driver has a licence and the car is free.", "The general public was permitted to use the work rooms.",
             "Version 2.0 of the software is used by the foundation.", "The source of the river is in the north.",
             "He was charged and then released.", "All of them reserved rooms.")
-BUCKETS = 1 << 14
-#: Paragraphs that the classifier learns from, at most, and documents that they are taken from, about.
-SAMPLE, DOCUMENTS = 20_000, 4_000
+#: What the paragraphs of the corpus weigh together in training, at most; a notice weighs 25.
+OTHERS = 20_000.0
 LEAST = 0.6
 SHARE = 0.8
-#: Paragraphs of the sample with this share of a template, or with a licence's name, teach nothing: they may be notices.
+#: Paragraphs of the corpus with this share of a template, or with a licence's name, teach nothing: they may be notices.
 DOUBT = 0.5
 WORD = r"[\p{L}\p{N}]"
 # Columns at which training notices are wrapped.
@@ -138,21 +139,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def grams(tokens: Column) -> Column:
-    """Words and pairs of neighbouring words."""
-    def both(words: Column) -> Column:
-        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-                           lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.concat(words, F.array_compact(pairs))
-
-    return bound(tokens, both)
+def marked(words: Column) -> Column:
+    """The words, null for those that no notice has."""
+    return F.transform(words, lambda word: F.when(word.isin(_vocabulary()[0]), word))
 
 
 def paragraphs(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``paragraph`` (number of the first line, from 0), ``lines`` (how many), ``run`` and ``words``.
+    """``doc_id``, ``paragraph`` (number of the first line, from 0), ``lines`` (how many), ``run`` and ``marked``.
 
-    There is a row for each run of lines with words, and for each line of a run of several. ``words`` keep the order of the
-    text; what comment marks there are holds no word. Rows of the same run of a text have the same ``run``.
+    There is a row for each run of lines with words, and for each line of a run of several. ``marked`` are the words in the order
+    of the text, null for those that no notice has; what comment marks there are holds no word. Rows of the same run of a text
+    have the same ``run``.
     """
     value = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
     split = documents.select(F.col(id).alias("doc_id"), F.split(value, "\n").alias("all"), F.xxhash64(F.col(text)).alias("hash"))
@@ -164,12 +161,13 @@ def paragraphs(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
         lambda a, b: F.struct((a + 1).alias("paragraph"), (b - a - 1).alias("lines"))), lambda run: run["lines"] > 0))
     runs = runs.select("doc_id", "all", "hash", F.explode("runs").alias("run"))
     runs = runs.select("doc_id", F.xxhash64("hash", "run.paragraph").alias("id"), "run.*", F.slice("all", F.col("run.paragraph") + 1, F.col("run.lines")).alias("own"))
-    whole = F.struct("paragraph", "lines", F.array_join("own", "\n").alias("line"))
+    runs = runs.withColumn("own", F.transform("own", lambda line: marked(words(line))))  # no word goes over the end of a line
+    whole = F.struct("paragraph", "lines", F.flatten("own").alias("marked"))
     each = F.transform("own", lambda line, at: F.struct(
-        (F.col("paragraph") + at).alias("paragraph"), F.lit(1).alias("lines"), line.alias("line")))
+        (F.col("paragraph") + at).alias("paragraph"), F.lit(1).alias("lines"), line.alias("marked")))
     judged = runs.select("doc_id", F.col("id").alias("run"), F.explode(F.when(F.col("lines") > 1, F.concat(F.array(whole), each)).otherwise(
         F.array(whole))).alias("p"))
-    return judged.select("doc_id", "p.paragraph", "p.lines", "run", words(F.col("p.line")).alias("words"))
+    return judged.select("doc_id", "p.paragraph", "p.lines", "run", "p.marked")
 
 
 def _shares(words: Column) -> dict[str, Column]:
@@ -188,15 +186,55 @@ def _distinct(text: str) -> list[str]:
     return sorted(set("".join(c.lower() if c.isalnum() else " " for c in text).split()))
 
 
-def _has(words: Column, name: str) -> Column:
-    """Whether a paragraph has all words of a licence's name, of two words or more."""
-    known = _distinct(name)
-    return F.size(F.array_except(F.array(*map(F.lit, known)), words)) == 0 if len(known) > 1 else F.lit(False)
+def _rarest(words: list[str], among: int) -> list[str]:
+    """Of ``words`` the ``among`` that the fewest templates have, long ones first."""
+    return sorted(words, key=lambda word: (sum(word in _distinct(t) for group in TEMPLATES.values() for t in group),
+                                           -len(word), word))[:among]
+
+
+def _of(words: Column, known: list[str], least: int) -> Column:
+    """Whether ``words``, all different, have ``least`` of the ``known`` ones."""
+    return (F.size(words) >= least) & (F.size(F.filter(words, lambda word: word.isin(known))) >= least)
+
+
+def _doubtful(words: Column) -> Column:
+    """Whether a paragraph may be a notice, by its distinct words."""
+    asked = [(known, math.ceil(DOUBT * len(known))) for group in TEMPLATES.values() for known in map(_distinct, group)]
+    asked += [(known, len(known)) for names in NAMES.values() for known in map(_distinct, names) if len(known) > 1]
+
+    def any_of(own: Column, some: list[tuple[list[str], int]]) -> Column:
+        # Who has k of n words has one of any n - k + 1 of them: without such a word nothing else is asked.
+        telling = sorted({word for known, least in some for word in _rarest(known, len(known) - least + 1)})
+        return F.when(F.exists(own, lambda word: word.isin(telling)),
+                      reduce(lambda a, b: a | b, [_of(own, known, least) for known, least in some])).otherwise(False)
+
+    few = [one for one in asked if one[1] <= 4]
+    return bound(words, lambda own: any_of(own, few) | any_of(own, [one for one in asked if one[1] > 4]))
+
+
+@cache
+def _vocabulary() -> tuple[list[str], list[str]]:
+    """The words of the notices, and their pairs of neighbouring words."""
+    cut = ["".join(c.lower() if c.isalnum() else " " for c in text).split() for text, _, _ in _variants(sorted(TEMPLATES))]
+    return (sorted({word for own in cut for word in own}),
+            sorted({f"{a} {b}" for own in cut for a, b in zip(own, own[1:])}))
+
+
+#: Features beside words and pairs: the notices' words are less than this share of the words. No word has such a name.
+FEW = {"<1/4": 0.25, "<1/2": 0.5, "<3/4": 0.75, "<1": 1.0}
 
 
 def _featured(df: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features", binary=True).transform(
-        df.withColumn("grams", grams(F.col("words"))))
+    """``marked`` gives way to ``known``, the distinct words that the notices have too, and ``features``."""
+    single, pairs = _vocabulary()
+    both = F.zip_with("marked", F.slice("marked", 2, F.greatest(F.size("marked") - 1, F.lit(0))),
+                      lambda a, b: F.concat(a, F.lit(" "), b))
+    some = df.select("*", F.array_compact("marked").alias("own"), F.array_distinct(F.array_compact(both)).alias("pairs"))
+    few = [F.when(F.size("own") < share * F.size("marked"), F.lit(name)) for name, share in FEW.items()]
+    termed = some.withColumn("known", F.array_distinct("own")).withColumn(
+        "terms", F.concat("known", "pairs", F.array_compact(F.array(*few))))
+    vectors = CountVectorizerModel.from_vocabulary([*single, *pairs, *FEW], "terms", "features", binary=True)
+    return vectors.transform(termed).drop("marked", "own", "pairs", "terms")
 
 
 def _variants(families: list[str]) -> list[tuple[str, int, float]]:
@@ -214,50 +252,63 @@ def _variants(families: list[str]) -> list[tuple[str, int, float]]:
     return [(text, label, weight) for text, label in sorted(out)] + [(text, len(families), weight) for text in CONTRAST]
 
 
-def train(documents: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[LogisticRegressionModel, list[float]]:
-    """The classifier and the least probability of each family, from the notices and a sample of the documents' paragraphs."""
+def _likely(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+    """Paragraphs whose likeliest class is a family with a probability above ``LEAST``: its ``number``, from 0, and ``best``."""
+    # The probabilities are bound to a variable: the model is evaluated once for a paragraph, whatever is made of the result.
+    told = bound(vector_to_array("probability"), lambda p: F.struct(
+        F.array_max(p).alias("best"), (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("number")))
+    judged = model.transform(rows).withColumn("told", told)
+    return judged.select(*[name for name in rows.columns if name != "features"], "told.*").filter(
+        (F.col("best") > LEAST) & (F.col("number") < len(TEMPLATES)))
+
+
+def _learned(rows: DataFrame) -> tuple[LogisticRegressionModel, list[float], DataFrame]:
+    """The classifier, the least probability of each family, and the likely paragraphs, from all featured paragraphs."""
     families = sorted(TEMPLATES)
-    spark = documents.sparkSession
-    notices = spark.createDataFrame(_variants(families), "line string, label int, weight double").select(
-        words(F.col("line")).alias("words"), "label", "weight")
-    # Documents are taken by hash where they are read, so only theirs are cut into paragraphs; of these at most SAMPLE.
-    share = int(min(1.0, DOCUMENTS / max(1, documents.count())) * (1 << 30))
-    some = documents.filter(F.pmod(F.xxhash64(F.lit("licences"), F.col(id), F.col(text)), F.lit(1 << 30)) < share)
-    lines = paragraphs(some, id, text)
-    doubtful = bound(F.col("words"), lambda words: reduce(lambda a, b: a | b, [
-        *(x >= DOUBT for x in _shares(words).values()), *(_has(words, name) for names in NAMES.values() for name in names)]))
-    sample = lines.filter(~doubtful).orderBy(F.xxhash64("doc_id", "paragraph", "lines", "words")).limit(SAMPLE)
-    rows = stashed(notices.unionByName(sample.select("words", F.lit(len(families)).alias("label"), F.lit(1.0).alias("weight"))),
-                   "licence-sample")
+    spark = rows.sparkSession
+    notices = _featured(spark.createDataFrame(_variants(families), "line string, label int, weight double").select(
+        marked(words(F.col("line"))).alias("marked"), "label", "weight"))
+    others = rows.filter("NOT doubtful")
+    count = others.count()
+    weighed = others.select("features", F.lit(len(families)).alias("label"),
+                            F.lit(min(1.0, OTHERS / max(1, count))).alias("weight"))
     model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial",
-                               maxIter=STEPS, regParam=1e-4).fit(_featured(rows.coalesce(4)))  # a bounded sample
-    others = rows.filter((F.col("label") == len(families)) & (F.col("weight") == 1.0))
-    scored = stashed(_probable(others, model).select("p"), "licence-limits")
-    limits = scored.agg(*[F.percentile_approx(F.col("p")[k], 0.999, 10_000).alias(f"f{k}") for k in range(len(families))]).first()
-    return model, [max(LEAST, limits[f"f{k}"] or 0.0) for k in range(len(families))]
+                               maxIter=STEPS, regParam=1e-4).fit(weighed.unionByName(notices.select(*weighed.columns)))
+    likely = stashed(_likely(rows, model), "licence-likely")
+    # Probabilities up to LEAST limit nothing, so the likely ones and the count of all tell what 99.9 % stay below.
+    above, plain = count - math.ceil(0.999 * count), likely.filter("NOT doubtful")
+    found = {row["number"]: row["n"] for row in plain.groupBy("number").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a family
+    asked = [F.percentile_approx(F.when(F.col("number") == k, F.col("best")), 1 - above / n, 10_000).alias(f"f{k}")
+             for k, n in found.items() if n > above]
+    limits = plain.agg(*asked).first().asDict() if asked else {}
+    return model, [limits.get(f"f{k}") or LEAST for k in range(len(families))], likely
 
 
-def _probable(df: DataFrame, model: LogisticRegressionModel) -> DataFrame:
-    scored = model.transform(_featured(df))
-    return scored.select(*df.columns, vector_to_array("probability").alias("p"))
+def _judged(documents: DataFrame, id: str, text: str) -> DataFrame:
+    """All paragraphs with their features, and whether they are ``doubtful``."""
+    return _featured(paragraphs(documents, id, text)).withColumn("doubtful", _doubtful(F.col("known")))
+
+
+def train(documents: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[LogisticRegressionModel, list[float]]:
+    """The classifier and the least probability of each family, from the notices and all the documents' paragraphs."""
+    model, limits, _ = _learned(stashed(_judged(documents, id, text), "licence-features"))
+    return model, limits
 
 
 def find(documents: DataFrame, id: str = "doc_id", text: str = "text",
          trained: tuple[LogisticRegressionModel, list[float]] | None = None) -> DataFrame:
     """Paragraphs of a predicted family: ``doc_id``, ``paragraph``, ``family``, ``probability``, ``share``, ``confirmed``."""
-    lines = paragraphs(documents, id, text)
     families = sorted(TEMPLATES)
-    model, limits = trained or train(documents, id, text)
-    # The probabilities are bound to a variable: the model is evaluated once for a paragraph, whatever is made of the result.
-    told = bound(F.col("p"), lambda p: F.struct(
-        F.array_max(p).alias("best"), F.array_position(p, F.array_max(p)).cast("int").alias("number")))
-    least = F.array(*map(F.lit, [*limits, 2.0]))  # the last class is for everything else: it is never found
-    judged = _probable(lines, model).withColumn("told", told).select("doc_id", "paragraph", "lines", "run", "words", "told")
-    likely = judged.filter(F.col("told.best") > F.element_at(least, F.col("told.number")))
-    named_ = likely.withColumns({"best": F.col("told.best"), "family": F.element_at(
-        F.array(*map(F.lit, [*families, OTHER])), F.col("told.number"))})
-    share = bound(F.struct("family", "words"), lambda row: F.coalesce(*[
-        F.when(row["family"] == name, x) for name, x in _shares(row["words"]).items()]))
+    if trained:
+        model, limits = trained
+        likely = _likely(_featured(paragraphs(documents, id, text)), model)
+    else:
+        model, limits, likely = _learned(stashed(_judged(documents, id, text), "licence-features"))
+    least = F.element_at(F.array(*map(F.lit, limits)), F.col("number") + 1)
+    named_ = likely.filter(F.col("best") > least).withColumn(
+        "family", F.element_at(F.array(*map(F.lit, families)), F.col("number") + 1))
+    share = bound(F.struct("family", "known"), lambda row: F.coalesce(*[
+        F.when(row["family"] == name, x) for name, x in _shares(row["known"]).items()]))
     predicted = named_.withColumn("share", share)
     line = (F.col("lines") == 1) & (F.col("share") >= SHARE)
     named = F.max(line).over(Window.partitionBy("doc_id", "run", "family"))

@@ -503,6 +503,17 @@ def test_held_out_wordings_of_licences(spark):
         assert precision >= 0.85 and recall >= 0.75, (family, precision, recall)
 
 
+def test_licences_learn_from_all_paragraphs(spark):
+    """One paragraph a document, more than any sample had: all of them are training rows."""
+    corpus = spark.range(25_000, numPartitions=8).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("the road of the "), F.col("id").cast("string")).alias("text"))
+    model, limits = licences.train(corpus)
+    learned = model.summary.predictions.filter("weight < 25")
+    assert learned.count() == 25_000
+    assert learned.agg(F.sum("weight")).first()[0] == pytest.approx(licences.OTHERS)
+    assert limits == [licences.LEAST] * len(licences.TEMPLATES)
+
+
 def test_licence_shares_are_those_of_the_templates(spark):
     rng = random.Random(22)
     texts = [template for group in licences.TEMPLATES.values() for template in group]
