@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import FILE_LISTING
 from ..session import shared_dir
-from ..sinks.storage import listable
+from ..sinks.storage import exists, get, listable, open_store
 from .listing import FolderSource
 from .registry import use
 
@@ -24,30 +27,52 @@ def _directly_in(files: DataFrame, folder: str) -> DataFrame:
     return files.filter(parent == _qualified(files.sparkSession, folder)).select(*FILE_LISTING.fieldNames())
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*", *, shares: int = 1) -> DataFrame:
-    """Files directly in ``folder`` as (path, modificationTime, length), listed by ``shares`` tasks; empty ones too."""
+def list_files(spark: SparkSession, folder: str, pattern: str = "*", *, shares: int = 1, recursive: bool = False) -> DataFrame:
+    """Files directly in ``folder`` as (path, modificationTime, length), listed by ``shares`` tasks; empty ones too. If
+    ``recursive``, also those of sub-folders that are not hidden."""
     return spark.read.format(use(spark, FolderSource)).options(
-        path=folder, prefix=_qualified(spark, folder), pattern=pattern, shares=shares).load()
-
-
-def _empty_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """The empty files directly in ``folder``, which Spark's scan of files passes over."""
-    return list_files(spark, folder, pattern).filter("length = 0").withColumn("content", F.lit(b"")).select(
-        *FILE_LISTING.fieldNames())
+        path=folder, prefix=_qualified(spark, folder), pattern=pattern, shares=shares, recursive=str(recursive).lower()).load()
+
+
+def _content(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Whole files, in pieces of some ``FETCHED_BYTES``."""
+    from ..sinks.files import FETCHED_BYTES
+    for batch in paths:
+        found, held = [], 0
+        for path in batch.to_pylist():
+            found.append(get(*open_store(path)))
+            held += len(found[-1])
+            if held >= FETCHED_BYTES:
+                yield pa.array(found, pa.binary())
+                found, held = [], 0
+        if found:
+            yield pa.array(found, pa.binary())
+
+
+def _read(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> DataFrame | None:
+    """The files as tasks list and read them, none of the listing on the driver; None for a store that tasks do not open, or
+    without the folder, which is left to Spark's reader."""
+    if not listable(_qualified(spark, folder)) or not exists(*open_store(folder)):
+        return None
+    listed = list_files(spark, folder, pattern, shares=spark.sparkContext.defaultParallelism, recursive=recursive)
+    # A column that is not selected is not worked out, so content is read only where it is.
+    content = F.arrow_udf(_content, T.BinaryType())
+    return listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").withColumn("content", content("path"))
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Whole files directly in ``folder`` as (path, modificationTime, length, content).
+    """Whole files directly in ``folder`` as (path, modificationTime, length, content), empty ones too.
 
-    Content is read only where it is selected, and the listing is filtered before. Spark passes over empty files, so a task
-    lists these by themselves. Keep archives outside the folder: they would be listed, though not read.
+    Content is read only where it is selected, and the listing is filtered before. Tasks list the folder and read the files.
+    Keep archives outside the folder.
     """
+    found = _read(spark, folder, pattern, recursive=False)
+    if found is not None:
+        return found.select(*FILE_LISTING.fieldNames())
     # A recursive listing, because otherwise sub-folders are taken for partitions of a table.
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", "true").load(folder))
-    found = _directly_in(files, folder)
-    # A store that only Spark's own readers open has no listing by tasks.
-    return found.unionByName(_empty_files(spark, folder, pattern)) if listable(_qualified(spark, folder)) else found
+    return _directly_in(files, folder)
 
 
 def stream_files(
@@ -70,9 +95,12 @@ def stream_files(
 
 def read_objects(spark: SparkSession, root: str, pattern: str = "*.bin") -> DataFrame:
     """Objects of a store at any depth, with ``key`` relative to the root."""
-    objects = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-               .option("recursiveFileLookup", "true").load(root))
-    return objects.withColumn("key", F.substring("path", len(_qualified(spark, root)) + 2, 1 << 20))
+    objects = _read(spark, root, pattern, recursive=True)
+    if objects is None:
+        objects = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+                   .option("recursiveFileLookup", "true").load(root))
+    # Empty objects are passed over, as Spark's reader does.
+    return objects.filter("length > 0").withColumn("key", F.substring("path", len(_qualified(spark, root)) + 2, 1 << 20))
 
 
 def read_csv_records(

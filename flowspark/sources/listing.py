@@ -20,12 +20,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.paths import glob_regex
-from ..sinks.storage import children, exists, open_store, put
+from ..sinks.storage import children, entries, exists, open_store, put
 
 LISTED = "path string, modificationTime timestamp, length bigint"
 ROWS = 10_000
@@ -34,7 +33,8 @@ _KEPT = pa.schema([("name", pa.string()), ("mtime", pa.int64()), ("length", pa.i
 
 def hidden(name: str) -> bool:
     """Names that Spark takes for hidden files."""
-    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+    told = name.startswith(("_metadata", "_common_metadata"))
+    return not told and (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
 
 
 @dataclass
@@ -56,21 +56,20 @@ class _Folder:
         self.shares = int(options.get("shares") or 1)
         self.settle = float(options.get("settle") or 0)
         self.state = options.get("state")
+        self.recursive = options.get("recursive") == "true"
 
     def listed(self, share: int) -> pa.Table:
         """Name, time (microseconds, cut to milliseconds as Spark has them) and length of the files of a share."""
-        store, root = open_store(self.path)
         fits, until = re.compile(self.pattern), time.time() - self.settle
         names, times, lengths = [], [], []
-        for entry in store.get_file_info(arrow_fs.FileSelector(root)):
-            name = entry.base_name
-            if entry.type != arrow_fs.FileType.File or hidden(name) or not fits.match(name):
-                continue
-            if zlib.crc32(name.encode()) % self.shares != share or (self.settle and entry.mtime_ns > until * 1e9):
+        for name, mtime_ns, size in entries(
+                self.path, lambda name: zlib.crc32(name.encode()) % self.shares == share and not hidden(name) and bool(fits.match(name)),
+                (lambda name: not hidden(name)) if self.recursive else None):
+            if self.settle and mtime_ns > until * 1e9:
                 continue
             names.append(name)
-            times.append(entry.mtime_ns // 10**6 * 1000)
-            lengths.append(entry.size)
+            times.append(mtime_ns // 10**6 * 1000)
+            lengths.append(size)
         return pa.table([pa.array(names, pa.string()), pa.array(times, pa.int64()), pa.array(lengths, pa.int64())], schema=_KEPT)
 
     def rows(self, found: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -135,7 +134,8 @@ class FolderStream(DataSourceStreamReader):
 
 
 class FolderSource(DataSource):
-    """To be read by batches and streams; options ``path``, ``prefix``, ``pattern``, ``shares``, ``settle``, ``state``."""
+    """To be read by batches and streams; options ``path``, ``prefix``, ``pattern``, ``shares``, ``settle``, ``state``,
+    ``recursive`` (sub-folders too, their files named by the path below the folder)."""
 
     @classmethod
     def name(cls) -> str:
