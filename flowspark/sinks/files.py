@@ -15,7 +15,7 @@ from ..functions.envelopes import FINGERPRINT_BYTES
 from ..functions.paths import key_part
 from ..operators.filters import reject_reason
 from ..schema import INLINE_PAYLOAD_LIMIT, MAX_PAYLOAD_BYTES
-from .storage import exists, get, head, open_store, put
+from .storage import exists, get, head, moved, open_store, put
 
 FETCHED_BYTES = 64 * 1024 * 1024
 
@@ -111,22 +111,20 @@ def settle_files(
                 name = posixpath.basename(path)
                 failed = row["error"] is not None
                 folder = error_dir if failed else None if delete else archive_dir
-                action, moved = "left", None
+                action, place = "left", None
                 if folder:
                     _, root = open_store(folder)
-                    moved = f"{root}/{row['day']}/{name}"
-                    store.create_dir(posixpath.dirname(moved), recursive=True)
-                    if exists(store, path):
-                        store.move(path, moved)
+                    place = f"{root}/{row['day']}/{name}"
+                    moved(store, path, place)
                     if failed:
                         note = f"timestamp={row['now']}\nerror={row['error']}\n"
-                        put(store, f"{moved}.error", note.encode())
+                        put(store, f"{place}.error", note.encode())
                     action = "error" if failed else "archived"
                 elif delete and not failed:
                     if exists(store, path):
                         store.delete_file(path)
                     action = "deleted"
-                out.append({"path": row["path"], "action": action, "moved_to": moved})
+                out.append({"path": row["path"], "action": action, "moved_to": place})
             yield pa.RecordBatch.from_pylist(
                 out, schema=pa.schema([("path", pa.string()), ("action", pa.string()), ("moved_to", pa.string())]))
 
