@@ -11,7 +11,6 @@ job that fails has no commit and leaves nothing. Publishing can be done again: a
 from __future__ import annotations
 
 import json
-import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.registry import use
 from .files import latest_per_path
-from .storage import children, exists, get, open_store, put
+from .storage import children, exists, get, moved, open_store, put, put_aside
 
 STAGING = "_staging"
 MANIFEST = "id string, rel_path string, bytes bigint, checksum string, staged string"
@@ -53,7 +52,7 @@ class FilesWriter(DataSourceArrowWriter):
         for batch in iterator:
             for row in batch.select(["id", "rel_path", "payload", "checksum"]).to_pylist():
                 staged = f"{STAGING}/{self.job}/{own}/{len(lines)}"
-                put(store, f"{folder}/{len(lines)}", row["payload"])
+                put_aside(store, f"{folder}/{len(lines)}", row["payload"])
                 lines.append(json.dumps({"id": row["id"], "rel_path": row["rel_path"], "bytes": len(row["payload"]),
                                          "checksum": row["checksum"], "staged": staged}))
         put(store, f"{folder}.json", "".join(f"{line}\n" for line in lines).encode())
@@ -92,18 +91,16 @@ def _published(spark: SparkSession, out_dir: str, job: str, report_dir: str) ->
         for batch in batches:
             for row in batch.select(["rel_path", "staged"]).to_pylist():
                 source, target = f"{place}/{row['staged']}", f"{place}/{row['rel_path']}"
-                if exists(files, source):
-                    files.create_dir(posixpath.dirname(target), recursive=True)
-                    files.move(source, target)
+                moved(files, source, target)
             yield batch.select(["id", "rel_path", "bytes", "checksum"])
 
     listed = spark.read.schema(MANIFEST).json([f"{stage}/{name}" for name in manifests if name])
-    moved = listed.mapInArrow(move, "id string, rel_path string, bytes bigint, checksum string")
-    moved.write.mode("overwrite").parquet(report_dir)
+    report = listed.mapInArrow(move, "id string, rel_path string, bytes bigint, checksum string")
+    report.write.mode("overwrite").parquet(report_dir)
     store.delete_dir(f"{root}/{STAGING}/{job}")
     if not children(store, f"{root}/{STAGING}"):
         store.delete_dir(f"{root}/{STAGING}")
-    return spark.read.schema(moved.schema).parquet(report_dir)
+    return spark.read.schema(report.schema).parquet(report_dir)
 
 
 def write_files_committed(plan: DataFrame, out_dir: str, *, report_dir: str | None = None, job: str | None = None) -> DataFrame:
