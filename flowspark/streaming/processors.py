@@ -8,7 +8,7 @@ Order between batches is the order of arrival.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import batched
+from itertools import batched, chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -180,22 +180,19 @@ class _RetryTimers(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         attempts = max(int(chunk["attempts"].max()) for chunk in rows)
         if attempts > self.max_retries:
-            if self.waiting.exists():
-                self.waiting.clear()
+            self.waiting.clear()
             yield pd.DataFrame({"id": [key[0]], "attempts": [attempts], "action": ["give_up"]})
             return
         due = timerValues.getCurrentProcessingTimeInMs() + _backoff(self.base_ms, attempts)
         self.waiting.update((attempts, due))
         self.handle.registerTimer(due)
-        yield pd.DataFrame({"id": [], "attempts": [], "action": []}).astype(
-            {"id": object, "attempts": "int32", "action": object})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A timer of an earlier failure may still run; only the latest one's time counts.
-        if self.waiting.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.waiting.get()[1]:
-            attempts = self.waiting.get()[0]
+        waiting = self.waiting.get()  # every call of the state is a round trip, and there is one a message
+        if waiting is not None and expiredTimerInfo.getExpiryTimeInMs() >= waiting[1]:
             self.waiting.clear()
-            yield pd.DataFrame({"id": [key[0]], "attempts": [attempts], "action": ["release"]})
+            yield pd.DataFrame({"id": [key[0]], "attempts": [waiting[0]], "action": ["release"]})
 
     def close(self) -> None:
         pass
@@ -231,7 +228,14 @@ class _Transactions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first, committed = not self.held.exists(), False
-        for chunk in rows:
+        chunks = iter(rows)
+        begun = list(islice(chunks, 2))
+        if first and len(begun) == 1 and begun[0]["is_last"].any():
+            # Whole in one piece, with nothing held: it needs no state, whose calls are round trips.
+            yield pd.DataFrame({"txid": [key[0]] * len(begun[0]), "lsn": begun[0]["lsn"].astype(int), "row": begun[0]["row"],
+                                "complete": True})
+            return
+        for chunk in chain(begun, chunks):
             committed |= bool(chunk["is_last"].any())
             self.held.appendList(list(zip(chunk["lsn"].astype(int), chunk["row"])))
         if committed:
