@@ -68,8 +68,10 @@ def run_flow_stream(spark, folder):
     session = streaming.stream_session(spark, timers=False)
     schema = m.table(session, folder, "orders").schema
     home = shared_dir(spark, "flow-stream")
-    m.table(spark, folder, "orders").repartition(8).write.parquet(f"{home}/in")
-    orders = session.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/in")
+    # Four micro-batches, each with a file for every core: a file of one row group is read by one task.
+    cores = max(2, spark.sparkContext.defaultParallelism)
+    m.table(spark, folder, "orders").repartition(4 * cores).write.parquet(f"{home}/in")
+    orders = session.readStream.schema(schema).option("maxFilesPerTrigger", cores).parquet(f"{home}/in")
     run = plans.run_flow_stream(plans.order_messages(orders), {
         "steps": STEPS,
         "sinks": {name: {"type": "envelopes", "options": {"path": f"{home}/sent/to={name}"}}
