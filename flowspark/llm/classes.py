@@ -16,7 +16,8 @@ of class transitions and word emissions, P(class | class before) * P(word | clas
    word's share in its class. So the probabilities of all words, the unseen one and the end sum to one.
 
 What the driver or a broadcast holds is bounded by parameters: HEAD words, with HEAD * (CLASSES + 2) counts on either side, and
-matrices of classes. What is shuffled grows with the input. Results follow from the documents alone, but for the portions
+matrices of classes. A task holds a portion or a shard at a time; counts of the head are summed for each ``TASKS`` tasks first, so
+that few of them meet in a group. What is shuffled grows with the input. Results follow from the documents alone, but for the portions
 that lie in one task: these change no count. Distinct words with equal 64-bit hashes would count as one.
 
 Cases: a null or blank text has its end only; a null id is kept; rows that repeat an id are documents of their own; very long
@@ -37,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import arrow_batches
 from .common import freed, stashed, table
 
 CLASSES, HEAD, ROUNDS = 64, 4096, 4
@@ -44,8 +46,12 @@ CLASSES, HEAD, ROUNDS = 64, 4096, 4
 PORTION, SLICE = 1 << 20, 1 << 20
 #: Words that a shard of the word lists has, on average.
 SHARD = 1 << 18
-#: Counts of the head's words that are summed in one group.
-CELLS = 1 << 14
+#: Counts of the head's words that are summed in one group, and tasks whose counts are summed in a group before all are.
+CELLS, TASKS = 1 << 14, 32
+#: Rows of a row group of the coded portions: what the writer holds, and what a task reads at least.
+TOGETHER = 4
+#: Bytes after which a batch for a Python worker ends. A portion has more: workers get one at a time, however many a task reads.
+BATCH = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 CODED = ("portion long, keys array<long>, ids array<long>, training array<boolean>, ends array<boolean>, sizes array<int>, "
          "before array<int>, tokens array<int>, words array<long>, counts array<int>")
@@ -132,7 +138,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def coded(documents: DataFrame, is_training: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     plain = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"),
                              F.coalesce(is_training, F.lit(False)).alias("training"))
-    return stashed(plain.mapInArrow(freed(_coded), CODED), "coded")
+    return stashed(plain.mapInArrow(freed(_coded), CODED), "coded", {"parquet.block.row.count.limit": TOGETHER})
 
 
 def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,6 +253,7 @@ def _neighbours(portions: DataFrame, head: np.ndarray, classes: np.ndarray, k: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, numbers, own = sent.value
+        several = TaskContext.get().partitionId() // TASKS
         after, before = np.zeros(size * width, np.int64), np.zeros(size * width, np.int64)
         itself, rest = np.zeros(size, np.int64), np.zeros(width * width, np.int64)
         for row in _rows(batches):
@@ -263,16 +270,20 @@ def _neighbours(portions: DataFrame, head: np.ndarray, classes: np.ndarray, k: i
         for kind, values in enumerate((after, before, itself, rest)):
             for part in range(0, len(values), CELLS):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), _column([values[part:part + CELLS]], pa.int64())],
-                    ["kind", "part", "counts"])
+                    [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([several], pa.int32()),
+                     _column([values[part:part + CELLS]], pa.int64())], ["kind", "part", "several", "counts"])
 
     def summed(data: pa.Table) -> pa.Table:
         total = _flat(data, "counts").reshape(data.num_rows, -1).sum(axis=0)
-        return pa.table([data.column("kind")[:1], data.column("part")[:1], _column([total], pa.int64())], ["kind", "part", "counts"])
-
-    schema = "kind int, part int, counts array<long>"
-    counted = portions.select("words", "training", "sizes", "before", "tokens").mapInArrow(freed(count), schema).groupBy(
-        "kind", "part").applyInArrow(summed, schema).toArrow()
+        names = ["kind", "part", "several"]
+        return pa.table([*(data.column(name)[:1] for name in names), _column([total], pa.int64())], [*names, "counts"])
+
+    schema = "kind int, part int, several int, counts array<long>"
+    counted = portions.select("words", "training", "sizes", "before", "tokens").mapInArrow(freed(count), schema)
+    # Every task has counts of all cells: a group that sums those of all tasks at once would grow with the input.
+    for keys in (("kind", "part", "several"), ("kind", "part")):
+        counted = counted.groupBy(*keys).applyInArrow(summed, schema)
+    counted = counted.toArrow()
     found = [np.zeros(size * width), np.zeros(size * width), np.zeros(size), np.zeros(width * width)]
     for row in _rows(iter(counted.to_batches())):
         part, counts = row["part"].as_py(), _array(row, "counts")
@@ -498,21 +509,22 @@ def score(documents: DataFrame, is_training: Column, id: str = "doc_id", text: s
           head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """A row for each document: ``id``, ``training``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (words one by one,
     each counted once more than seen) and ``score`` (log10 of the text's probability); perplexity is 10^(-score / n_tokens)."""
-    portions = coded(documents, is_training, id, text)
-    sizes = portions.agg(F.sum(F.size("words") - 1).alias("words"), F.sum(F.col("counts")[0]).alias("ends")).first()
-    shards = -(-(sizes["words"] or 0) // SHARD) or 1
-    words = vocabulary(portions, shards)
-    of = lambda value: F.sum(F.size(F.filter("counts", lambda n: value(n))))
-    total = words.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)).alias("tokens"),
-                      F.sum(F.size("words")).alias("kinds"), of(lambda n: n == 1).alias("once")).first()
-    ends = sizes["ends"] or 0
-    tokens, kinds = (total["tokens"] or 0) + ends, (total["kinds"] or 0) + (ends > 0)
-    frequent, counts = head_words(words, head)
-    own, bigrams, _ = exchange(portions, frequent, classes, rounds)
-    told = classified(portions, frequent, own, bigrams, shards)
-    pieces = stashed(_numbered(portions, frequent).groupBy("portion").cogroup(told.groupBy("portion")).applyInArrow(
-        _followed(counts, own, classes, (tokens, kinds, ends)), PIECES), "pieces")
-    weights = smoothed(_transitions(pieces, classes), (total["once"] or 0) + (ends == 1)) if ends else np.zeros((classes + 2,) * 2)
+    with arrow_batches(documents.sparkSession, BATCH):
+        portions = coded(documents, is_training, id, text)
+        sizes = portions.agg(F.sum(F.size("words") - 1).alias("words"), F.sum(F.col("counts")[0]).alias("ends")).first()
+        shards = -(-(sizes["words"] or 0) // SHARD) or 1
+        words = vocabulary(portions, shards)
+        of = lambda value: F.sum(F.size(F.filter("counts", lambda n: value(n))))
+        total = words.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)).alias("tokens"),
+                          F.sum(F.size("words")).alias("kinds"), of(lambda n: n == 1).alias("once")).first()
+        ends = sizes["ends"] or 0
+        tokens, kinds = (total["tokens"] or 0) + ends, (total["kinds"] or 0) + (ends > 0)
+        frequent, counts = head_words(words, head)
+        own, bigrams, _ = exchange(portions, frequent, classes, rounds)
+        told = classified(portions, frequent, own, bigrams, shards)
+        pieces = stashed(_numbered(portions, frequent).groupBy("portion").cogroup(told.groupBy("portion")).applyInArrow(
+            _followed(counts, own, classes, (tokens, kinds, ends)), PIECES), "pieces")
+        weights = smoothed(_transitions(pieces, classes), (total["once"] or 0) + (ends == 1)) if ends else np.zeros((classes + 2,) * 2)
     whole = _scored(pieces, weights).groupBy("key").agg(
         F.first("id").alias(id), F.first("training").alias("training"), F.sum("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum(F.col("moves") + F.col("own")).alias("score"))

@@ -6,10 +6,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from flowspark import session
 from flowspark.llm import classes
 from flowspark.llm.classes import Bigrams, classified, coded, exchange, head_words, op12_lm_scoring, score, vocabulary
 
@@ -157,6 +160,45 @@ def test_very_long_text_and_portions_change_nothing(spark, monkeypatch):
     assert {row.id: row.n_tokens for row in whole} == {1: 60_002, 2: 4, None: 2}
 
 
+def test_groups_that_sum_counts_do_not_grow_with_the_tasks(spark, monkeypatch):
+    rng = random.Random(6)
+    df = spark.createDataFrame(rows_of(grammar(rng, 200), rng), ROWS).repartition(16)
+    portions = coded(df, F.col("taught"), "id", "text")
+    frequent, _ = head_words(vocabulary(portions, 3), 30)
+    alone = exchange(portions.coalesce(1), frequent, 5, 2)
+    plain = classes._flat
+
+    def few(data, name):
+        assert "kind" not in data.column_names or data.num_rows <= 4
+        return plain(data, name)
+
+    monkeypatch.setattr(classes, "TASKS", 4, raising=False)
+    monkeypatch.setattr(classes, "_flat", few)
+    own, bigrams, seen = exchange(portions.repartition(16), frequent, 5, 2)
+    assert own.tolist() == alone[0].tolist() and bigrams.counts.tolist() == alone[1].counts.tolist() and seen == alone[2]
+
+
+def test_workers_get_few_portions_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(classes, "PORTION", 1000)
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(500)), True) for k in range(40)]
+    df = spark.createDataFrame(rows, ROWS).coalesce(1)
+    files = [name.removeprefix("file:") for name in coded(df, F.col("taught"), "id", "text").inputFiles()]
+    found = [pq.ParquetFile(name).metadata for name in files]
+    groups = [meta.row_group(k).num_rows for meta in found for k in range(meta.num_row_groups)]
+    assert sum(groups) == 20 and max(groups) <= 4
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    texts = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    with session.arrow_batches(spark, 10_000):
+        assert max(row.n for row in texts.mapInArrow(sizes, "n long").collect()) <= 20
+    assert spark.conf.get(key, None) == before
+
+
 def test_without_rows_or_training(spark):
     assert score(spark.createDataFrame([], ROWS), F.col("taught"), "id", "text").collect() == []
     rows = score(spark.createDataFrame([(1, "a b", False), (2, None, None)], ROWS), F.col("taught"), "id", "text").collect()
